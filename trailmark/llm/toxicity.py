@@ -264,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return costs, model, logistic(np.stack([fit.column(k).to_numpy() for k in "abc"], axis=1), y)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """docs with score double and predicted int."""
+def _scored(docs: DataFrame, labels: DataFrame, sample: int, threshold: float) -> DataFrame:
+    """row, score, predicted."""
     spark = docs.sparkSession
     common.tune(spark)
     held = spark.sparkContext.broadcast(train(docs, labels, sample))
@@ -280,7 +280,17 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
-    return common.unpack(packed.mapInArrow(run, schema), docs.columns, ["score", "predicted"])
+    return packed.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """docs with score double and predicted int."""
+    return common.unpack(_scored(docs, labels, sample, threshold), docs.columns, ["score", "predicted"])
+
+
+def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """docs without those predicted toxic; all their columns stay."""
+    return _scored(docs, labels, sample, threshold).where("predicted = 0").select("row.*")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
