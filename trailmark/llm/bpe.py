@@ -32,8 +32,10 @@ from . import common
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the compiled lexicon; others are merged.
 LEXICON_WORDS = 65_536
-#: Pieces that a worker remembers before it starts anew.
-CACHE = 300_000
+#: Words and pieces that a worker remembers before it starts anew.
+CACHE, CACHE_PIECES = 800_000, 400_000
+NONE = 1 << 80
+MARKS = frozenset(".,;:!?")
 
 
 def byte_chars() -> dict[str, int]:
@@ -43,6 +45,15 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def simple(piece: str) -> tuple[str, str] | None:
+    """(word, mark) of a piece of letters, with one common mark at its end or none; None for others."""
+    if piece.isalpha():
+        return piece, ""
+    if piece[-1:] in MARKS and piece[:-1].isalpha():
+        return piece[:-1], piece[-1]
+    return None
+
+
 class Vocabulary:
     """Ids of bytes, merges (left, right) -> (rank, id), bytes of ids, added tokens."""
 
@@ -58,34 +69,28 @@ class Vocabulary:
             self.bytes_of[i] = raw[k]
             if len(raw[k]) == 1:
                 self.of_byte[raw[k][0]] = i
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair (left << 32 | right) to rank << 32 | id.
+        self.merges: dict[int, int] = {}
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.merges.setdefault(ids[a] << 32 | ids[b], rank << 32 | ids[a + b])
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens") or []}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pre-token: the pair of lowest rank first, from the left."""
-        ids, merges, far = [self.of_byte[b] for b in word], self.merges, (1 << 60, 0)
-        while len(ids) > 1:
-            best, rank, new = -1, 1 << 60, 0
-            for i in range(len(ids) - 1):
-                r, n = merges.get((ids[i], ids[i + 1]), far)
-                if r < rank:
-                    best, rank, new = i, r, n
-            if best < 0:
-                break
-            a, b, out, i = ids[best], ids[best + 1], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        of, get = self.of_byte, self.merges.get
+        ids = [of[b] for b in word]
+        pairs = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs and (low := min(pairs)) != NONE:
+            i = pairs.index(low)
+            ids[i : i + 2] = [low & 0xFFFFFFFF]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] << 32 | ids[i], NONE)
+            if i < len(pairs):
+                pairs[i] = get(ids[i] << 32 | ids[i + 1], NONE)
         return ids
 
 
@@ -187,20 +192,20 @@ class Encoder:
         self.table = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
 
     def word(self, w: str) -> bytes:
-        raw = w.encode()
-        ids = self.lexicon.get(raw)
-        return np.array(self.v.merge(raw), dtype="<u4").tobytes() if ids is None else ids
+        ids = self.words.get(w)
+        if ids is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            raw = w.encode()
+            ids = self.lexicon.get(raw)
+            if ids is None:
+                got = self.v.merge(raw)
+                ids = struct.pack(f"<{len(got)}I", *got)
+            self.words[w] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
-        out = []
-        for w in self.split(text):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[w] = self.word(w)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.word, self.split(text)))
 
     def plain(self, text: str) -> bytes:
         if not text:
@@ -212,9 +217,13 @@ class Encoder:
         for p in rest:
             ids = pieces.get(p, 0)
             if ids == 0:
-                if len(pieces) >= CACHE:
+                if len(pieces) >= CACHE_PIECES:
                     pieces.clear()
-                ids = pieces[p] = None if not p or p[0].isspace() or p[-1].isspace() else b"".join(map(self.word, self.split(" " + p)))
+                if own := simple(p):
+                    ids = self.word(" " + own[0]) + self.word(own[1]) if own[1] else self.word(" " + p)
+                else:
+                    ids = None if not p or p[0].isspace() or p[-1].isspace() else b"".join(map(self.word, self.split(" " + p)))
+                pieces[p] = ids
             if ids is None:
                 return self.whole(text)
             out.append(ids)
@@ -241,8 +250,13 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def flush():
             for p, n in pieces.items():
-                for w in split(p):
-                    words[w] += n
+                if p[:1] == " " and (own := simple(p[1:])):
+                    words[" " + own[0]] += n
+                    if own[1]:
+                        words[own[1]] += n
+                else:
+                    for w in split(p):
+                        words[w] += n
             pieces.clear()
 
         def out():
@@ -267,9 +281,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """The `size` most frequent words of the whole corpus (ties by word), compiled; the bound on
-    its size is `size`."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    """At most `size` words, the most frequent of the whole corpus, compiled."""
+    top = common.highest(word_counts(docs, text), "n", size, "word-counts").select("word").collect()
     return compile_lexicon({w: vocabulary.merge(w) for r in top if (w := r.word.encode())})
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Labelled rows learnt from at most (smallest hashes of doc_id first): the documented bound.
+#: Labelled rows learnt from (drawn by a hash of doc_id): the documented bound.
 SAMPLE = 40_000
 #: Features of the model at most.
 FEATURES = 50_000
@@ -191,9 +191,11 @@ class Weights(dict):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """doc_id, text, y of at most `sample` labelled rows to learn from, drawn by hash."""
+    """doc_id, text, y of about `sample` labelled rows at most to learn from, drawn by hash."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    ids = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    share = min(1.0, sample / max(1, own.count()))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
@@ -245,8 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     sizes = {r["y"]: r["n"] for r in rows.where("not half").groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    got = rows.where("not half").select("text", "y").mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3").withColumn("w", odds).where("w > 0.5").orderBy(F.desc("w"), "f").limit(FEATURES).select("f", "w")
-    model = {r["f"]: r["w"] for r in got.collect()}
+    got = rows.where("not half").select("text", "y").mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3").withColumn("w", odds).where("w > 0.5").select("f", "w")
+    model = {r["f"]: r["w"] for r in common.highest(got, "w", FEATURES, "toxic-features").collect()}
     model_held = spark.sparkContext.broadcast(model)
 
     def summarise(batches):
