@@ -257,9 +257,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = common.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.materialize(large, "large")
+        low = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = common.materialize(small, "edges")
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -280,7 +281,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     reps = common.materialize(reps.select("key", "rep", F.coalesce(F.col("rep").cast("long"), F.lit(-(2**62))).alias("k1"), "copies", "paths"), "representatives")
     steps = reps.select("key", F.explode("paths").alias("path"))
-    counts = steps.groupBy("path").agg(F.count("*").alias("c")).where("c > 1")
+    # aggregates are written before they are joined back: Spark splits hot keys between plain exchanges only
+    counts = common.materialize(steps.groupBy("path").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     held = common.materialize(steps.join(counts, "path"), "buckets")
     small = held.where(F.col("c") <= BUCKET).select("path", "key")
     large = held.where(F.col("c") > BUCKET)
@@ -312,7 +314,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
     label = components(links.select("key", "root"))
     total = links.groupBy("key").agg(F.sum("links").alias("links"))
     of_key = reps.select("key", "rep", "copies").join(total, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = of_key.groupBy("label").agg(F.min("rep").alias("class_id"))
+    of_key = common.materialize(of_key, "labelled")
+    least = common.materialize(of_key.groupBy("label").agg(F.min("rep").alias("class_id")), "least")
     of_key = common.materialize(of_key.join(least, "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
     return rows.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_links", "n_copies")
 
