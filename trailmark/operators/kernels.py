@@ -1,0 +1,247 @@
+"""Image kernels in numpy, run on Arrow batches: mixture backgrounds, blobs, radial edges, fills."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def em_two(x: np.ndarray, reg: float = 1e-3, iterations: int = 100) -> tuple[np.ndarray, ...]:
+    """Two normal components for each column of x (samples x pixels): means, variances, weight of the
+    second, log likelihood. Starts at the quartiles; stops where the sum of likelihoods rests."""
+    n = len(x)
+    m = np.percentile(x, [25, 75], axis=0)
+    m[1] = np.maximum(m[1], m[0] + 1)
+    var = np.tile(x.var(axis=0) + reg, (2, 1))
+    w, before = np.full((2, x.shape[1]), 0.5), None
+    for _ in range(iterations):
+        logp = np.log(w)[:, None] - 0.5 * (np.log(2 * math.pi * var)[:, None] + (x[None] - m[:, None]) ** 2 / var[:, None])
+        top = logp.max(axis=0)
+        ll = (top + np.log(np.exp(logp - top).sum(axis=0))).sum(axis=0)
+        resp = np.exp(logp - top) / np.exp(logp - top).sum(axis=0)
+        nk = resp.sum(axis=1) + 1e-12
+        m = (resp * x[None]).sum(axis=1) / nk
+        var = (resp * (x[None] - m[:, None]) ** 2).sum(axis=1) / nk + reg
+        w = nk / n
+        if before is not None and abs(ll.sum() - before) <= 1e-4 * x.shape[1]:
+            break
+        before = ll.sum()
+    return m, var, w, ll
+
+
+def mixture_background(x: np.ndarray, min_std: float = 10.0, gain: float = 10.0, low: float = 120.0) -> np.ndarray:
+    """Background of each pixel: the mean, or the brighter of two components where the information
+    criterion prefers two by `gain`."""
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    out = mean.copy()
+    unique = np.array([len(np.unique(c)) for c in x.T])
+    ask = np.flatnonzero((unique >= 5) & (std >= min_std))
+    if len(ask):
+        own = x[:, ask]
+        n = len(own)
+        m, _, _, ll2 = em_two(own)
+        var = own.var(axis=0) + 1e-3
+        ll1 = -0.5 * n * (np.log(2 * math.pi * var) + own.var(axis=0) / var)
+        bic1, bic2 = 2 * math.log(n) - 2 * ll1, 5 * math.log(n) - 2 * ll2
+        out[ask] = np.where(bic2 + gain < bic1, np.maximum(m.max(axis=0), low), mean[ask])
+    return out
+
+
+def gmm_background(stack: DataFrame) -> DataFrame:
+    """roi, pix, value: mixture backgrounds, a block of pixels at a time."""
+
+    def run(pdf):
+        import pandas as pd
+
+        wide = pdf.pivot_table(index="sample", columns="pix", values="v").sort_index()
+        return pd.DataFrame({"roi": pdf["roi"].iloc[0], "pix": wide.columns.astype("int32"), "value": np.round(mixture_background(wide.to_numpy(dtype=np.float64)), 3)})
+
+    return stack.withColumn("block", (F.col("pix") / 4096).cast("int")).groupBy("roi", "block").applyInPandas(run, "roi int, pix int, value double")
+
+
+def ellipse_element(size: int) -> np.ndarray:
+    """Flat elliptical element of an odd size."""
+    r = size // 2
+    y, x = np.mgrid[-r : r + 1, -r : r + 1]
+    return (x * x + y * y) <= (r + 0.5) ** 2
+
+
+def _shifted(mask: np.ndarray, element: np.ndarray, fill: bool):
+    r, (h, w) = element.shape[0] // 2, mask.shape
+    wide = np.pad(mask, r, constant_values=fill)
+    for dy, dx in np.argwhere(element):
+        yield wide[dy : dy + h, dx : dx + w]
+
+
+def erode(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce(list(_shifted(mask, element, True)))
+
+
+def dilate(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce(list(_shifted(mask, element, False)))
+
+
+def open_close(mask: np.ndarray, opening: int = 3, closing: int = 5) -> np.ndarray:
+    if opening > 1:
+        e = ellipse_element(opening)
+        mask = dilate(erode(mask, e), e)
+    if closing > 1:
+        e = ellipse_element(closing)
+        mask = erode(dilate(mask, e), e)
+    return mask
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """Labels of connected parts (with diagonals), 0 outside, by spreading the least label."""
+    h, w = mask.shape
+    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
+    far = h * w + 1
+    while True:
+        wide = np.pad(np.where(label == 0, far, label), 1, constant_values=far)
+        least = np.min([wide[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
+        new = np.where(mask, least, 0)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def ellipses(mask: np.ndarray, area_min: float, area_max: float, top: int = 5) -> list[tuple[float, ...]]:
+    """(x, y, angle, major, minor, area) of the largest parts in the area range, from pixel moments."""
+    label, out = components(mask), []
+    for k in np.unique(label[label > 0]):
+        y, x = np.nonzero(label == k)
+        area = float(len(x))
+        if not area_min <= area <= area_max:
+            continue
+        cov = np.cov(np.stack([x, y]), bias=True) + np.eye(2) / 12 if area > 1 else np.eye(2) / 12
+        values, vectors = np.linalg.eigh(cov)
+        angle = math.degrees(math.atan2(vectors[1, 1], vectors[0, 1]))
+        out.append((float(x.mean()), float(y.mean()), (angle + 90) % 180 - 90, 4 * math.sqrt(values[1]), 4 * math.sqrt(values[0]), area))
+    return sorted(out, key=lambda e: (-e[5], e[1], e[0]))[:top]
+
+
+def disk(side: int, share: float = 1.0) -> np.ndarray:
+    y, x = np.mgrid[:side, :side]
+    c = (side - 1) / 2
+    return (x - c) ** 2 + (y - c) ** 2 <= (share * side / 2) ** 2
+
+
+def detect(stack: DataFrame, bg: DataFrame, side: int, threshold: float = 60, area_min: float = 1, area_max: float = 1500, opening: int = 1, closing: int = 3) -> DataFrame:
+    """Blobs darker than the background in each image: roi, sample, rank, x, y, angle, axes, area."""
+    images = stack.join(bg, ["roi", "pix"]).groupBy("roi", "sample").agg(F.sort_array(F.collect_list(F.struct("pix", (F.col("value") - F.col("v")).alias("d")))).alias("p"))
+    images = images.select("roi", "sample", F.col("p.d").alias("d"))
+
+    def run(batches):
+        import pandas as pd
+
+        inside = disk(side)
+        for b in batches:
+            out = []
+            for roi, sample, d in zip(b["roi"], b["sample"], b["d"], strict=True):
+                mask = (np.asarray(d).reshape(side, side) > threshold) & inside
+                for rank, e in enumerate(ellipses(open_close(mask, opening, closing), area_min, area_max)):
+                    out.append((roi, sample, rank, *np.round(e, 4)))
+            yield pd.DataFrame(out, columns=["roi", "sample", "rank", "x", "y", "angle_deg", "major", "minor", "area"])
+
+    return images.mapInPandas(run, "roi int, sample bigint, rank int, x double, y double, angle_deg double, major double, minor double, area double")
+
+
+def radial_edge(img: np.ndarray, cx: float, cy: float, r: float, angles: int = 48) -> float:
+    """Mean step from inside to outside of a circle."""
+    a = np.linspace(0, 2 * math.pi, angles, endpoint=False)
+
+    def ring(q):
+        x = np.clip(np.rint(cx + q * np.cos(a)).astype(int), 0, img.shape[1] - 1)
+        y = np.clip(np.rint(cy + q * np.sin(a)).astype(int), 0, img.shape[0] - 1)
+        return img[y, x].astype(np.float64)
+
+    return float((ring(r + 1) - ring(max(0.0, r - 1))).mean())
+
+
+def find_port(img: np.ndarray, r_arena: float, least: float = 4.0, off_centre: float = 0.30, radii: tuple[float, float] = (0.04, 0.14)) -> tuple[float, ...] | None:
+    """(cx, cy, r, conf, offset) of the best dark disk near the centre, coarse then fine."""
+    cy0, cx0 = (img.shape[0] - 1) / 2, (img.shape[1] - 1) / 2
+    reach = off_centre * r_arena
+    rs = np.unique(np.round(np.linspace(max(1.0, radii[0] * r_arena), max(1.5, radii[1] * r_arena), 6), 2))
+    best = None
+    for step in (max(1.0, reach / 8), 0.5):
+        around = (cx0, cy0, reach) if best is None else (best[1], best[2], 2.0)
+        for y in np.arange(around[1] - around[2], around[1] + around[2] + 1e-9, step):
+            for x in np.arange(around[0] - around[2], around[0] + around[2] + 1e-9, step):
+                if math.hypot(x - cx0, y - cy0) <= reach:
+                    for r in rs:
+                        s = radial_edge(img, x, y, r)
+                        if best is None or s > best[0]:
+                            best = (s, x, y, r)
+    if best is None or best[0] < least:
+        return None
+    s, x, y, r = best
+    return x, y, float(r), min(1.0, s / 16), math.hypot(x - cx0, y - cy0) / max(1.0, r_arena)
+
+
+def ports_from_stack(bg: DataFrame, side: int) -> DataFrame:
+    """The port of each arena's background; arenas without a clear one have no row."""
+    images = bg.groupBy("roi").agg(F.sort_array(F.collect_list(F.struct("pix", "value"))).alias("p")).select("roi", F.col("p.value").alias("v"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(roi, *np.round(found, 3)) for roi, v in zip(b["roi"], b["v"], strict=True) if (found := find_port(np.asarray(v).reshape(side, side), side / 2))]
+            yield pd.DataFrame(out, columns=["roi", "cx", "cy", "r", "conf", "offset_frac"])
+
+    return images.mapInPandas(run, "roi int, cx double, cy double, r double, conf double, offset_frac double")
+
+
+def harmonic_fill(img: np.ndarray, hole: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """The hole filled smoothly from its rim: repeated means of 3 x 3 boxes."""
+    out = img.astype(np.float64).copy()
+    if not hole.any() or hole.all():
+        return img
+    out[hole] = out[~hole].mean()
+    h, w = img.shape
+    for _ in range(rounds):
+        wide = np.pad(out, 1, mode="edge")
+        mean = sum(wide[a : a + h, b : b + w] for a in range(3) for b in range(3)) / 9
+        out[hole] = mean[hole]
+    return np.clip(np.rint(out), 0, 255).astype(img.dtype)
+
+
+def crop(img: np.ndarray, cx: float, cy: float, size: int, pad: str = "background") -> tuple[np.ndarray, int, int, bool]:
+    """A square around a point, padded with the image's median or its edge; origin; whether it was padded."""
+    x0, y0 = round(cx) - size // 2, round(cy) - size // 2
+    h, w = img.shape
+    beyond = x0 < 0 or y0 < 0 or x0 + size > w or y0 + size > h
+    ys, xs = np.arange(y0, y0 + size), np.arange(x0, x0 + size)
+    out = img[np.clip(ys, 0, h - 1)[:, None], np.clip(xs, 0, w - 1)[None]]
+    if beyond and pad == "background":
+        out = out.copy()
+        out[(ys < 0) | (ys >= h)] = np.median(img)
+        out[:, (xs < 0) | (xs >= w)] = np.median(img)
+    return out, x0, y0, beyond
+
+
+class BackgroundState:
+    """A plate that follows slow drifts: the median difference over pixels away from objects; pixels may
+    move towards the image, up and down at different rates, after the drift is taken."""
+
+    def __init__(self, plate: np.ndarray, arena: np.ndarray, protect: float = 25.0, grow: int = 7, asymmetric: bool = False, up: float = 1.0, down: float = 0.02):
+        self.plate, self.arena, self.protect, self.grow = plate.astype(np.float32), arena, protect, grow
+        self.asymmetric, self.up, self.down = asymmetric, up, down
+        self.foreground = np.zeros(plate.shape, dtype=bool)
+        self.drift = 0.0
+
+    def step(self, gray: np.ndarray, at: tuple[float, float] | None = None) -> np.ndarray:
+        y, x = np.mgrid[: gray.shape[0], : gray.shape[1]]
+        near = np.zeros(gray.shape, dtype=bool) if at is None else (x - at[0]) ** 2 + (y - at[1]) ** 2 <= self.protect**2
+        safe = self.arena & ~near & ~(dilate(self.foreground, ellipse_element(self.grow)) if self.foreground.any() else self.foreground)
+        d = gray.astype(np.float32) - self.plate
+        self.drift = float(np.median(d[safe])) if safe.any() else 0.0
+        out = np.clip(self.plate + self.drift, 0, 255).astype(np.uint8)
+        if self.asymmetric:
+            rest = d - self.drift
+            self.plate = np.where(safe, self.plate + np.where(rest > 0, np.minimum(rest, self.up), np.maximum(rest, -self.down)), self.plate).astype(np.float32)
+        return out
