@@ -30,6 +30,8 @@ from .imatch import Terms
 
 WORDS, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
 DEPTH, DEEPEST, BUCKET = 2, 4, 256
+#: Sets in a block of what is compared in blocks.
+TILE = 512
 _ODD = common.mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -297,7 +299,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
         leaves = deep.join(parents, "parent", "left_semi").join(sizes, "path").where((F.col("c") <= BUCKET) | (F.col("depth") == DEEPEST)).select("path", "key", "c").distinct()
         leaves = common.materialize(leaves, "leaves")
         small = small.union(leaves.where(F.col("c") <= BUCKET).select("path", "key"))
-        tiles = F.ceil(F.col("c") / BUCKET).cast("int")
+        tiles = F.ceil(F.col("c") / TILE).cast("int")
         tile = F.pmod(F.xxhash64("key", "path"), F.col("tiles")).cast("int")
         dealt = leaves.where(F.col("c") > BUCKET).withColumn("tiles", tiles).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         blocks = dealt.select("path", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).alias("second"), "key")
