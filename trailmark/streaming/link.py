@@ -6,11 +6,14 @@ frames skipped in between count as frames without candidates.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from ..operators.linking import LINKED, Linker, Settings
 
-STATE = "lx double, ly double, misses int, kx array<float>, kp array<float>, seen bigint"
+#: One JSON text: the state has parts that may be missing.
+STATE = "state string"
 
 
 def link_stream(frames: DataFrame, settings: Settings) -> DataFrame:
@@ -22,7 +25,7 @@ def link_stream(frames: DataFrame, settings: Settings) -> DataFrame:
         roi = key[0]
         linker, seen = Linker(settings, settings.centers.get(roi, (0.0, 0.0))), -1
         if state.exists:
-            *held, seen = state.get
+            *held, seen = json.loads(state.get[0])
             linker.restore(*held)
         out = []
         rows = pd.concat(list(batches)).sort_values("frame")
@@ -33,7 +36,7 @@ def link_stream(frames: DataFrame, settings: Settings) -> DataFrame:
                 r = linker.step([(c["x"], c["y"], c["area"]) for c in cs] if f == frame else [])
                 out.append((roi, f, r["x"], r["y"], r["gate"], r["missed"]))
             seen = int(frame)
-        state.update((*linker.state(), seen))
+        state.update((json.dumps([*linker.state(), seen]),))
         yield pd.DataFrame(out, columns=["roi", "frame", "x", "y", "gate", "missed"])
 
     return frames.groupBy("roi").applyInPandasWithState(run, LINKED, STATE, "append", "NoTimeout")
