@@ -53,6 +53,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/trailmark/" in folder:
+                drop_path(df.sparkSession, folder)
+
+
 def _clean() -> None:
     for spark, path in _MADE:
         try:

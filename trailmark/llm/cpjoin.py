@@ -35,9 +35,9 @@ TILE = 512
 _ODD = common.mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, depth: int = DEPTH) -> int:
+def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, depth: int = DEEPEST) -> int:
     """A pair at the threshold of sets of equal size n shares 2t/(1+t) n tokens, each of which is
-    chosen with probability 1/(t n): Poisson-many common children, at each depth."""
+    chosen with probability 1/(t n): Poisson-many common children, at each depth, down to the deepest."""
     mean, found = 2 / (1 + threshold), 1.0
     for _ in range(depth):
         found = 1 - math.exp(-mean * found)
@@ -64,10 +64,11 @@ def set_key(s: np.ndarray, text: str) -> bytes:
 
 
 def children(s: np.ndarray, path: int, threshold: float) -> np.ndarray:
-    """Paths of the tokens chosen at a node."""
-    drawn = common.mix64(s ^ np.uint64(path))
+    """Paths of the tokens chosen at a node: multiply-shift hashing by the path, of mixed tokens."""
+    with np.errstate(over="ignore"):
+        drawn = s * np.uint64(path | 1)
     bound = min(1.0, 1 / (threshold * len(s)))
-    return common.mix64(drawn[drawn < np.uint64(min(bound * 2.0**64, 2.0**64 - 2049))] + np.uint64(1))
+    return common.mix64(s[drawn <= np.uint64(min(bound * 2.0**64, 2.0**64 - 2049))] ^ np.uint64(path))
 
 
 def roots(runs: int) -> list[int]:
@@ -264,7 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = common.materialize(large, "large")
         low = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = common.materialize(small, "edges")
+        done, e = e, common.materialize(small, "edges")
+        common.discard(done)
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -282,6 +284,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
     rows = common.materialize(_set_rows(docs, runs, threshold), "paths")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     reps = common.materialize(reps.select("key", "rep", F.coalesce(F.col("rep").cast("long"), F.lit(-(2**62))).alias("k1"), "copies", "paths"), "representatives")
+    wide, rows = rows, common.materialize(rows.select("doc_id", "key"), "keys")
+    common.discard(wide)
     steps = reps.select("key", F.explode("paths").alias("path"))
     # aggregates are written before they are joined back: Spark splits hot keys between plain exchanges only
     counts = common.materialize(steps.groupBy("path").agg(F.count("*").alias("c")).where("c > 1"), "counts")
@@ -307,6 +311,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
     members = small.groupBy("path").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     once = members.groupBy("keys").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(False).alias("second"), F.explode("keys").alias("key"))
     units = common.materialize(once if blocks is None else once.unionByName(blocks), "units")
+    common.discard(held, *([deep, leaves] if blocks is not None else []))
     paths = units.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("held")).join(reps.select("key", "k1", "copies"), "key")
     paths = common.materialize(paths, "held")
     sets = _sets(docs, paths)

@@ -181,13 +181,14 @@ class Weights(dict):
         w = self[raw] = max((get(f, 0.0) for word in self.restorer.words(raw) for f in features(word)), default=0.0)
         return w
 
-    def summary(self, text: str) -> list[float]:
-        """The two strongest weights, and how many are strong."""
+    def summary(self, text: str) -> float:
+        """The strongest weight; the second and the number of strong ones count a tenth, so that one
+        strong word is enough."""
         words = text.split()
         seen = set(words)
         seen.update(spaced(words))
         got = sorted((w for w in map(self.__getitem__, seen) if w > 0.5), reverse=True)
-        return [got[0] if got else 0.0, got[1] if len(got) > 1 else 0.0, math.log1p(sum(w > 2 for w in got))]
+        return sum(got[:1]) + 0.1 * sum(got[1:2]) + 0.1 * math.log1p(sum(w > 2 for w in got))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
@@ -254,16 +255,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def summarise(batches):
         weights = Weights(Restorer(held.value), model_held.value)
         for b in batches:
-            s = [weights.summary(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([x[i] for x in s], pa.float64()) for i in range(3)] + [b.column(1)], ["a", "b", "c", "y"])
+            yield pa.record_batch([pa.array([weights.summary(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "y"])
 
-    fit = rows.where("half").select("text", "y").mapInArrow(summarise, "a double, b double, c double, y int").toArrow()
+    fit = rows.where("half").select("text", "y").mapInArrow(summarise, "x double, y int").toArrow()
     y = fit.column("y").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = toxic / (toxic + clean) if toxic + clean else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return costs, model, np.array([0.0, 0.0, 0.0, math.log(share / (1 - share))])
-    return costs, model, logistic(np.stack([fit.column(k).to_numpy() for k in "abc"], axis=1), y)
+        return costs, model, np.array([0.0, math.log(share / (1 - share))])
+    return costs, model, logistic(fit.column("x").to_numpy().reshape(-1, 1), y)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, sample: int, threshold: float) -> DataFrame:
@@ -278,7 +278,7 @@ def _scored(docs: DataFrame, labels: DataFrame, sample: int, threshold: float) -
         costs, model, w = held.value
         weights = Weights(Restorer(costs), model)
         for b in batches:
-            x = np.array([weights.summary(t) for t in b.column(1).to_pylist()]).reshape(-1, 3)
+            x = np.array([weights.summary(t) for t in b.column(1).to_pylist()]).reshape(-1, 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
