@@ -280,12 +280,14 @@ def _texts(batches):
 def repeated_starts(keyed: DataFrame) -> DataFrame:
     """k1, k2, a, b: starts a to b of windows that occur elsewhere too."""
     rows = common.materialize(keyed.select("k1", "k2", "text").mapInArrow(_anchors, "g bigint, c bigint, k1 bigint, k2 bigint, p bigint, before smallint, span smallint"), "anchors")
-    grams = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("g", (F.col("c1") != F.col("c2")).alias("mixed"))
+    # aggregates are written before they are joined back: Spark splits hot keys between plain exchanges only
+    grams = common.materialize(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("g", (F.col("c1") != F.col("c2")).alias("mixed")), "grams")
     found = common.materialize(rows.join(grams, "g"), "repeated-grams")
     mixed = found.where("mixed")
     kinds = mixed.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("first"))
     kinds = common.materialize(kinds, "surroundings")
     hot = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("g", F.lit(True).alias("hot"))
+    common.discard(rows, grams)
     twice = kinds.where("n > 1").select("g", "c", F.lit(True).alias("twice"))
     whole = found.where("not mixed").select("k1", "k2", "p", "before", "span").union(mixed.join(twice, ["g", "c"], "left_semi").select("k1", "k2", "p", "before", "span"))
     first = kinds.join(hot, "g", "left").select("g", "c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.p").alias("p"), (F.col("n") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot"))
