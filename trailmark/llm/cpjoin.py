@@ -31,7 +31,7 @@ from .imatch import Terms
 WORDS, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
 DEPTH, DEEPEST, BUCKET = 2, 4, 256
 #: Sets in a block of what is compared in blocks.
-TILE = 512
+TILE = 1024
 _ODD = common.mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
