@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["roi", "track_id", "frame"]
@@ -37,8 +37,6 @@ def best_batch(runs: DataFrame, video_crops: int) -> DataFrame:
 
 
 def _all():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(1))
 
 
@@ -62,3 +60,22 @@ def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
     failed, warned = F.count_if(F.col("status") == "fail"), F.count_if(F.col("status") == "warn")
     ok = (failed == 0) & (warned == 0) if strict else failed == 0
     return checks.groupBy("video").agg(ok.alias("ok"), failed.alias("failed"), warned.alias("warned"), F.max("n_neg_dt").alias("n_neg_dt"))
+
+
+def jumps(tracks: DataFrame) -> DataFrame:
+    """Distance of each row from the previous one of its track; null for the first."""
+    w = Window.partitionBy("roi", "track_id").orderBy("frame")
+    return tracks.withColumn("jump_px", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+
+
+def progress(updates: DataFrame, total: int, alpha: float = 0.05, warmup: int = 10) -> DataFrame:
+    """From updates (run, t_s, done): smoothed seconds a frame and seconds left of each run, null before as many
+    steps as the warm-up has. Updates without progress count for nothing; a run's are few, and folded in order."""
+    w = Window.partitionBy("run").orderBy("done")
+    steps = updates.groupBy("run", "done").agg(F.min("t_s").alias("t_s"))
+    pace = (F.col("t_s") - F.lag("t_s").over(w)) / (F.col("done") - F.lag("done").over(w))
+    steps = steps.withColumn("v", pace).where("v > 0").withColumn("i", F.row_number().over(w))
+    fold = F.aggregate("s", F.lit(None).cast("double"), lambda e, s: F.coalesce(e + F.when(s["i"] < warmup, min(0.3, 3 * alpha)).otherwise(alpha) * (s["v"] - e), s["v"]))
+    runs = steps.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"), F.max("done").alias("done"))
+    ready = F.size("s") >= warmup
+    return runs.select("run", F.size("s").alias("n_steps"), "done", F.when(ready, fold).alias("s_per_frame")).withColumn("left_s", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("s_per_frame"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import r6
-from ..operators import compare, geometry, kernels, linking, pixels, pose, qc, trajectory
+from ..functions.common import clock, human_size, r6
+from ..operators import backgrounds, compare, geometry, kernels, labels, linking, pixels, pose, qc, trajectory
 from ..sources import readers, views
 from ..sources.views import with_views
 
@@ -360,6 +360,40 @@ def detect_blobs(s, d):
     return kernels.detect(views.stack(s, d), _bg(s, d, 0.9), 8)
 
 
+def adaptive_background(s, d):
+    return backgrounds.model(views.stack(s, d), 8, fill=True)
+
+
+def _labels(s, d):
+    t = views.tracks(s, d)
+    edited = t.select(*K, (F.col("event_id") % 4 != 0).alias("labeled"), (F.col("event_id") % 9 == 0).alias("bad"))
+    return labels.swap(labels.seeded(t).drop("labeled", "bad").join(edited, K), F.col("frame") % 3 == 0)
+
+
+def label_manifest(s, d):
+    return rounded(labels.manifest(_labels(s, d)), "x_full", "y_full", "x_crop", "y_crop").select(*K, "keypoint", "x_full", "y_full", "x_crop", "y_crop", "visible")
+
+
+def best_batch(s, d):
+    runs = views.table(s, d, "lineitem").select((F.col("l_linenumber") * 16).alias("batch_size"), (F.col("l_quantity") * 10).alias("crops"), (F.col("l_extendedprice") / 1000).alias("seconds"))
+    return rounded(compare.best_batch(runs, 10_001), "crops_per_s", "video_s")
+
+
+def detection_jumps(s, d):
+    return rounded(compare.jumps(views.tracks(s, d)), "jump_px").select(*K, "jump_px")
+
+
+def progress_left(s, d):
+    w = Window.partitionBy("user_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    updates = views.numbered(s, d).select(F.col("user_id").alias("run"), "t_s", F.sum(F.col("k") % 7).over(w).alias("done"))
+    return rounded(compare.progress(updates, 1000), "s_per_frame", "left_s")
+
+
+def size_texts(s, d):
+    o = views.table(s, d, "orders")
+    return o.select("o_orderkey", human_size(F.col("o_orderkey") * F.col("o_orderkey") * 1000 + 7).alias("size"), clock(F.col("o_orderkey") * 37).alias("clock"))
+
+
 def radial_port(s, d):
     return kernels.ports_from_stack(_bg(s, d, 0.9), 8)
 
@@ -368,7 +402,7 @@ _NAMES = [
     "dedupe_tracks", "kinematics", "angle_unwrap", "angle_unwrap_all", "roi_local", "port_distance", "port_offsets", "crop_manifest", "crop_geometry", "detect_rescale", "seed_keypoints", "roi_window", "timing_dt", "timing_timestamp", "resample", "interpolate", "stride_filter",
     "qc_flags", "qc_flag_label", "missing_report", "qc_summary", "run_summary", "coverage_raster", "hist_speed", "hist_area", "hist_contrast", "occupancy_2d", "candidate_counts", "flagged_spread", "follow_asof", "trail_window", "main_track", "compare_tracks", "key_sets", "bench_stats", "validate_rollup",
     "pose_wide", "pose_flags", "pose_flag_rates", "pose_confidence", "heatmap_argmax", "heatmap_centroid", "context_windows", "match_nearest", "uniform_sample", "diversity_sample", "random_sample", "topk_candidates", "reading_order",
-    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "gmm_background", "detect_blobs", "radial_port",
+    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background", "detect_blobs", "radial_port",
 ]
 
 
@@ -500,4 +534,12 @@ def oracle_sql() -> dict[str, str]:
         "link_trace": with_views("candidates rois", f"{_LINK} SELECT roi, frame, gate, x IS NULL AS missed FROM link WHERE frame >= 0", recursive=True),
         "flag_speed_rollup": with_views("tracks rois", f", {_KIN} SELECT roi, count(*) AS n, {_r('avg(speed_mm_s)')} AS mean FROM kin GROUP BY ROLLUP (roi)"),
     }
+    other = "CASE WHEN frame % 3 = 0 AND keypoint = 'wingL' THEN 'wingR' WHEN frame % 3 = 0 AND keypoint = 'wingR' THEN 'wingL' ELSE keypoint END"
+    sql |= {
+        "label_manifest": with_views("tracks", f"SELECT {k}, {other} AS keypoint, {_r('x_crop + ' + origin('x'))} AS x_full, {_r('y_crop + ' + origin('y'))} AS y_full, x_crop, y_crop, true AS visible FROM ({sql['seed_keypoints']}) s JOIN tracks t USING (roi, track_id, frame) WHERE event_id % 4 <> 0 AND event_id % 9 <> 0"),
+        "best_batch": f"SELECT batch_size, {_r('c')} AS crops_per_s, {_r('ceil(10001 / batch_size::double) * batch_size / c')} AS video_s, c = max(c) OVER () AS best FROM (SELECT l_linenumber * 16 AS batch_size, sum(l_quantity * 10) / sum(l_extendedprice / 1000) AS c FROM lineitem GROUP BY 1)",
+        "detection_jumps": with_views("tracks", f"SELECT {k}, {_r('sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w))')} AS jump_px FROM tracks WINDOW w AS (PARTITION BY roi, track_id ORDER BY frame)"),
+        "progress_left": with_views("ev", f", u AS (SELECT user_id AS run, t_s, sum(k % 7) OVER (PARTITION BY user_id ORDER BY frame)::bigint AS done FROM ev), m AS (SELECT run, done, min(t_s) AS t FROM u GROUP BY 1, 2), p AS (SELECT run, done, (t - lag(t) OVER w) / (done - lag(done) OVER w) AS v FROM m WINDOW w AS (PARTITION BY run ORDER BY done)), i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY done) AS i FROM p WHERE v > 0), l AS (SELECT run, count(*)::int AS n_steps, max(done) AS done, list_reduce(list({{'a': CASE WHEN i < 10 THEN 0.15::double ELSE 0.05::double END, 'v': v}} ORDER BY i), lambda e, q: {{'a': q.a, 'v': e.v + q.a * (q.v - e.v)}}) AS e FROM i GROUP BY run) SELECT run, n_steps, done, {_r('CASE WHEN n_steps >= 10 THEN e.v END')} AS s_per_frame, {_r('greatest(0, 1000 - done) * CASE WHEN n_steps >= 10 THEN e.v END')} AS left_s FROM l"),
+        "size_texts": "SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.1f TB', n / 1099511627776.0::double) WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0::double) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::double) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%d B', n) END AS size, CASE WHEN c >= 3600 THEN printf('%d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) ELSE printf('%d:%02d', c // 60, c % 60) END AS clock FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 1000 + 7 AS n, o_orderkey * 37 AS c FROM orders)",
+    }
     return sql
