@@ -1,12 +1,16 @@
 """Configuration files, raw frames, hand labels, backgrounds."""
 
+import json
+import tomllib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import backgrounds, labels
-from trailmark.sources import config
+from trailmark.operators import backgrounds, compare, engine, labels, linking, qc
+from trailmark.sources import config, readers, reports
 from trailmark.sources.gray import GraySource
+from trailmark.streaming import sink
 
 
 def test_config(tmp_path):
@@ -135,3 +139,49 @@ def test_arenas():
     mask = (x - 60) ** 2 + (y - 60) ** 2 <= 900
     out = backgrounds.blur_inside(img, mask)
     assert (out[~mask] == img[~mask]).all() and out[60, 60] == 200
+
+
+def test_engine(spark):
+    crops = spark.createDataFrame([("a", 1, f, 0.1 * f, 10 + f, 20, False, bytearray([f] * 64)) for f in range(5)], "roi string, track_id bigint, frame bigint, t_s double, crop_x0_full int, crop_y0_full int, out_of_bounds boolean, pixels binary")
+    rois = spark.createDataFrame([("a", 12.0, 30.0, 5.0)], "roi string, cx double, cy double, r double")
+    got = engine.infer(crops, engine.mock([(0, 0), (0.25, -0.5)]), ["thorax", "head"], 8, rois).orderBy("frame", "keypoint").collect()
+    assert len(got) == 10 and {r["score"] for r in got} == {1.0}
+    head = got[2]
+    assert (head["keypoint"], head["x_crop"], head["y_crop"], head["x_full"], head["y_full"], head["x_roi"], head["y_roi"]) == ("head", 6, 0, 17, 20, 10, -5)
+    assert engine.infer(crops.limit(0), engine.mock([(0, 0)]), ["thorax"], 8).count() == 0
+    brightness = lambda images: (np.zeros((len(images), 1, 2)), images.mean(axis=(1, 2))[:, None])
+    assert sorted(r["score"] for r in engine.infer(crops, brightness, ["thorax"], 8).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_gate_contrast(spark):
+    rows = [("a", 0, 1, 0.0, 0.0, 50.0), ("a", 0, 2, 30.0, 0.0, 100.0), ("a", 0, 3, 0.0, 0.0, None), ("a", 1, 4, 0.0, 0.0, float("nan"))]
+    c = spark.createDataFrame(rows, "roi string, frame bigint, event_id bigint, x double, y double, contrast double").withColumns({"px": F.lit(0.0), "py": F.lit(0.0)})
+    ids = lambda df: sorted(r["event_id"] for r in df.collect())
+    assert ids(engine.gate_contrast(c)) == [1, 2, 3, 4] and ids(engine.gate_contrast(c, 60)) == [2] and ids(engine.gate_contrast(c, darkness=1)) == [1, 4] and ids(engine.gate_contrast(c, darkness=2)) == [2, 4]
+
+
+def test_dense_without_frames(spark):
+    c = spark.createDataFrame([("a", 0, 1, 0.0, 0.0, 5.0)], "roi string, frame bigint, event_id bigint, x double, y double, area double")
+    assert linking.dense(c, 0).count() == 0 and linking.dense(c, 3).count() == 3
+
+
+def test_stream_sink(spark, tmp_path):
+    for i in range(2):
+        spark.range(5 * i, 5 * i + 5).write.parquet(f"{tmp_path}/in/{i}")
+    for fmt in ("parquet", "csv"):
+        stream = spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in/*")
+        for _ in range(2):  # the second time there's nothing new
+            sink.append(stream, f"{tmp_path}/out.{fmt}", f"{tmp_path}/c-{fmt}").awaitTermination(60)
+        assert sorted(r["id"] for r in readers.read_table(spark, f"{tmp_path}/out.{fmt}").collect()) == list(range(10))
+
+
+def test_reports(spark, tracks):
+    summary = qc.summarize(qc.flags(tracks.withColumn("speed_mm_s", F.lit(float("nan")))))
+    text = reports.qc_json(summary.withColumn("edge_pinned", F.lit(False)), qc.run_summary(summary.withColumn("edge_pinned", F.lit(False))))
+    got = json.loads(text)
+    assert list(got["rois"]) == ["arena_01", "arena_02"] and got["run"]["n_rois"] == 2 and got["rois"]["arena_01"]["speed_mm_s_mean"] is None
+    assert reports.qc_html(text, "a<b").count("<tr>") == 3 and "a<b" not in reports.qc_html(text, "a<b")
+    runs = spark.createDataFrame([("fast", 100, 2.0), ("fast", 100, 4.0)], "mode string, frames bigint, seconds double")
+    assert tomllib.loads(reports.bench_toml({"commit": 'x"y'}, compare.bench_stats(runs))) == {"commit": 'x"y', "fast": {"fps_mean": 37.5, "fps_std": pytest.approx(17.67767), "ms_per_frame": pytest.approx(26.6667, abs=1e-3), "total_s": 6.0}}
+    batch = spark.createDataFrame([("a", 10, 0.0, 4.0), ("b", None, 1.0, 6.0), ("c", None, 2.0, None)], "video string, rows bigint, start_s double, end_s double")
+    assert reports.batch_summary(batch).first().asDict() == {"n_ok": 1, "n_total": 3, "total_rows": 10, "elapsed_s": 6.0, "left_s": 3.0}

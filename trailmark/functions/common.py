@@ -11,6 +11,15 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+#: Rows of a table that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it is found to have few rows; else Spark joins by exchange."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def has(df: DataFrame, *names: str) -> bool:
     return all(n in df.columns for n in names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import half_even, trunc_int
+from ..functions.common import half_even, small, trunc_int
 
 
 def scaled_to_full(v: Column, scale: float, origin: Column | float) -> Column:
@@ -24,7 +24,7 @@ def roi_origin(c: Column, r: Column) -> Column:
 def add_roi_local(tracks: DataFrame, rois: DataFrame) -> DataFrame:
     """x_roi, y_roi; rows of unknown arenas keep full coordinates."""
     origins = rois.select("roi", roi_origin(F.col("cx"), F.col("r")).alias("_x0"), roi_origin(F.col("cy"), F.col("r")).alias("_y0"))
-    out = tracks.join(F.broadcast(origins), "roi", "left")
+    out = tracks.join(small(origins), "roi", "left")
     return out.withColumns({"x_roi": F.col("x") - F.coalesce("_x0", F.lit(0)), "y_roi": F.col("y") - F.coalesce("_y0", F.lit(0))}).drop("_x0", "_y0")
 
 
@@ -87,6 +87,6 @@ def window_of_roi(tracks: DataFrame, rois: DataFrame, pad: float = 0.06, extra:
     half = F.greatest(side * (1 + 2 * pad) + 2 * extra, F.lit(floor)) / 2
     mx, my = (F.col("a") + F.col("b")) / 2, (F.col("c") + F.col("d")) / 2
     known = F.col("r").isNotNull()
-    j = span.join(F.broadcast(rois), "roi", "left")
+    j = span.join(small(rois), "roi", "left")
     pick = lambda a, b: F.when(known, a).otherwise(b)
     return j.select("roi", pick(F.col("cx") - F.col("r"), mx - half).alias("x0"), pick(F.col("cy") - F.col("r"), my - half).alias("y0"), pick(F.col("cx") + F.col("r"), mx + half).alias("x1"), pick(F.col("cy") + F.col("r"), my + half).alias("y1"))

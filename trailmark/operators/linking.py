@@ -98,7 +98,7 @@ def dense(cands: DataFrame, n_frames: int, top: int = 5) -> DataFrame:
     """roi, frame, cs: the frame's largest candidates, an empty list where there are none, so that gates
     grow over gaps."""
     own = cands.groupBy("roi", "frame").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("key"), "event_id", "x", "y", "area"))), 1, top).alias("cs"))
-    grid = cands.select("roi").distinct().crossJoin(F.broadcast(cands.sparkSession.range(n_frames).withColumnRenamed("id", "frame")))
+    grid = cands.select("roi").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_frames - 1).cast("long")))).where((F.col("frame") >= 0) & (F.col("frame") < n_frames))
     empty = F.expr("cast(array() as array<struct<key:double,event_id:bigint,x:double,y:double,area:double>>)")
     return grid.join(own, ["roi", "frame"], "left").select("roi", "frame", F.coalesce("cs", empty).alias("cs"))
 

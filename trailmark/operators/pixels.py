@@ -75,7 +75,7 @@ def first_last(stack: DataFrame) -> DataFrame:
 def floor_level(bg: DataFrame) -> DataFrame:
     """Median of the values that are no less than the arena's median."""
     m = bg.groupBy("roi").agg(F.median("value").alias("m"))
-    return bg.join(F.broadcast(m), "roi").where("value >= m").groupBy("roi").agg(F.median("value").alias("floor"))
+    return bg.join(m, "roi").where("value >= m").groupBy("roi").agg(F.median("value").alias("floor"))
 
 
 def spread(stack: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def diversity_sample(tracks: DataFrame, n: int, key: tuple[str, ...] = ("track_i
     """n rows, as many of each arena, round robin over six angle and three area classes, in an order
     by hash."""
     terciles = tracks.groupBy("roi").agg(F.percentile("area", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    out = tracks.join(F.broadcast(terciles), "roi")
+    out = tracks.join(terciles, "roi")
     angle = F.floor(F.pmod(F.col("angle_deg"), F.lit(180.0)) / 30).cast("int")
     area = F.when(F.col("area") <= F.col("q")[0], 0).when(F.col("area") <= F.col("q")[1], 1).otherwise(2)
     digest = F.md5(F.concat_ws("|", "roi", *[F.col(k).cast("string") for k in key]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import bucket, has, linspace_index
+from ..functions.common import bucket, has, linspace_index, small
 from .trajectory import KEY, by_frame
 
 FLAGS = ("area", "jump", "crop_oob", "multi", "low_contrast")
@@ -46,7 +46,7 @@ def missing_report(tracks: DataFrame, frame_count: int | None = None) -> DataFra
 def summarize(df: DataFrame, rois: DataFrame | None = None, frame_count: int | None = None, low_activity: float = 0.05, edge: float = 0.9) -> DataFrame:
     """Per arena: missing report, flag counts, speed, area and contrast, share of time at the wall."""
     if rois is not None and "r" not in df.columns:
-        df = df.join(F.broadcast(rois.select("roi", "r")), "roi", "left")
+        df = df.join(small(rois.select("roi", "r")), "roi", "left")
     at_wall = F.coalesce(F.col("r_center_px") > 0.85 * F.col("r"), F.lit(False)) if has(df, "r_center_px", "r") else None
     aggs = [F.sum(F.col(f"flag_{f}").cast("long")).alias(f"n_{f}") for f in FLAGS]
     if has(df, "speed_mm_s"):
@@ -77,13 +77,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Counts per arena in equal bins from its least to its largest value."""
     own = df.where(F.col(value).isNotNull())
     ends = own.groupBy("roi").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return own.join(F.broadcast(ends), "roi").groupBy("roi", bucket(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
+    return own.join(ends, "roi").groupBy("roi", bucket(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def occupancy(df: DataFrame, bins: int = 50) -> DataFrame:
     own = df.where("x is not null and y is not null")
     ends = own.groupBy("roi").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return own.join(F.broadcast(ends), "roi").groupBy("roi", bucket(F.col("x"), F.col("x0"), F.col("x1"), bins).alias("bx"), bucket(F.col("y"), F.col("y0"), F.col("y1"), bins).alias("by")).agg(F.count("*").alias("n"))
+    return own.join(ends, "roi").groupBy("roi", bucket(F.col("x"), F.col("x0"), F.col("x1"), bins).alias("bx"), bucket(F.col("y"), F.col("y0"), F.col("y1"), bins).alias("by")).agg(F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

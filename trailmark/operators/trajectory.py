@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import unwrapped_step
+from ..functions.common import small, unwrapped_step
 
 KEY = ("roi", "track_id")
 
@@ -41,7 +41,7 @@ def interpolate(tracks: DataFrame, columns: list[str]) -> DataFrame:
 def resample(tracks: DataFrame, frames: DataFrame, columns: list[str]) -> DataFrame:
     """Every track at every frame of `frames` (frame, t_s): missing rows are added and interpolated."""
     heads = tracks.select(*KEY).distinct()
-    grid = heads.crossJoin(F.broadcast(frames.select("frame", F.col("t_s").alias("_t"))))
+    grid = heads.crossJoin(small(frames.select("frame", F.col("t_s").alias("_t"))))
     out = grid.join(tracks, [*KEY, "frame"], "left").withColumn("t_s", F.col("_t")).drop("_t")
     return interpolate(out, columns)
 
@@ -58,7 +58,7 @@ def stride_frames(tracks: DataFrame, n: int) -> DataFrame:
 
 def add_center(tracks: DataFrame, rois: DataFrame, diameter_mm: float = 75.0) -> DataFrame:
     """Offsets from the arena's centre; rows of unknown arenas are dropped by the join."""
-    j = tracks.join(F.broadcast(rois.select("roi", "cx", "cy", "r")), "roi")
+    j = tracks.join(small(rois.select("roi", "cx", "cy", "r")), "roi")
     px = 2 * F.col("r") / diameter_mm
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     return j.withColumns({"dx_center_px": dx, "dy_center_px": dy, "r_center_px": F.hypot(dx, dy), "r_center_mm": F.hypot(dx, dy) / px, "x_mm": dx / px, "y_mm": dy / px, "px_per_mm": px}).drop("cx", "cy")
@@ -109,13 +109,13 @@ def unwrap_all(tracks: DataFrame, angle: str = "angle_deg") -> DataFrame:
 
 def add_port_distance(tracks: DataFrame, ports: DataFrame, rois: DataFrame, diameter_mm: float = 75.0) -> DataFrame:
     """Distance to the arena's port; null without one, the metric one also without an arena radius."""
-    j = tracks.join(F.broadcast(ports.select("roi", "port_x", "port_y")), "roi", "left").join(F.broadcast(rois.select("roi", F.col("r").alias("_r"))), "roi", "left")
+    j = tracks.join(small(ports.select("roi", "port_x", "port_y")), "roi", "left").join(small(rois.select("roi", F.col("r").alias("_r"))), "roi", "left")
     px = F.hypot(F.col("x") - F.col("port_x"), F.col("y") - F.col("port_y"))
     return j.withColumns({"dist_to_port_px": px, "dist_to_port_mm": F.when(F.col("_r") > 0, px * diameter_mm / (2 * F.col("_r")))}).drop("port_x", "port_y", "_r")
 
 
 def port_offsets(ports: DataFrame, rois: DataFrame) -> DataFrame:
     """Offset of each port as a share of its arena's radius, and the median port radius."""
-    j = ports.join(F.broadcast(rois), "roi")
+    j = ports.join(small(rois), "roi")
     shared = ports.agg(F.median("port_r").alias("shared_r"))
     return j.crossJoin(F.broadcast(shared)).withColumn("offset_frac", F.hypot(F.col("port_x") - F.col("cx"), F.col("port_y") - F.col("cy")) / F.greatest(F.lit(1.0), F.col("r")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import clock, human_size, r6
-from ..operators import backgrounds, compare, geometry, kernels, labels, linking, pixels, pose, qc, trajectory
+from ..operators import backgrounds, compare, engine, geometry, kernels, labels, linking, pixels, pose, qc, trajectory
 from ..sources import readers, views
 from ..sources.views import with_views
 
@@ -374,6 +374,12 @@ def label_manifest(s, d):
     return rounded(labels.manifest(_labels(s, d)), "x_full", "y_full", "x_crop", "y_crop").select(*K, "keypoint", "x_full", "y_full", "x_crop", "y_crop", "visible")
 
 
+def contrast_gate(s, d):
+    t = views.tracks(s, d).select("roi", F.floor(F.col("t_s") / 3600).cast("long").alias("frame"), "event_id", "x", "y", "contrast")
+    seen = rounded(engine.gate_contrast(t.join(views.rois(s).select("roi", F.col("cx").alias("px"), F.col("cy").alias("py")), "roi"), 20, 0.5), "score")
+    return seen.select("roi", "frame", "event_id", "score")
+
+
 def best_batch(s, d):
     runs = views.table(s, d, "lineitem").select((F.col("l_linenumber") * 16).alias("batch_size"), (F.col("l_quantity") * 10).alias("crops"), (F.col("l_extendedprice") / 1000).alias("seconds"))
     return rounded(compare.best_batch(runs, 10_001), "crops_per_s", "video_s")
@@ -402,7 +408,7 @@ _NAMES = [
     "dedupe_tracks", "kinematics", "angle_unwrap", "angle_unwrap_all", "roi_local", "port_distance", "port_offsets", "crop_manifest", "crop_geometry", "detect_rescale", "seed_keypoints", "roi_window", "timing_dt", "timing_timestamp", "resample", "interpolate", "stride_filter",
     "qc_flags", "qc_flag_label", "missing_report", "qc_summary", "run_summary", "coverage_raster", "hist_speed", "hist_area", "hist_contrast", "occupancy_2d", "candidate_counts", "flagged_spread", "follow_asof", "trail_window", "main_track", "compare_tracks", "key_sets", "bench_stats", "validate_rollup",
     "pose_wide", "pose_flags", "pose_flag_rates", "pose_confidence", "heatmap_argmax", "heatmap_centroid", "context_windows", "match_nearest", "uniform_sample", "diversity_sample", "random_sample", "topk_candidates", "reading_order",
-    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background", "detect_blobs", "radial_port",
+    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "contrast_gate", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background", "detect_blobs", "radial_port",
 ]
 
 
@@ -537,6 +543,7 @@ def oracle_sql() -> dict[str, str]:
     other = "CASE WHEN frame % 3 = 0 AND keypoint = 'wingL' THEN 'wingR' WHEN frame % 3 = 0 AND keypoint = 'wingR' THEN 'wingL' ELSE keypoint END"
     sql |= {
         "label_manifest": with_views("tracks", f"SELECT {k}, {other} AS keypoint, {_r('x_crop + ' + origin('x'))} AS x_full, {_r('y_crop + ' + origin('y'))} AS y_full, x_crop, y_crop, true AS visible FROM ({sql['seed_keypoints']}) s JOIN tracks t USING (roi, track_id, frame) WHERE event_id % 4 <> 0 AND event_id % 9 <> 0"),
+        "contrast_gate": with_views("tracks rois", f", c AS (SELECT roi, floor(t_s / 3600)::bigint AS frame, event_id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) / 40 AS d, contrast FROM tracks JOIN rois USING (roi) WHERE contrast >= 20), s AS (SELECT *, d - 0.5::double * contrast / max(contrast) OVER (PARTITION BY roi, frame) AS s FROM c) SELECT roi, frame, event_id, {_r('s')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY roi, frame ORDER BY s, event_id) = 1"),
         "best_batch": f"SELECT batch_size, {_r('c')} AS crops_per_s, {_r('ceil(10001 / batch_size::double) * batch_size / c')} AS video_s, c = max(c) OVER () AS best FROM (SELECT l_linenumber * 16 AS batch_size, sum(l_quantity * 10) / sum(l_extendedprice / 1000) AS c FROM lineitem GROUP BY 1)",
         "detection_jumps": with_views("tracks", f"SELECT {k}, {_r('sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w))')} AS jump_px FROM tracks WINDOW w AS (PARTITION BY roi, track_id ORDER BY frame)"),
         "progress_left": with_views("ev", f", u AS (SELECT user_id AS run, t_s, sum(k % 7) OVER (PARTITION BY user_id ORDER BY frame)::bigint AS done FROM ev), m AS (SELECT run, done, min(t_s) AS t FROM u GROUP BY 1, 2), p AS (SELECT run, done, (t - lag(t) OVER w) / (done - lag(done) OVER w) AS v FROM m WINDOW w AS (PARTITION BY run ORDER BY done)), i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY done) AS i FROM p WHERE v > 0), l AS (SELECT run, count(*)::int AS n_steps, max(done) AS done, list_reduce(list({{'a': CASE WHEN i < 10 THEN 0.15::double ELSE 0.05::double END, 'v': v}} ORDER BY i), lambda e, q: {{'a': q.a, 'v': e.v + q.a * (q.v - e.v)}}) AS e FROM i GROUP BY run) SELECT run, n_steps, done, {_r('CASE WHEN n_steps >= 10 THEN e.v END')} AS s_per_frame, {_r('greatest(0, 1000 - done) * CASE WHEN n_steps >= 10 THEN e.v END')} AS left_s FROM l"),

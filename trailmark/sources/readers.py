@@ -86,7 +86,7 @@ def sidecar(rois: DataFrame, ports: DataFrame, video: str, width: int, height: i
     """A JSON row of the arenas by name, each with its circle and its port or null; none without arenas."""
     two = lambda c: F.round(c, 2)
     port = F.when(F.col("port_x").isNotNull(), F.struct(two("port_x").alias("cx"), two("port_y").alias("cy"), two("port_r").alias("r")))
-    j = rois.join(F.broadcast(ports), "roi", "left").select("roi", F.struct(F.struct(two("cx").alias("cx"), two("cy").alias("cy"), two("r").alias("r")).alias("roi"), port.alias("port")).alias("arena"))
+    j = rois.join(ports, "roi", "left").select("roi", F.struct(F.struct(two("cx").alias("cx"), two("cy").alias("cy"), two("r").alias("r")).alias("roi"), port.alias("port")).alias("arena"))
     one = j.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("roi", "arena")))).alias("arenas"), F.count("*").alias("n")).where("n > 0")
     return one.select(F.to_json(F.struct(F.lit(video).alias("video"), F.array(F.lit(width), F.lit(height)).alias("image_size"), F.lit(diameter_mm or None).cast("double").alias("arena_diameter_mm"), "arenas"), {"ignoreNullFields": "false"}).alias("value"))
 
