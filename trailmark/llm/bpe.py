@@ -34,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LEXICON_WORDS = 65_536
 #: Words and pieces that a worker remembers before it starts anew.
 CACHE, CACHE_PIECES = 800_000, 400_000
-NONE = 1 << 80
+NONE = 1 << 29
 MARKS = frozenset(".,;:!?")
 
 
@@ -69,28 +69,31 @@ class Vocabulary:
             self.bytes_of[i] = raw[k]
             if len(raw[k]) == 1:
                 self.of_byte[raw[k][0]] = i
-        #: Pair (left << 32 | right) to rank << 32 | id.
+        #: Pair (left << 20 | right) to rank; the id that each rank makes; ranks of pairs of single bytes.
         self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, m in enumerate(j["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges.setdefault(ids[a] << 32 | ids[b], rank << 32 | ids[a + b])
+            self.merges.setdefault(ids[a] << 20 | ids[b], rank)
+            self.made.append(ids[a + b])
+        self.of_two = [[self.merges.get(a << 20 | b, NONE) for b in self.of_byte] for a in self.of_byte]
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens") or []}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pre-token: the pair of lowest rank first, from the left."""
-        of, get = self.of_byte, self.merges.get
+        of, two, get, made = self.of_byte, self.of_two, self.merges.get, self.made
         ids = [of[b] for b in word]
-        pairs = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        pairs = [two[a][b] for a, b in zip(word, word[1:], strict=False)]
         while pairs and (low := min(pairs)) != NONE:
             i = pairs.index(low)
-            ids[i : i + 2] = [low & 0xFFFFFFFF]
-            del pairs[i]
+            ids[i] = new = made[low]
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get(ids[i - 1] << 32 | ids[i], NONE)
+                pairs[i - 1] = get(ids[i - 1] << 20 | new, NONE)
             if i < len(pairs):
-                pairs[i] = get(ids[i] << 32 | ids[i + 1], NONE)
+                pairs[i] = get(new << 20 | ids[i + 1], NONE)
         return ids
 
 
