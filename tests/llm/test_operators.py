@@ -205,6 +205,30 @@ def test_linedup_shift(spark):
     assert got[1].n_removed == 0 and got[2].n_removed >= 40
 
 
+@pytest.mark.parametrize("words", [10, 3])
+def test_linedup_passages(spark, words):
+    """Passages of 1 to 8 lines between foreign lines go whole, wherever they stand; foreign lines stay."""
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for n in range(1 if words > 8 else 2, 9):
+        for j in range(6):
+            passage = [f"passage {n} {j} {i} " + prose(rnd, words - 3) if words > 3 else f"p{n}{j}{i} {prose(rnd, 2)}" for i in range(n)]
+            for copy in range(3):
+                around = [f"foreign {n} {j} {copy} {i} " + prose(rnd, rnd.randrange(1, 9)) for i in range(9)]
+                at = rnd.randrange(1, 8)
+                i = len(rows)
+                rows.append((i, "\n".join([*around[:at], *passage, *around[at:]])))
+                want[i] = "\n".join(around) if copy else rows[-1][1]
+    got = {r.doc_id: r for r in linedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+
+
+def test_linedup_blank_lines(spark):
+    a = "a line of its own\n\n\nand another one\n" + "x" * 50 + "\n\n" + "y" * 50
+    got = {r.doc_id: r for r in linedup.dedup(spark.createDataFrame([(1, a), (2, "foreign\n" + a + "\nforeign too")], "doc_id long, text string")).collect()}
+    assert got[1].text == a and got[2].text == "foreign\nforeign too" and got[2].n_removed == 7
+
+
 # 7
 
 

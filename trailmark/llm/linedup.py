@@ -1,18 +1,18 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by windows of neighbouring lines.
 
-A rolling hash over the hashes of two neighbouring lines ends a chunk where it falls in a fixed
-residue class, so that boundaries move with the content. Chunks of several lines that occur again
-anywhere are removed, but for the first occurrence in order of document; equal hashes count only
-after their bytes have been compared.
+Every line that says enough alone, and every two neighbouring lines that hold anything (with the blank
+ones between), is a window. Windows that occur again anywhere are removed, but for the first occurrence
+in order of document; so a passage goes line by line up to its edges, whatever surrounds it. Equal hashes
+count only after their bytes have been compared.
 
 Null text: stays null, no lines. Rows that agree in doc_id and text are one document and keep the same
-chunks. Chunks of one line, or with fewer than two lines that hold anything, stay. Empty table: empty
-result. Extra columns are passed through; n_chars, where there, becomes that of the kept text.
+lines. A shorter line that repeats without a neighbour, and blank lines at the edge of a passage, stay.
+Empty table: empty result. Extra columns are passed through; n_chars, where there, becomes that of the
+kept text.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,71 +21,87 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: A boundary after one in so many lines, and after MAX_LINES at the latest.
-MODULUS, MAX_LINES = 3, 64
+#: A line of so many words, or characters where words aren't set apart, is a window of its own.
+MIN_WORDS, MIN_CHARS = 8, 40
+#: Bytes of windows in an Arrow batch.
+BATCH = 32 << 20
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
-    lines = text.split("\n")
-    out, start, before = [], 0, 0
+    """(first line, line after the last) of each part that stays or goes: single lines."""
+    return [(i, i + 1) for i in range(text.count("\n") + 1)]
+
+
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last). Two long neighbours are covered by their own windows."""
+    out, before = [], None
     for i, line in enumerate(lines):
-        h = xxhash.xxh3_64_intdigest(line)
-        rolled = (before * 0x9E3779B97F4A7C15 + h) & (1 << 64) - 1
-        before = h
-        if (rolled ^ rolled >> 29) % MODULUS == 0 or i + 1 - start >= MAX_LINES or i + 1 == len(lines):
-            out.append((start, i + 1))
-            start = i + 1
+        held = line.strip()
+        if held:
+            long = len(held) >= MIN_CHARS or len(held.split()) >= MIN_WORDS
+            if before and not (long and before == (i - 1, True)):
+                out.append((before[0], i + 1))
+            if long:
+                out.append((i, i + 1))
+            before = i, long
     return out
 
 
-def removable(text: str) -> list[tuple[int, int, str]]:
-    """(ordinal, lines, text) of the chunks that may go."""
-    lines, out = text.split("\n"), []
-    for k, (a, b) in enumerate(chunks(text)):
-        if b - a >= 2 and sum(bool(x.strip()) for x in lines[a:b]) >= 2:
-            out.append((k, b - a, "\n".join(lines[a:b])))
-    return out
+def removable(text: str) -> list[tuple[int, int, tuple[int, str]]]:
+    """(line, lines of a window that holds it, (place in the window, the window's text))."""
+    lines = text.split("\n")
+    return [(k, b - a, (k - a, "\n".join(lines[a:b]))) for a, b in windows(lines) for k in range(a, b)]
 
 
-def _emit(with_text: bool):
-    def run(batches):
-        for b in batches:
-            h, h2, k1, k2, at, texts = [], [], [], [], [], []
-            for a, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for k, _, chunk in removable(text):
-                    raw = chunk.encode()
-                    h.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                    h2.append(xxhash.xxh64_intdigest(raw, 5) - (1 << 63))
-                    k1.append(a), k2.append(c), at.append(k)
-                    if with_text:
-                        texts.append(raw)
-            cols = [pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at, pa.int32())]
-            names = ["h", "h2", "k1", "k2", "at"]
-            if with_text:
-                cols.append(pa.array(texts, pa.binary()))
-                names.append("chunk")
-            yield pa.record_batch(cols, names)
-
-    return run
+def _batches(batches, found):
+    """Arrow batches of (h, h2, k1, k2, at, n, window) of the windows that found(lines, row) gives."""
+    names = ["h", "h2", "k1", "k2", "at", "n", "chunk"]
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    cols, size = [[] for _ in names], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lines = row[2].split("\n")
+            for a, z in found(lines, row):
+                raw = "\n".join(lines[a:z]).encode()
+                one = xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 5) - (1 << 63), row[0], row[1], a, z - a, raw
+                for c, v in zip(cols, one, strict=True):
+                    c.append(v)
+                size += len(raw) + 100
+                if size > BATCH:
+                    yield [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names
+                    cols, size = [[] for _ in names], 0
+    yield [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names
+
+
+def _hashed(batches):
+    for cols, names in _batches(batches, lambda lines, row: windows(lines)):
+        yield pa.record_batch(cols[:-1], names[:-1])
+
+
+def _wanted(batches):
+    for cols, names in _batches(batches, lambda lines, row: [(w["at"], w["at"] + w["n"]) for w in row[3]]):
+        yield pa.record_batch(cols, names)
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """k1, k2, cut array<int>: the chunks of each document that repeat an earlier one."""
+    """k1, k2, cut array<struct<at, n>>: the windows of each document that repeat an earlier one."""
     source = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "text")
-    schema = "h bigint, h2 bigint, k1 bigint, k2 bigint, at int"
-    found = source.mapInArrow(_emit(False), schema)
-    again = common.materialize(found.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2"), "repeated")
+    schema = "h bigint, h2 bigint, k1 bigint, k2 bigint, at int, n int"
+    found = source.mapInArrow(_hashed, schema)
+    again = common.materialize(found.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h", "h2"), "repeated")
     again = F.broadcast(again) if again.count() <= common.BROADCAST_ROWS else again
-    texts = source.mapInArrow(_emit(True), schema + ", chunk binary").join(again, ["h", "h2"], "left_semi")
-    # grouping by the bytes compares them; partial sums keep hot chunks to a row for each task
-    same = texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("n")).drop("chunk")
-    # bytes that differ under equal hashes can't be told apart by them: such chunks stay
-    first = same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds = 1 and n > 1").select("h", "h2", "first")
-    first = common.materialize(first, "first-chunks")
+    found = common.materialize(found.join(again, ["h", "h2"]), "windows")
+    # texts meet their few windows, so that windows that occur once are never sent
+    wanted = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("w"))
+    texts = source.join(wanted, ["k1", "k2"]).mapInArrow(_wanted, schema + ", chunk binary")
+    # grouping by the bytes compares them; partial sums keep hot windows to a row for each task
+    same = texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("c")).drop("chunk")
+    # bytes that differ under equal hashes can't be told apart by them: such windows stay
+    first = same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("c").alias("c"), F.count("*").alias("kinds")).where("kinds = 1 and c > 1").select("h", "h2", "first")
+    first = common.materialize(first, "first-windows")
     first = F.broadcast(first) if first.count() <= common.BROADCAST_ROWS else first
     cut = found.join(first, ["h", "h2"]).where(F.struct("k1", "k2", "at") != F.col("first"))
-    return cut.groupBy("k1", "k2").agg(F.collect_set("at").alias("cut"))
+    return cut.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("cut"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -105,13 +121,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                 n = text.count("\n") + 1 if text else 0
                 removed = 0
                 if text and cut:
-                    lines, parts, cut = text.split("\n"), [], set(cut)
-                    for k, (a, z) in enumerate(chunks(text)):
-                        if k in cut:
-                            removed += z - a
-                        else:
-                            parts += lines[a:z]
-                    text = "\n".join(parts)
+                    gone_lines = {k for w in cut for k in range(w["at"], w["at"] + w["n"])}
+                    removed = len(gone_lines)
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone_lines)
                 kept.append(text), total.append(n), gone.append(removed)
             yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "_text", "n_lines", "n_removed"])
 
