@@ -108,6 +108,23 @@ def test_deobfuscation(spark):
     assert kept.columns == ["doc_id", "text"]
 
 
+def test_deobfuscation_whole(spark):
+    """Letters set apart in runs of any length, doubled letters, words between marks, long words."""
+    docs, df, labels, _ = labelled(spark)
+    bad = ["a s n a r k l e", "a b l i g h t e r o", "k a n s n a r k l e t o", "ssnnaarrkkllee", "snaarkle", "grubbiish", "gruubbiish", "bblliigghhtteerr"]
+    bad += ["s" * 70 + "n@rkle", "z" * 70 + "snarkle", "kanan,snarkle", "kanan/sn4rkl3/torin", "-." * 40 + "sn@rkle", "kanan." * 20 + "bl1ghter"]
+    clean = ["kkaannaarrii", "a k a n a r i", "kanan,torin", "t" * 70 + "orin", "kanan." * 20 + "torin"]
+    test = spark.createDataFrame([(9000 + i, "kanan torin " + t) for i, t in enumerate(bad + clean)], "doc_id long, text string")
+    got = {r.doc_id - 9000: r.predicted for r in toxicity.score(df.unionByName(test), labels).where("doc_id >= 9000").collect()}
+    assert {t: got[i] for i, t in enumerate(bad + clean)} == dict.fromkeys(bad, 1) | dict.fromkeys(clean, 0)
+
+
+def test_deobfuscation_readings():
+    r = toxicity.Restorer(toxicity.language_model(np.ones(toxicity.SYMBOLS**3)))
+    assert "idiot" in r.words("iiddiioott") and "stupid" in r.words("stuupid") and "asshole" in r.words("asshoolee")
+    assert "idiot" in toxicity.spaced("a i d i o t".split()) and list(toxicity.spaced("a b cd e".split())) == []
+
+
 # 3
 
 

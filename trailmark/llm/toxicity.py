@@ -13,7 +13,10 @@ table: empty result. Extra columns are passed through.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,14 @@ CACHE = 400_000
 #: Letters that leetspeak characters stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l"}
 SYMBOLS = 60
+#: Longer words are decoded in windows of SPAN characters that overlap by half.
+SPAN = 64
+#: Windows of letters set apart: a longer word is found by its beginning.
+LONGEST = 24
+#: A character three times or more, letters or marks; such repeats in a row; a letter twice.
+REPEATED, LEADING, DOUBLED = re.compile(r"(.)\1{2,}", re.S), re.compile(r"(?:(.)\1{2,})+", re.S), re.compile(r"([^\W\d_])\1")
+#: What sets words apart inside a white-space word: any mark, marks but for those of leetspeak, marks but for digits, @ and $.
+INNER = [re.compile(x) for x in (r"[\W\d_]+", "[^\\w" + re.escape("".join(LEET)) + "]+|_+", r"[^\w@$€£]+|_+")]
 
 
 def _symbols() -> np.ndarray:
@@ -121,15 +132,35 @@ class Restorer:
                         key, now = (a, b), cost + extra + 2.0
                     if key not in after or now < after[key][0]:
                         after[key] = (now, text + ch)
-            if len(after) > 48:
-                after = dict(sorted(after.items(), key=lambda x: x[1][0])[:48])
             states = after
         ends = sorted((cost + costs[(a * SYMBOLS + b) * SYMBOLS], text) for (a, b), (cost, text) in states.items())
         return [t for _, t in ends[:best] if t]
 
+    def lettered(self, word: str) -> list[str]:
+        """The readings of a word of letters: each doubled letter once or twice, by the lattice where
+        there are more than four."""
+        at = [m.start() for m in DOUBLED.finditer(word)]
+        if not at:
+            return [word]
+        if len(at) > 4:
+            return [word, DOUBLED.sub(r"\1", word), *self.decode_long(word)]
+        ends = [0, *(i + 1 for i in at), len(word)]
+        pieces = [word[i:j] for i, j in itertools.pairwise(ends)]
+        return ["".join([pieces[0], *(x[k:] for x, k in zip(pieces[1:], skip, strict=True))]) for skip in itertools.product((0, 1), repeat=len(at))]
+
+    def decode_long(self, word: str) -> list[str]:
+        return [t for i in range(0, max(1, len(word) - SPAN // 2), SPAN // 2) for t in self.decode(word[i : i + SPAN])]
+
     def words(self, raw: str) -> list[str]:
-        """The readings of a white-space word: itself where nothing is disguised."""
-        w = raw.lower()
+        """The readings of a white-space word and of its parts: itself where nothing is disguised."""
+        lower = raw.lower()
+        out = self.read(REPEATED.sub(r"\1\1", lower))
+        if m := REPEATED.match(lower):  # what leading repeats hide
+            for end in {m.end(), LEADING.match(lower).end()}:
+                out += self.read(REPEATED.sub(r"\1\1", lower[end:]))
+        return out
+
+    def read(self, w: str) -> list[str]:
         a, b = 0, len(w)
         while a < b and w[a] in "\"'([{<«„“‘¿":
             a += 1
@@ -137,34 +168,40 @@ class Restorer:
             b -= 1
         core = w[a:b]
         if core.isalpha():
-            if len(core) > 2 and any(core[i] == core[i - 1] == core[i - 2] for i in range(2, len(core))):
-                return [core, *self.decode(core[:64])]
-            return [core]
-        letters = sum(c.isalpha() for c in core)
-        if not core or (not letters and len(core) < 4) or len(core) > 64:
-            return ["".join(c for c in core if c.isalpha())] if letters else []
-        plain = "".join(c for c in core if c.isalpha())
-        return [plain, *self.decode(core)] if b == len(w) else [plain, *self.decode(core), *self.decode(w[a:])]
+            return self.lettered(core)
+        out = self.marked(core)
+        return out + self.decode_long(w[a:]) if b < len(w) and out else out
+
+    def marked(self, core: str) -> list[str]:
+        letters = "".join(c for c in core if c.isalpha())
+        if not letters and len(core) < 4:
+            return []
+        out = self.lettered(letters) if letters else []
+        parts = {core} | {x for inner in INNER for x in inner.split(core) if len(x) > 2}
+        for part in parts:
+            if part.isalpha():
+                out += self.lettered(part)
+            elif part is core or any(c.isalpha() for c in part) or len(part) > 3:
+                out += self.decode_long(part)
+                if part != core:
+                    out += self.lettered("".join(c for c in part if c.isalpha()))
+        return [x for x in out if x]
 
 
 def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in (4, 5, 6) if len(word) >= k)]
 
 
-def spaced(words: list[str]) -> list[str]:
-    """Runs of three or more single characters, joined."""
-    ones = [i for i, w in enumerate(words) if len(w) == 1]
-    out, i = [], 0
-    while i + 2 < len(ones):
-        k = i
-        while k + 1 < len(ones) and ones[k + 1] == ones[k] + 1:
-            k += 1
-        if k - i >= 2:
-            run = "".join(words[ones[i] : ones[k] + 1])
-            # a long run may hold several words: each window of letters is read
-            out += [run] if len(run) <= 16 else [run[s : s + n] for n in range(4, 13) for s in range(len(run) - n + 1)]
-        i = k + 1
-    return out
+def spaced(words: list[str]) -> Iterator[str]:
+    """Runs of three or more single characters, joined, and each window in them: a run may hold several words."""
+    for single, run in itertools.groupby(words, lambda w: len(w) == 1):
+        if single:
+            run = "".join(run)
+            if len(run) > 2:
+                yield run
+                for i in range(len(run) - 2):
+                    for n in range(3, min(LONGEST, len(run) - i) + 1):
+                        yield run[i : i + n]
 
 
 class Weights(dict):
@@ -185,9 +222,8 @@ class Weights(dict):
         """The strongest weight; the second and the number of strong ones count a tenth, so that one
         strong word is enough."""
         words = text.split()
-        seen = set(words)
-        seen.update(spaced(words))
-        got = sorted((w for w in map(self.__getitem__, seen) if w > 0.5), reverse=True)
+        strong = {x: w for x in itertools.chain(set(words), spaced(words)) if (w := self[x]) > 0.5}
+        got = sorted(strong.values(), reverse=True)
         return sum(got[:1]) + 0.1 * sum(got[1:2]) + 0.1 * math.log1p(sum(w > 2 for w in got))
 
 
@@ -228,10 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = text.split()
-                seen = set(words)
-                seen.update(spaced(words))
                 found = set()
-                for raw in seen:
+                for raw in itertools.chain(set(words), spaced(words)):
                     fs = cache.get(raw)
                     if fs is None:
                         if len(cache) > 100_000:
