@@ -293,3 +293,27 @@ def test_spread_and_follow(spark):
 def test_nan_is_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     assert [r.x for r in common.nan_to_null(df).collect()] == [None, 1.0]
+
+
+def test_whole_tracks(spark, monkeypatch):
+    """The queries over all tracks, frames and anchors against brute force."""
+    from trailmark.plans import registry
+
+    at = {(f"arena_0{i % 3}", i): {f: (float(i * 7 % 11 + f % 13), float(f * i % 5)) for f in range(i % 4, 75 + i, 1 + i % 3)} for i in range(1, 12)}
+    t = spark.createDataFrame([(r, i, f, f / 10, *p) for (r, i), own in at.items() for f, p in own.items()], "roi string, track_id long, frame long, t_s double, x double, y double")
+    monkeypatch.setattr(registry.views, "tracks", lambda s, d: t)
+    run = lambda name, *c: {tuple(r[k] for k in c[:-1]): r[c[-1]] for r in registry.queries()[name](spark, "").collect()}
+    follow = {(r, i, f): own[max((g for g in own if g <= f), default=min(own))][0] for (r, i), own in at.items() for f in range(max(own) + 1)}
+    assert run("follow_asof_all", "roi", "track_id", "frame", "cx") == follow
+    last = max(f for own in at.values() for f in own if f % 3 == 0)
+    got = run("resample_all", "roi", "track_id", "frame", "x")
+    assert set(got) == {(r, i, f) for (r, i), own in at.items() if any(f % 3 == 0 for f in own) for f in range(last + 1)}
+    assert all(got[r, i, f] == own[f][0] for (r, i), own in at.items() for f in own if f % 3 == 0)
+    here = {(r, f) for (r, _), own in at.items() for f in own}
+    assert set(run("context_windows_all", "roi", "anchor", "frame", "frame")) == {(r, a, f) for r, a in here for f in range(a - 3, a + 4) if (r, f) in here}
+    nearest = {}
+    for (_, i), own in at.items():
+        for f, (x, y) in own.items():
+            sides = {r: [q[f] for (s, _), q in at.items() if s == r and f in q] for r, g in here if g == f}
+            nearest[f, i] = min((math.hypot(x - min(p[0] for p in q), y - min(p[1] for p in q)), r) for r, q in sides.items())[1]
+    assert run("match_nearest_all", "frame", "inst", "roi") == nearest

@@ -113,13 +113,13 @@ def spread(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(base), "_part").withColumn("_want", F.col("_base") + F.col("_at")).join(F.broadcast(wanted), "_want").drop("_want", "_part", "_at", "_base")
 
 
-def follow(track: DataFrame, frames: DataFrame) -> DataFrame:
-    """Last known centre at each frame, the first one before any: an as-of join as one window."""
-    rows = track.select("frame", F.struct("x", "y").alias("c"), F.lit(0).alias("ask")).unionByName(frames.select("frame", F.lit(None).cast("struct<x:double,y:double>").alias("c"), F.lit(1).alias("ask")))
-    w = Window.orderBy("frame", "ask")
+def follow(track: DataFrame, frames: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Last known centre at each frame, the first one before any, of each of `keys`: an as-of join as one window."""
+    rows = track.select(*keys, "frame", F.struct("x", "y").alias("c"), F.lit(0).alias("ask")).unionByName(frames.select(*keys, "frame", F.lit(None).cast("struct<x:double,y:double>").alias("c"), F.lit(1).alias("ask")))
+    w = Window.partitionBy(*keys).orderBy("frame", "ask")
     back = F.last("c", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("c", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("c", F.coalesce(back, ahead)).where("ask = 1").select("frame", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    return rows.withColumn("c", F.coalesce(back, ahead)).where("ask = 1").select(*keys, "frame", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
 def trail(tracks: DataFrame, n: int) -> DataFrame:

@@ -106,6 +106,14 @@ def resample(s, d):
     return rounded(out, "x", "y").select(*K, "t_s", "x", "y")
 
 
+def resample_all(s, d):
+    """As resample, to the largest frame of any track."""
+    last = _thin(s, d).agg(F.max("frame")).first()[0]
+    frames = s.range(0 if last is None else last + 1).select(F.col("id").alias("frame"), (F.col("id") / 10.0).alias("t_s"))
+    out = trajectory.resample(_thin(s, d), frames, ["x", "y"])
+    return rounded(out, "x", "y").select(*K, "t_s", "x", "y")
+
+
 def interpolate(s, d):
     t = views.tracks(s, d).withColumns({"x": F.when(F.col("frame") % 3 == 0, F.col("x")), "y": F.when(F.col("frame") % 5 != 0, F.col("y"))})
     return rounded(trajectory.interpolate(t, ["x", "y"]), "x", "y").select(*K, "x", "y")
@@ -171,6 +179,13 @@ def follow_asof(s, d):
     return qc.follow(t, s.range(100).withColumnRenamed("id", "frame"))
 
 
+def follow_asof_all(s, d):
+    """Every track at all frames up to its own last one."""
+    t = views.tracks(s, d)
+    frames = t.groupBy("roi", "track_id").agg(F.max("frame").alias("last")).select("roi", "track_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
+    return qc.follow(t, frames, ("roi", "track_id"))
+
+
 def trail_window(s, d):
     return qc.trail(views.tracks(s, d), 10).select(*K, "n_points", "first_x")
 
@@ -245,6 +260,12 @@ def context_windows(s, d):
     return pose.context_windows(t.where("frame % 20 = 0"), t, 3).select("roi", "anchor", "frame")
 
 
+def context_windows_all(s, d):
+    """Every frame is an anchor."""
+    t = views.tracks(s, d).select("roi", "frame").distinct()
+    return pose.context_windows(t, t, 3).select("roi", "anchor", "frame")
+
+
 def match_nearest(s, d):
     t = views.tracks(s, d)
     inst = t.where("track_id % 7 = 0").select("frame", F.col("track_id").alias("inst"), "x", "y")
@@ -252,6 +273,13 @@ def match_nearest(s, d):
     return rounded(pose.match_nearest(inst, anchors), "dist")
 
 
+def match_nearest_all(s, d):
+    """All instances against the anchors of all tracks."""
+    t = views.tracks(s, d)
+    anchors = t.groupBy("frame", "roi").agg(F.min("x").alias("ax"), F.min("y").alias("ay"))
+    return rounded(pose.match_nearest(t.select("frame", F.col("track_id").alias("inst"), "x", "y"), anchors), "dist")
+
+
 def uniform_sample(s, d):
     return pose.uniform_sample(views.tracks(s, d), 20).select(*K)
 
@@ -405,9 +433,9 @@ def radial_port(s, d):
 
 
 _NAMES = [
-    "dedupe_tracks", "kinematics", "angle_unwrap", "angle_unwrap_all", "roi_local", "port_distance", "port_offsets", "crop_manifest", "crop_geometry", "detect_rescale", "seed_keypoints", "roi_window", "timing_dt", "timing_timestamp", "resample", "interpolate", "stride_filter",
-    "qc_flags", "qc_flag_label", "missing_report", "qc_summary", "run_summary", "coverage_raster", "hist_speed", "hist_area", "hist_contrast", "occupancy_2d", "candidate_counts", "flagged_spread", "follow_asof", "trail_window", "main_track", "compare_tracks", "key_sets", "bench_stats", "validate_rollup",
-    "pose_wide", "pose_flags", "pose_flag_rates", "pose_confidence", "heatmap_argmax", "heatmap_centroid", "context_windows", "match_nearest", "uniform_sample", "diversity_sample", "random_sample", "topk_candidates", "reading_order",
+    "dedupe_tracks", "kinematics", "angle_unwrap", "angle_unwrap_all", "roi_local", "port_distance", "port_offsets", "crop_manifest", "crop_geometry", "detect_rescale", "seed_keypoints", "roi_window", "timing_dt", "timing_timestamp", "resample", "resample_all", "interpolate", "stride_filter",
+    "qc_flags", "qc_flag_label", "missing_report", "qc_summary", "run_summary", "coverage_raster", "hist_speed", "hist_area", "hist_contrast", "occupancy_2d", "candidate_counts", "flagged_spread", "follow_asof", "follow_asof_all", "trail_window", "main_track", "compare_tracks", "key_sets", "bench_stats", "validate_rollup",
+    "pose_wide", "pose_flags", "pose_flag_rates", "pose_confidence", "heatmap_argmax", "heatmap_centroid", "context_windows", "context_windows_all", "match_nearest", "match_nearest_all", "uniform_sample", "diversity_sample", "random_sample", "topk_candidates", "reading_order",
     "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "contrast_gate", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background", "detect_blobs", "radial_port",
 ]
 
