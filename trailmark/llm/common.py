@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table (rows of a few dozen bytes) that is broadcast after a count.
-BROADCAST_ROWS = 200_000
+#: Bytes of the largest table that is broadcast after a count, by the width of its rows.
+BROADCAST_BYTES = 16 << 20
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -22,17 +25,28 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def small(df: DataFrame, rows_bytes: int | None = None) -> DataFrame:
+    """df, broadcast where its rows by their types' widths (or rows_bytes, as measured) are few enough; it
+    should have been written before, as its rows are counted."""
+    if rows_bytes is None:
+        wide = {"bigint": 8, "int": 4, "boolean": 1, "string": 48}
+        rows_bytes = df.count() * (32 + sum(wide.get(kind, 48) for _, kind in df.dtypes))
+    return F.broadcast(df) if rows_bytes <= BROADCAST_BYTES else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is
-    unset as in tests, a temporary one set here."""
+    unset and Spark runs in one process, as in tests, a temporary one set here."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailmark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = held.get()
@@ -101,6 +115,25 @@ def doc_key(docs: DataFrame) -> DataFrame:
     })
 
 
+class Words:
+    """The white-space words of a batch of texts: `distinct` words, `at` the number of each word in them,
+    `ends` of the texts. A text's edges may hold words of no characters."""
+
+    def __init__(self, texts: pa.Array):
+        held = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        found = held.flatten().dictionary_encode()
+        self.distinct: list[str] = found.dictionary.to_pylist()
+        self.at = found.indices.to_numpy()
+        self.ends = np.cumsum(held.value_lengths().to_numpy().astype(np.int64))
+
+    def texts(self, values: np.ndarray):
+        """Each text's values, of values by distinct word."""
+        start, got = 0, values[self.at]
+        for end in self.ends.tolist():
+            yield got[start:end]
+            start = end
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -1,9 +1,12 @@
-"""Line dedup by windows of neighbouring lines.
+"""Line dedup by content-defined chunks of lines.
 
-Every line that says enough alone, and every two neighbouring lines that hold anything (with the blank
-ones between), is a window. Windows that occur again anywhere are removed, but for the first occurrence
-in order of document; so a passage goes line by line up to its edges, whatever surrounds it. Equal hashes
-count only after their bytes have been compared.
+A rolling hash over the hashes of two neighbouring lines chooses where a chunk of lines ends, so that
+boundaries move with the lines whatever stands before them. Chunks of several lines that occur again
+anywhere are removed, but for the first occurrence in order of document. A repeated passage seldom
+begins and ends at boundaries: at its edges, and where it holds no whole chunk, the smallest chunks (a
+line that says enough alone, or two neighbouring lines that hold anything, with the blank ones between)
+are judged in the same way, so that it goes line by line up to its edges. Equal hashes count only after
+their bytes have been compared; bytes that differ under equal hashes are compared among themselves.
 
 Null text: stays null, no lines. Rows that agree in doc_id and text are one document and keep the same
 lines. A shorter line that repeats without a neighbour, and blank lines at the edge of a passage, stay.
@@ -15,25 +18,43 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
-#: A line of so many words, or characters where words aren't set apart, is a window of its own.
+#: A chunk ends after one in MODULUS pairs of lines.
+MODULUS = 4
+#: A line of so many words, or characters where words aren't set apart, is a smallest chunk of its own.
 MIN_WORDS, MIN_CHARS = 8, 40
-#: Bytes of windows in an Arrow batch.
-BATCH = 32 << 20
+#: Bytes of chunks in an Arrow batch.
+BATCH = 16 << 20
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each part that stays or goes: single lines."""
-    return [(i, i + 1) for i in range(text.count("\n") + 1)]
+def boundaries(lines: list[str]) -> list[int]:
+    """Lines after which a chunk ends: the rolling hash over the last two lines' hashes says so."""
+    out, before = [], 0
+    for i, line in enumerate(lines):
+        own = xxhash.xxh3_64_intdigest(line)
+        rolled = (before * 0x9E3779B97F4A7C15 + own) & 0xFFFFFFFFFFFFFFFF
+        if (rolled ^ rolled >> 32) * 0xBF58476D1CE4E5B9 >> 40 & 0xFFFF < 0x10000 // MODULUS:
+            out.append(i)
+        before = own
+    return out
 
 
-def windows(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, line after the last). Two long neighbours are covered by their own windows."""
+def large_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of chunks with three lines or more that hold anything."""
+    out, start = [], 0
+    for end in [*boundaries(lines), len(lines) - 1]:
+        if end + 1 - start > 2 and sum(bool(x.strip()) for x in lines[start : end + 1]) > 2:
+            out.append((start, end + 1))
+        start = end + 1
+    return out
+
+
+def small_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last). Two long neighbours are covered by their own chunks."""
     out, before = [], None
     for i, line in enumerate(lines):
         held = line.strip()
@@ -47,96 +68,116 @@ def windows(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def removable(text: str) -> list[tuple[int, int, tuple[int, str]]]:
-    """(line, lines of a window that holds it, (place in the window, the window's text))."""
+def chunks(text: str) -> list[tuple[int, int]]:
     lines = text.split("\n")
-    return [(k, b - a, (k - a, "\n".join(lines[a:b]))) for a, b in windows(lines) for k in range(a, b)]
+    return large_chunks(lines) + small_chunks(lines)
 
 
-def _batches(batches, found):
-    """Arrow batches of (h, h2, k1, k2, at, n, window) of the windows that found(lines, row) gives."""
-    names = ["h", "h2", "k1", "k2", "at", "n", "chunk"]
-    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-    cols, size = [[] for _ in names], 0
+NAMES = ["h", "h2", "k1", "k2", "at", "n", "lo", "hi", "chunk"]
+TYPES = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
+SCHEMA = "h bigint, h2 bigint, k1 bigint, k2 bigint, at int, n int, lo int, hi int"
+
+
+def _batches(batches, found, bits: int):
+    """Arrow columns of the chunks that found(lines, row) gives: hash, document, lines, bytes from lo to hi."""
+    cols, size = [[] for _ in NAMES], 0
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             lines = row[2].split("\n")
+            raw, starts = row[2].encode(), [0]
+            for x in lines:
+                starts.append(starts[-1] + (len(x) if x.isascii() else len(x.encode())) + 1)
             for a, z in found(lines, row):
-                raw = "\n".join(lines[a:z]).encode()
-                one = xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 5) - (1 << 63), row[0], row[1], a, z - a, raw
-                for c, v in zip(cols, one, strict=True):
+                lo, hi = starts[a], starts[z] - 1
+                part = raw[lo:hi]
+                h = xxhash.xxh3_128_intdigest(part) & (1 << bits) - 1
+                for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), row[0], row[1], a, z - a, lo, hi, part), strict=True):
                     c.append(v)
-                size += len(raw) + 100
+                size += len(part) + 100
                 if size > BATCH:
-                    yield [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names
-                    cols, size = [[] for _ in names], 0
-    yield [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names
-
-
-def _hashed(batches):
-    for cols, names in _batches(batches, lambda lines, row: windows(lines)):
-        yield pa.record_batch(cols[:-1], names[:-1])
-
+                    yield [pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]
+                    cols, size = [[] for _ in NAMES], 0
+    yield [pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]
+
+
+def kept_ranges(cut: list[tuple[int, int, int, int]]) -> tuple[list[dict], int]:
+    """(byte ranges that stay when the chunks (at, n, lo, hi) go, removed lines). The last range may
+    begin beyond the text: then nothing is left there."""
+    out, line, byte, removed = [], 0, 0, 0
+    for at, n, lo, hi in sorted(cut):
+        if at + n <= line:
+            continue
+        if at > line:
+            out.append({"a": byte, "n": lo - 1 - byte})
+        removed += at + n - max(at, line)
+        line, byte = at + n, hi + 1
+    out.append({"a": byte, "n": 2**31 - 1})
+    return out, removed
+
+
+def repeats(keyed: DataFrame, bits: int = 128) -> DataFrame:
+    """k1, k2, at, n, lo, hi: the chunks that repeat an earlier one."""
+    source = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "text")
 
-def _wanted(batches):
-    for cols, names in _batches(batches, lambda lines, row: [(w["at"], w["at"] + w["n"]) for w in row[3]]):
-        yield pa.record_batch(cols, names)
+    def hashed(batches):
+        for cols in _batches(batches, lambda lines, row: large_chunks(lines) + small_chunks(lines), bits):
+            yield pa.record_batch(cols[:-1], NAMES[:-1])
 
+    def wanted(batches):
+        for cols in _batches(batches, lambda lines, row: [(w["at"], w["at"] + w["n"]) for w in row[3]], bits):
+            yield pa.record_batch(cols, NAMES)
 
-def repeats(keyed: DataFrame) -> DataFrame:
-    """k1, k2, cut array<struct<at, n>>: the windows of each document that repeat an earlier one."""
-    source = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "text")
-    schema = "h bigint, h2 bigint, k1 bigint, k2 bigint, at int, n int"
-    found = source.mapInArrow(_hashed, schema)
+    found = source.mapInArrow(hashed, SCHEMA)
     again = common.materialize(found.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h", "h2"), "repeated")
-    again = F.broadcast(again) if again.count() <= common.BROADCAST_ROWS else again
-    found = common.materialize(found.join(again, ["h", "h2"]), "windows")
-    # texts meet their few windows, so that windows that occur once are never sent
-    wanted = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("w"))
-    texts = source.join(wanted, ["k1", "k2"]).mapInArrow(_wanted, schema + ", chunk binary")
-    # grouping by the bytes compares them; partial sums keep hot windows to a row for each task
+    found = common.materialize(found.join(common.small(again), ["h", "h2"]), "chunks")
+    # texts meet their few chunks, so that chunks that occur once are never sent
+    own = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("w"))
+    texts = source.join(own, ["k1", "k2"]).mapInArrow(wanted, SCHEMA + ", chunk binary")
+    # grouping by the bytes compares them; partial sums keep hot chunks to a row for each task
     same = texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("c")).drop("chunk")
-    # bytes that differ under equal hashes can't be told apart by them: such windows stay
-    first = same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("c").alias("c"), F.count("*").alias("kinds")).where("kinds = 1 and c > 1").select("h", "h2", "first")
-    first = common.materialize(first, "first-windows")
-    first = F.broadcast(first) if first.count() <= common.BROADCAST_ROWS else first
-    cut = found.join(first, ["h", "h2"]).where(F.struct("k1", "k2", "at") != F.col("first"))
-    return cut.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("cut"))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the kept text, and n_lines, n_removed (lines) bigint."""
-    spark = docs.sparkSession
-    common.tune(spark)
-    keyed = common.doc_key(docs.select("doc_id", "text"))
-    cut = repeats(keyed)
-    rows = common.doc_key(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "k1", "k2", "text")
-    joined = rows.join(cut, ["k1", "k2"], "left").select("row", "text", "cut")
-    schema = T.StructType([joined.schema["row"], T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def run(batches):
+    first = same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("c").alias("c"), F.count("*").alias("kinds")).where("c > 1")
+    first = common.materialize(first, "first-chunks")
+    one, clash = first.where("kinds = 1").select("h", "h2", "first"), first.where("kinds > 1").select("h", "h2")
+    spans = ["k1", "k2", "at", "n", "lo", "hi"]
+    cut = found.join(common.small(one), ["h", "h2"]).where(F.struct("k1", "k2", "at") != F.col("first")).select(*spans)
+    if not clash.isEmpty():  # bytes that differ under equal hashes
+        least = F.min(F.struct("k1", "k2", "at")).over(Window.partitionBy("h", "h2", "chunk"))
+        cut = cut.union(texts.join(clash, ["h", "h2"]).withColumn("first", least).where(F.struct("k1", "k2", "at") != F.col("first")).select(*spans))
+    return cut
+
+
+def dedup(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """docs with the kept text, and n_lines, n_removed (lines) bigint. Chunks are grouped by a hash of so
+    many bits before their bytes are compared."""
+    common.tune(docs.sparkSession)
+
+    def merged(batches):
         for b in batches:
-            kept, total, gone = [], [], []
-            for text, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n = text.count("\n") + 1 if text else 0
-                removed = 0
-                if text and cut:
-                    gone_lines = {k for w in cut for k in range(w["at"], w["at"] + w["n"])}
-                    removed = len(gone_lines)
-                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone_lines)
-                kept.append(text), total.append(n), gone.append(removed)
-            yield pa.record_batch([b.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "_text", "n_lines", "n_removed"])
-
-    out = joined.mapInArrow(run, schema)
+            got = [kept_ranges([(w["at"], w["n"], w["lo"], w["hi"]) for w in cut]) for cut in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([r for r, _ in got], pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))), pa.array([n for _, n in got], pa.int64())], ["k1", "k2", "ranges", "removed"])
+
+    cut = repeats(common.doc_key(docs.select("doc_id", "text")), bits)
+    cut = cut.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n", "lo", "hi")).alias("cut"))
+    cut = cut.mapInArrow(merged, "k1 bigint, k2 bigint, ranges array<struct<a: int, n: int>>, removed bigint")
+    rows = common.doc_key(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "k1", "k2")
+    joined = rows.join(cut, ["k1", "k2"], "left").withColumns({
+        "n_removed": F.coalesce("removed", F.lit(0)),
+        "n_lines": F.when(F.col("row.text") == "", 0).otherwise(F.coalesce(F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))).cast("long"),
+    })
+    # ranges begin and end at line ends, so that each is a text
+    raw = F.col("row.text").cast("binary")
+    stays = F.filter("ranges", lambda r: r["a"] <= F.octet_length("row.text"))
+    kept = F.array_join(F.transform(stays, lambda r: F.substring(raw, r["a"] + 1, r["n"]).cast("string")), "\n")
+    text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("row.text"))
     cols = []
     for c in docs.columns:
         if c == "text":
-            cols.append(F.col("_text").alias("text"))
+            cols.append(text.alias("text"))
         elif c == "n_chars":
-            cols.append(F.when(F.col("n_removed") > 0, F.length("_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            cols.append(F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         elif c.lower() not in ("n_lines", "n_removed"):
             cols.append(F.col(f"row.`{c}`").alias(c))
-    return out.select(*cols, "n_lines", "n_removed")
+    return joined.select(*cols, "n_lines", "n_removed")
 
 
 def op6_linedup(spark, sf_dir: str) -> DataFrame:
