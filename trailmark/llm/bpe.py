@@ -21,6 +21,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words in the compiled lexicon; others are merged.
 LEXICON_WORDS = 65_536
 #: Words and pieces that a worker remembers before it starts anew.
-CACHE, CACHE_PIECES = 800_000, 400_000
+CACHE, CACHE_PIECES = 800_000, 600_000
 NONE = 1 << 29
 MARKS = frozenset(".,;:!?")
+#: Pieces of letters, with one common mark at their end or none; letters of other scripts go the longer way.
+PLAIN = r"^(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{400}-\x{481}]+)(?P<mark>[.,;:!?]?)$"
 
 
 def byte_chars() -> dict[str, int]:
@@ -97,6 +100,99 @@ class Vocabulary:
         return ids
 
 
+class Merger:
+    """Exact BPE of many words at once: in each turn every word merges its pair of lowest rank, the first
+    from the left, in matrices of words of like length."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.byte = np.array(vocabulary.of_byte, dtype=np.int32)
+        self.two = np.array(vocabulary.of_two, dtype=np.int32).reshape(-1)
+        self.made = np.array([*vocabulary.made, 0], dtype=np.int32)
+        # ranks of pairs in a table of open addresses: a few probes find a pair or a gap
+        self.bits = max(4, (4 * len(vocabulary.merges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, NONE, dtype=np.int32)
+        key = np.fromiter(vocabulary.merges.keys(), dtype=np.int64, count=len(vocabulary.merges))
+        rank = np.fromiter(vocabulary.merges.values(), dtype=np.int32, count=len(key))
+        at, self.probes = self._slot(key), 0
+        while len(key):
+            self.probes += 1
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[slot], self.ranks[slot] = key[put], rank[put]
+            left = np.ones(len(key), dtype=bool)
+            left[put] = False
+            key, rank, at = key[left], rank[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (common.mix64(key.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 20 | right
+        at, out = self._slot(key), np.full(len(key), NONE, dtype=np.int32)
+        open_ = np.arange(len(key))
+        for _ in range(self.probes):
+            held = self.keys[at]
+            hit = held == key[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            go = ~hit & (held >= 0)
+            open_, at = open_[go], (at[go] + 1) & ((1 << self.bits) - 1)
+            if not len(open_):
+                break
+        return out
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        for k in range(0, len(order), 4096):
+            own = order[k : k + 4096]
+            if sizes[own[-1]] > 64:
+                for i in own.tolist():
+                    got = self.v.merge(words[i])
+                    out[i] = struct.pack(f"<{len(got)}I", *got)
+            elif len(own := own[sizes[own] > 0]):
+                for i, ids in zip(own.tolist(), self._matrix([words[i] for i in own.tolist()], sizes[own]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _matrix(self, words: list[bytes], size: np.ndarray) -> list[bytes]:
+        m, width = len(words), int(size.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(m, width)
+        inside = np.arange(width) < size[:, None]
+        ids, pairs = self.byte[raw], np.full((m, width), NONE, dtype=np.int32)
+        pairs[:, :-1] = np.where(inside[:, 1:], self.two[(raw[:, :-1].astype(np.int64) << 8) | raw[:, 1:]], NONE)
+        done, rest, column = np.zeros((m, width), dtype="<u4"), np.arange(m), np.arange(width)
+        left = size.copy()
+        while len(rest):
+            at = pairs.argmin(axis=1)
+            low = pairs[np.arange(len(rest)), at]
+            end = low == NONE
+            if end.any():
+                done[rest[end]] = ids[end]
+                go = ~end
+                rest, ids, pairs, at, low = rest[go], ids[go], pairs[go], at[go], low[go]
+                if not len(rest):
+                    break
+            rows = np.arange(len(rest))
+            ids[rows, at] = self.made[low]
+            # what stands behind the merged pair moves on by one
+            ids[:, :-1] = np.where(column[:-1] > at[:, None], ids[:, 1:], ids[:, :-1])
+            pairs[:, :-1] = np.where(column[:-1] > at[:, None], pairs[:, 1:], pairs[:, :-1])
+            pairs[:, -1] = NONE
+            left[rest] -= 1
+            new = ids[rows, at]
+            before = np.flatnonzero(at > 0)
+            pairs[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], new[before])
+            pairs[rows, at] = NONE
+            after = np.flatnonzero(at + 1 < left[rest])
+            pairs[after, at[after]] = self.rank(new[after], ids[after, at[after] + 1])
+        return [x[:n].tobytes() for x, n in zip(done, left.tolist(), strict=True)]
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Minimal acyclic automaton of the words (built in sorted order, equal right parts shared),
     edges sorted by state, each with the number of words that sort before it; then the ids."""
@@ -167,6 +263,37 @@ class Lexicon:
         self.first, self.target, self.skip, self.offset = (view[a:b].cast("I") for a, b in spans[:4])
         self.pool, self.final, self.labels = spans[4][0], view[slice(*spans[5])], spans[6][0]
 
+        # an edge's key: its state and label, sorted
+        states = np.frombuffer(self.map, "<u4", len(self.first), spans[0][0])
+        labels = np.frombuffer(self.map, np.uint8, spans[6][1] - spans[6][0], spans[6][0])
+        self.keys = (np.repeat(np.arange(len(states) - 1, dtype=np.int64), np.diff(states.astype(np.int64))) << 8) | labels
+        self.targets, self.skips = (np.frombuffer(self.map, "<u4", len(labels), spans[k][0]) for k in (1, 2))
+        self.finals = np.frombuffer(self.map, np.uint8, len(states) - 1, spans[5][0])
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """get() of many words, a byte of all of them at a time."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.keys):
+            return out
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        live = np.flatnonzero(size > 0)
+        state, rank, i = np.full(len(live), self.root, dtype=np.int64), np.zeros(len(live), dtype=np.int64), 0
+        while len(live):
+            key = state << 8 | raw[start[live] + i]
+            e = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            go = self.keys[e] == key
+            live, e = live[go], e[go]
+            state, rank = self.targets[e].astype(np.int64), rank[go] + self.skips[e]
+            i += 1
+            end = size[live] == i
+            found = end & (self.finals[state] > 0)
+            for k, r in zip(live[found].tolist(), rank[found].tolist(), strict=True):
+                out[k] = self.map[self.pool + 4 * self.offset[r] : self.pool + 4 * self.offset[r + 1]]
+            live, state, rank = live[~end], state[~end], rank[~end]
+        return out
+
     def get(self, word: bytes) -> bytes | None:
         """The ids of a word as little-endian unsigned 32-bit integers."""
         state, rank, find, at, first = self.root, 0, self.map.find, self.labels, self.first
@@ -182,64 +309,124 @@ class Lexicon:
 
 
 class Encoder:
-    """Texts to ids and back. Pieces between single spaces are independent of what surrounds them
-    and are remembered; texts with other runs of white space at a piece's edge are split whole."""
+    """Batches of texts to ids and back. Pieces between single spaces are independent of what surrounds them:
+    a batch's distinct pieces are looked up once. Texts with other runs of white space at a piece's edge, and
+    those with added tokens, are split whole."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.v, self.lexicon = vocabulary, lexicon
+        self.v, self.lexicon, self.merger = vocabulary, lexicon, Merger(vocabulary)
         self.split = regex.compile(SPLIT).findall
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes | None] = {}
         top = max(vocabulary.bytes_of) + 1
-        self.table = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
-
-    def word(self, w: str) -> bytes:
-        ids = self.words.get(w)
-        if ids is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            raw = w.encode()
-            ids = self.lexicon.get(raw)
-            if ids is None:
-                got = self.v.merge(raw)
-                ids = struct.pack(f"<{len(got)}I", *got)
-            self.words[w] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.split(text)))
-
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        if not head or head[-1].isspace() or (rest and not rest[-1]):
-            return self.whole(text)
-        pieces, out = self.pieces, []
+        self.table = pa.array([vocabulary.bytes_of.get(i, b"") for i in range(top)], pa.binary())
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words that aren't known yet: from the lexicon, or merged together."""
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        rest = [w for w in dict.fromkeys(words) if w not in self.words]
+        raws = [w.encode() for w in rest]
+        held = self.lexicon.get_all(raws)
+        own = [i for i, ids in enumerate(held) if ids is None]
+        for i, ids in zip(own, self.merger.merge([raws[i] for i in own]), strict=True):
+            held[i] = ids
+        self.words.update(zip(rest, held, strict=True))
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        out = []
+        for i in range(0, len(split), 256):
+            self.learn([w for s in split[i : i + 256] for w in s])
+            out += [b"".join(map(self.words.__getitem__, s)) for s in split[i : i + 256]]
+        return out
+
+    def resolve(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces that stand behind a space; null for those that white space must be read around."""
+        plain = pc.extract_regex(pieces, PLAIN)
+        word = pc.binary_join_element_wise(" ", plain.field("word"), "").dictionary_encode()
+        mark = plain.field("mark").dictionary_encode()
+        names, marks = word.dictionary.to_pylist(), mark.dictionary.to_pylist()
+        self.learn([*names, *filter(None, marks)])
+        ids = [pa.array([self.words[x] if x else b"" for x in own], pa.binary()).take(of.indices) for own, of in ((names, word), (marks, mark))]
+        out = pc.binary_join_element_wise(*ids, b"")
+        other = pc.is_null(plain)
+        rest = pieces.filter(other).to_pylist()
+        if len(self.pieces) >= CACHE_PIECES:
+            self.pieces.clear()
+        parts = {}
         for p in rest:
-            ids = pieces.get(p, 0)
-            if ids == 0:
-                if len(pieces) >= CACHE_PIECES:
-                    pieces.clear()
-                if own := simple(p):
-                    ids = self.word(" " + own[0]) + self.word(own[1]) if own[1] else self.word(" " + p)
+            if p not in self.pieces:
+                if not p or p[0].isspace() or p[-1].isspace():
+                    self.pieces[p] = None
                 else:
-                    ids = None if not p or p[0].isspace() or p[-1].isspace() else b"".join(map(self.word, self.split(" " + p)))
-                pieces[p] = ids
-            if ids is None:
-                return self.whole(text)
-            out.append(ids)
-        return self.whole(head) + b"".join(out)
+                    parts[p] = self.split(" " + p)
+        self.learn([w for s in parts.values() for w in s])
+        known = self.words.__getitem__
+        for p, s in parts.items():
+            self.pieces[p] = b"".join(map(known, s))
+        return pc.replace_with_mask(out, other, pa.array([self.pieces[p] for p in rest], pa.binary()))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ends of each text's)."""
+        texts = pc.fill_null(texts, "")
+        held = pc.split_pattern(texts, " ")
+        found = held.flatten().dictionary_encode()
+        at = found.indices.to_numpy().astype(np.int64)
+        ends = np.cumsum(held.value_lengths().to_numpy().astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        ids = self.resolve(found.dictionary)
+        # a text's first piece stands behind no space, its last is followed by none
+        heads = found.dictionary.take(pa.array(at[starts])).to_pylist()
+        odd = pc.is_null(ids).to_numpy(zero_copy_only=False)[at]
+        odd[starts] = [(not h or h[-1].isspace()) and e - s > 1 for h, s, e in zip(heads, starts.tolist(), ends.tolist(), strict=True)]
+        whole = np.add.reduceat(odd, starts) > 0 if len(starts) else np.zeros(0, bool)
+        if self.added is not None:
+            for a in self.v.added:
+                whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(whole)
+        number = np.empty(len(starts), dtype=np.int64)
+        more: list[bytes] = []
+        if len(rows):
+            # a text read whole is one entry; its other pieces are empty
+            of = np.repeat(np.arange(len(starts)), ends - starts)
+            at = np.where(whole[of], len(ids), at)
+            more = [b"", *(self.encode(t.as_py()) for t in texts.take(pa.array(rows)))]
+            number[rows] = len(ids) + 1 + np.arange(len(rows))
+        rows = np.flatnonzero(~whole)
+        number[rows] = len(ids) + len(more) + np.arange(len(rows))
+        more += self.wholes([heads[i] for i in rows.tolist()])
+        at[starts] = number
+        got = pa.concat_arrays([ids.cast(pa.large_binary()), pa.array(more, pa.large_binary())]).take(pa.array(at))
+        _, offsets, data = got.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[got.offset : got.offset + len(got) + 1]
+        flat = np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
+        return flat[offsets[0] // 4 : offsets[-1] // 4], (offsets[ends] - offsets[0]) // 4
+
+    def plain(self, text: str) -> bytes:
+        return self.wholes([text])[0] if text else b""
 
     def encode(self, text: str) -> bytes:
         if self.added is None or not any(a in text for a in self.v.added):
             return self.plain(text)
         return b"".join(struct.pack("<I", self.v.added[s]) if s in self.v.added else self.plain(s) for s in self.added.split(text))
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str] | pa.Array:
+        """The texts of ids that end at `ends`: the tokens' bytes side by side."""
+        got = self.table.take(pa.array(ids))
+        _, offsets, data = got.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[got.offset : got.offset + len(got) + 1]
+        bounds = offsets[np.concatenate([[0], ends])]
+        raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), data if data is not None else pa.py_buffer(b"")])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
     def decode(self, ids: bytes) -> str:
-        table = self.table
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        x = np.frombuffer(ids, "<u4")
+        return self.decode_all(x, np.array([len(x)]))[0].as_py()
 
 
 _HELD: dict[str, Encoder] = {}
@@ -249,36 +436,47 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of all pre-tokens of all texts, pre-aggregated in each task."""
 
     def count(batches):
-        split, words, pieces = regex.compile(SPLIT).findall, Counter(), Counter()
+        split, held, size = regex.compile(SPLIT).findall, [], 0
+
+        def add(values, n):
+            held.append(pa.table({"piece": values, "n": n}))
 
-        def flush():
-            for p, n in pieces.items():
-                if p[:1] == " " and (own := simple(p[1:])):
+        def out():
+            """Pieces to words; those of a head (marked by a first 0) stand behind no space."""
+            words: Counter = Counter()
+            whole = pa.concat_tables(held).group_by("piece").aggregate([("n", "sum")])
+            held.clear()
+            for p, n in zip(whole.column("piece").to_pylist(), whole.column("n_sum").to_pylist(), strict=True):
+                if not n:
+                    continue
+                if p[:1] == "\0":
+                    for w in split(p[1:]):
+                        words[w] += n
+                elif own := simple(p):
                     words[" " + own[0]] += n
                     if own[1]:
                         words[own[1]] += n
                 else:
-                    for w in split(p):
+                    for w in split(" " + p):
                         words[w] += n
-            pieces.clear()
-
-        def out():
-            flush()
-            batch = pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-            words.clear()
-            return batch
+            return pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    head, *rest = t.split(" ")
-                    pieces[head] += 1
-                    pieces.update([" " + p for p in rest])
-            if len(pieces) > 400_000:
-                flush()
-            if len(words) > 600_000:
+            if not b.num_rows:
+                continue
+            pieces = pc.split_pattern(b.column(0), " ")
+            # heads are counted with their mark, and taken out of the others
+            heads = pc.value_counts(pc.list_element(pieces, 0))
+            counts = pc.value_counts(pieces.flatten())
+            add(counts.field("values"), counts.field("counts"))
+            add(heads.field("values"), pc.negate(heads.field("counts")))
+            add(pc.binary_join_element_wise("\0", heads.field("values"), ""), heads.field("counts"))
+            size += len(counts) + 2 * len(heads)
+            if size > 2_000_000:
                 yield out()
-        yield out()
+                size = 0
+        if held:
+            yield out()
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -305,8 +503,10 @@ def encode(docs: DataFrame, vocab_path: str, lexicon_words: int = LEXICON_WORDS,
             _HELD.clear()
             enc = _HELD[key] = Encoder(held.value[0], Lexicon(held.value[1]))
         for b in batches:
-            ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([enc.decode(x) for x in ids], pa.string())], ["row", "n_tokens", "ids", "decoded"])
+            ids, ends = enc.encode_all(b.column(1))
+            bounds = np.concatenate([[0], ends])
+            packed_ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * bounds).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.record_batch([b.column(0), pa.array(np.diff(bounds)), packed_ids, enc.decode_all(ids, ends)], ["row", "n_tokens", "ids", "decoded"])
 
     return common.unpack(packed.mapInArrow(run, schema), docs.columns, ["n_tokens", "ids", "decoded"])
 
