@@ -13,6 +13,7 @@ result. Extra columns are passed through.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -30,21 +31,19 @@ SAMPLE = 20_000
 HIDDEN, EPOCHS = 32, 30
 CACHE = 500_000
 BLOCK = 512
+#: No slot; slots that are added up together.
+NONE, GATHER = SLOTS, 2_000_000
 
 _rng = np.random.default_rng(7)
 _POS = _rng.integers(0, DIM, size=(SLOTS, NONZERO))
 _SIGN = _rng.choice([-1.0, 1.0], size=(SLOTS, NONZERO))
+_PLACE = 2 * _POS + (_SIGN < 0)
 
 
 class Slots(dict):
-    """A raw word's number in `table`, whose rows are (slot of the word, slot of its marks or -1,
-    slot of its shape or -1); remembers."""
+    """A raw word's (slot of the word, slot of its marks or NONE, slot of its shape or NONE); remembers."""
 
-    def __init__(self):
-        super().__init__()
-        self.table: list[tuple[int, int, int]] = []
-
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, int, int]:
         a, b = 0, len(word)
         while a < b and not word[a].isalnum():
             a += 1
@@ -52,18 +51,16 @@ class Slots(dict):
             b -= 1
         core, marks = word[a:b], word[:a] + " " + word[b:]
         slot = lambda s: zlib.crc32(s.encode()) % SLOTS
-        self[word] = n = len(self.table)
-        self.table.append((slot(core.lower()) if core else -1, slot("m" + marks) if len(marks) > 1 else -1, slot("\x00upper") if len(core) > 1 and core.isupper() else -1))
-        return n
+        self[word] = got = (slot(core.lower()) if core else NONE, slot("m" + marks) if len(marks) > 1 else NONE, slot("\x00upper") if len(core) > 1 and core.isupper() else NONE)
+        return got
 
-    def of(self, text: str) -> np.ndarray:
-        words = text.split()
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's slots in their order."""
         if len(self) > CACHE:
             self.clear()
-            self.table.clear()
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        got = np.array([self.table[i] for i in at.tolist()], dtype=np.int64).reshape(-1)
-        return got[got >= 0]
+        words = common.Words(texts)
+        table = np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, words.distinct)), dtype=np.uint16, count=3 * len(words.distinct)).reshape(-1, 3)
+        return [got[got != NONE] for got in (x.reshape(-1) for x in words.texts(table))]
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -73,23 +70,35 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def gather(batches):
         slots = Slots()
         total, n = np.zeros(SLOTS * DIM), np.zeros(SLOTS, dtype=np.int64)
-        for b in batches:
-            parts = []
-            for t in b.column(0).to_pylist():
-                if t:
-                    parts += [slots.of(t), np.full(REACH, -1, dtype=np.int64)]
-            if not parts:
-                continue
-            s = np.concatenate(parts)
-            real = s >= 0
-            n += np.bincount(s[real], minlength=SLOTS)
+        gap, parts, size = np.full(REACH, NONE, dtype=np.uint16), [], 0
+
+        def add_up():
+            """A word's neighbours are counted, and each sort of pair adds its index vector once. Gaps
+            between texts are slots past the last, which are cut off."""
+            s = np.concatenate(parts).astype(np.int64)
+            parts.clear()
+            n[:] += np.bincount(s, minlength=SLOTS + 1)[:SLOTS]
             for lag in range(1, REACH + 1):
-                left, right = s[:-lag], s[lag:]
-                both = (left >= 0) & (right >= 0)
-                left, right = left[both], right[both]
-                for x, y in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        total += np.bincount(x * DIM + _POS[y, k], weights=_SIGN[y, k], minlength=SLOTS * DIM)
+                x, y = s[:-lag], s[lag:]
+                both = (x != NONE) & (y != NONE)
+                x, y = x[both], y[both]
+                for k in range(NONZERO):
+                    for own, other in ((x, y), (y, x)):
+                        # the sign is the lowest bit of the place, so that whole numbers are counted
+                        got = np.bincount(own * (2 * DIM) + _PLACE[other, k], minlength=2 * SLOTS * DIM)
+                        total[:] += got[0::2]
+                        total[:] -= got[1::2]
+
+        for b in batches:
+            for x in slots.texts(b.column(0)):
+                if len(x):
+                    parts += [x, gap]
+                    size += len(x) + REACH
+            if size > GATHER:
+                add_up()
+                size = 0
+        if parts:
+            add_up()
         rows = np.flatnonzero(np.bincount(np.flatnonzero(n) // BLOCK, minlength=SLOTS // BLOCK))
         whole = np.hstack([total.reshape(SLOTS, DIM), n[:, None]]).astype(np.float32)
         for k in rows:
@@ -121,15 +130,19 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pool(slots: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Mean, weighted mean and spread of the word vectors, and the length."""
-    if not len(slots):
-        return np.zeros(3 * DIM + 2, dtype=np.float32)
-    mean = weighted = square = 0
-    for i in range(0, len(slots), 4096):
-        v, w = vectors[slots[i : i + 4096]], weight[slots[i : i + 4096]]
-        mean, weighted, square = mean + v.sum(axis=0), weighted + w @ v, square + (v * v).sum(axis=0)
     n = len(slots)
-    distinct = len(np.unique(slots)) / n
-    return np.concatenate([mean / n, weighted / n, np.sqrt(square / n), [np.log1p(n), distinct]]).astype(np.float32)
+    if not n:
+        return np.zeros(3 * DIM + 2, dtype=np.float32)
+    slots = np.sort(slots, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+    own = slots[first]
+    count = np.diff(np.append(first, n)).astype(np.float32)
+    sums, square = np.zeros((2, DIM), dtype=np.float64), np.zeros(DIM, dtype=np.float64)
+    for i in range(0, len(own), 4096):
+        v, c = vectors[own[i : i + 4096]], count[i : i + 4096]
+        sums += np.stack([c, c * weight[own[i : i + 4096]]]) @ v
+        square += c @ np.square(v)
+    return np.concatenate([sums[0] / n, sums[1] / n, np.sqrt(square / n), [np.log1p(n), len(own) / n]]).astype(np.float32)
 
 
 class Network:
@@ -189,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     def pooled(batches):
         slots = Slots()
         for b in batches:
-            x = [pool(slots.of(t), *held.value).tobytes() for t in b.column(0).to_pylist()]
+            x = [pool(s, *held.value).tobytes() for s in slots.texts(b.column(0))]
             yield pa.record_batch([pa.array(x, pa.binary()), b.column(1)], ["x", "y"])
 
     got = labelled(docs, labels, "quality", sample).select("text", "y").mapInArrow(pooled, "x binary, y int").toArrow()
@@ -213,7 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
         vectors, weight, model = held.value
         slots = Slots()
         for b in batches:
-            x = np.stack([pool(slots.of(t), vectors, weight) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, 3 * DIM + 2))
+            x = np.stack([pool(s, vectors, weight) for s in slots.texts(b.column(1))]) if b.num_rows else np.zeros((0, 3 * DIM + 2))
             p = model.predict(x.astype(np.float64))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
