@@ -1,39 +1,50 @@
 """Document fingerprints: I-Match over randomised lexicons.
 
-Terms (white-space words, case folded, without outer punctuation) get their document frequency
-over all documents, by hashed slots so that the lexicon has a fixed size. Terms within the band of
-inverse document frequency are kept, sorted and distinct, and hashed once for each of 40 randomised
-lexicon subsets, from the whole lexicon to a 256th of it.
+Terms (white-space words, case folded, without outer punctuation) get their exact document frequency
+over all documents. Terms within the band of inverse document frequency are kept, sorted and distinct,
+and hashed once for each of 40 randomised lexicon subsets, from the whole lexicon to a 256th of it.
+Tasks know the band by a Bloom filter whose size follows from the counted number of its terms: about one in
+200 terms outside passes; with more than TERMS_AT_MOST terms in the band more do, as the filter
+doesn't grow further.
 
 Null or empty text: its terms are none, the text itself is hashed instead; so too if a text has
 no letters or digits. No term in the band: all its terms count. Null doc_id: sorts first. Repeated
-rows: each its own row, ordered by text. One row only: it is its own next. Empty table: empty result.
+rows: each its own row, ordered by text; all rows of one doc_id meet in one task. One row only: it is
+its own next. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SLOTS = 1 << 21
-#: The band: in two documents at least, and in one of twenty at most.
-MIN_DOCS, MAX_SHARE = 2, 0.05
+#: The band of document frequency: in two documents and a millionth of all at least, and in one of twenty at most.
+MIN_DOCS, MIN_SHARE, MAX_SHARE = 2, 1e-6, 0.05
+#: Bits of the filter for a term, and the number of terms up to which it grows.
+BITS_A_TERM, TERMS_AT_MOST = 16, 1 << 26
+#: The filter's blocks, and the probes in a block.
+BLOCKS, PROBES = 512, 3
 #: (share of the lexicon in 1/256, subsets).
 LEVELS = ((256, 1), (64, 7), (16, 8), (4, 12), (1, 12))
 SUBSETS = sum(n for _, n in LEVELS)
 #: A level's matches count as a likeness from so many subsets with terms.
 LEAST = 4
-CACHE = 500_000
+CACHE = 700_000
+#: Distinct terms that a task counts before it passes them on.
+HELD = 1 << 21
 
 _BOUND = np.array([s for s, n in LEVELS for _ in range(n)], dtype=np.uint16)
 _EDGES = np.cumsum([0, *(n for _, n in LEVELS)])
 _SEEDS = common.mix64(np.arange(1, SUBSETS // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ENDS = common.mix64(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 class Terms(dict):
@@ -48,74 +59,158 @@ class Terms(dict):
             a += 1
         while b > a and not t[b - 1].isalnum():
             b -= 1
-        h = self[word] = (int.from_bytes(hashlib.blake2b(t[a:b].encode(), digest_size=8).digest(), "little") or 1) if a < b else 0
+        h = self[word] = (xxhash.xxh3_64_intdigest(t[a:b]) or 1) if a < b else 0
         return h
 
-    def of(self, text: str) -> np.ndarray:
-        """Sorted distinct term hashes."""
-        words = set(text.split())
-        got = np.unique(np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words)))
-        return got[1:] if len(got) and got[0] == 0 else got
+    def texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's term hashes in their order, without those of words that have none."""
+        words = common.Words(texts)
+        known = np.fromiter(map(self.__getitem__, words.distinct), dtype=np.uint64, count=len(words.distinct))
+        if (known != 0).all():
+            return list(words.texts(known))
+        return [h[h != 0] for h in words.texts(known)]
 
 
-def lexicon(docs: DataFrame, slots: int = SLOTS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> np.ndarray:
-    """Which slots are in the band, from the document frequencies of all documents."""
-    spark = docs.sparkSession
-    common.tune(spark)
+class Band:
+    """Which terms are in the band: a Bloom filter in blocks, a block for the terms of equal highest bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def width(terms: int) -> int:
+        """Bits of a block, a power of two."""
+        return 1 << max(10, min(terms, TERMS_AT_MOST) * BITS_A_TERM // BLOCKS - 1).bit_length()
+
+    @staticmethod
+    def places(h: np.ndarray, width: int) -> list[np.ndarray]:
+        """A term's bits in its block."""
+        m = common.mix64(h)
+        return [((m >> np.uint64(21 * k)) & np.uint64(width - 1)).astype(np.int64) for k in range(PROBES)]
+
+    def inside(self, h: np.ndarray) -> np.ndarray:
+        width = len(self.bits) * 8 // BLOCKS
+        base = (h >> np.uint64(55)).astype(np.int64) * width
+        out = np.ones(len(h), dtype=bool)
+        for p in self.places(h, width):
+            at = base + p
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term bigint, n bigint): documents of each term; term 0 stands for all documents."""
 
     def count(batches):
-        terms, total, n = Terms(), np.zeros(slots, dtype=np.int64), 0
+        terms, held, size, total = Terms(), [], 0, 0
+
+        def out(h, n):
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["term", "n"])
+
+        for b in batches:
+            total += b.num_rows
+            own = [np.unique(h) for h in terms.texts(b.column(0))]
+            h, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.append((h, n)), (size := size + len(h))
+            if size > HELD:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield out(*held[0])
+                    held, size = [], 0
+        yield out(*_merged(held))
+        yield out(np.zeros(1, np.uint64), np.array([total]))
+
+    return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> Band:
+    """The terms in the band, from the document frequencies of all documents."""
+    common.tune(docs.sparkSession)
+    df = common.materialize(frequencies(docs), "document-frequency")
+    total = (df.where("term = 0").agg(F.sum("n")).first() or [0])[0] or 0
+    kept = df.where((F.col("term") != 0) & (F.col("n") >= max(min_docs, min_share * total)) & (F.col("n") <= max(min_docs, max_share * total))).select("term")
+    width = Band.width(kept.count())
+
+    def fill(batches):
+        block: dict[int, np.ndarray] = {}
         for b in batches:
-            own = [np.unique(terms.of(t) & np.uint64(slots - 1)) for t in b.column(0).to_pylist() if t]
-            n += b.num_rows
-            if own:
-                total += np.bincount(np.concatenate(own).astype(np.int64), minlength=slots)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["slot", "n"])
-
-    df = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    df = common.materialize(df, "document-frequency")
-    total = (df.where("slot = -1").agg(F.sum("n")).first() or [0])[0] or 0
-    kept = df.where((F.col("slot") >= 0) & (F.col("n") >= min_docs) & (F.col("n") <= max(min_docs, max_share * total))).select("slot").toArrow().column(0).to_numpy()
-    band = np.zeros(slots, dtype=bool)
-    band[kept] = True
-    return band
-
-
-def fingerprint(text: str, terms: Terms, band: np.ndarray) -> str:
+            h = b.column(0).to_numpy().view(np.uint64)
+            own = (h >> np.uint64(55)).astype(np.int64)
+            for k in np.unique(own).tolist():
+                bits = block.setdefault(k, np.zeros(width // 8, dtype=np.uint8))
+                for at in Band.places(h[own == k], width):
+                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.record_batch([pa.array(list(block), pa.int32()), pa.array([x.tobytes() for x in block.values()], pa.binary())], ["block", "bits"])
+
+    # a block is filled in one task: the driver gets each byte of the filter once
+    filled = kept.repartition(F.shiftrightunsigned("term", 55)).mapInArrow(fill, "block int, bits binary")
+    bits = np.zeros((BLOCKS, width // 8), dtype=np.uint8)
+    for r in filled.toLocalIterator():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    common.discard(df)
+    return Band(bits.reshape(-1))
+
+
+def subsets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each subset of the lexicon whether a sorted set of terms has any in it, and the hash of those."""
+    some, total = np.zeros(SUBSETS, dtype=bool), _ENDS.copy()
+    for i in range(0, len(h), 8192):
+        part = h[i : i + 8192]
+        drawn = common.mix64(part[None, :] ^ _SEEDS[:, None]).view(np.uint8).reshape(len(_SEEDS), len(part), 8)
+        keep = drawn.transpose(0, 2, 1).reshape(SUBSETS, len(part)) < _BOUND[:, None]
+        some |= keep.any(axis=1)
+        total += np.where(keep, common.mix64(part + np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    return some, (common.mix64(total) >> np.uint64(32)).astype(np.uint32)
+
+
+def fingerprints_of(texts: list[str], terms: Terms, band: Band) -> list[tuple[np.ndarray, np.ndarray]]:
+    """subsets() of each text's terms."""
+    words = common.Words(pa.array(texts, pa.string()))
+    known = np.fromiter(map(terms.__getitem__, words.distinct), dtype=np.uint64, count=len(words.distinct))
+    inside = band.inside(known) & (known != 0)
+    out = []
+    for text, h, kept in zip(texts, words.texts(known), words.texts(inside), strict=True):
+        if kept.any():
+            h = h[kept]
+        elif not (h != 0).any():
+            h = np.array([xxhash.xxh3_64_intdigest(text)], dtype=np.uint64)
+        else:
+            h = h[h != 0]
+        out.append(subsets(np.unique(h)))
+    return out
+
+
+def hexadecimal(f: tuple[np.ndarray, np.ndarray]) -> str:
     """Eight hexadecimal digits for each subset, eight hyphens for a subset without terms."""
-    h = terms.of(text)
-    if not len(h):
-        h = np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), dtype=np.uint64)
-    kept = h[band[(h & np.uint64(len(band) - 1)).astype(np.int64)]]
-    if len(kept):
-        h = kept
-    drawn = common.mix64(h[None, :] ^ _SEEDS[:, None]).view(np.uint8).reshape(len(_SEEDS), len(h), 8)
-    keep = drawn.transpose(0, 2, 1).reshape(SUBSETS, len(h)) < _BOUND[:, None]
-    some, out = keep.any(axis=1), []
-    for k in range(SUBSETS):
-        out.append(hashlib.blake2b(h[keep[k]].tobytes(), digest_size=4, salt=bytes([k])).hexdigest() if some[k] else "--------")
-    return "".join(out)
-
-
-def likeness(a: str, b: str) -> float:
+    raw = f[1].astype(">u4").tobytes().hex()
+    if f[0].all():
+        return raw
+    return "".join(raw[8 * k : 8 * k + 8] if x else "--------" for k, x in enumerate(f[0].tolist()))
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """1 for equal fingerprints; else the best level's share of equal hashes among subsets with
     terms. Sparse subsets hold about one term, so that their share estimates the overlap."""
-    if a == b:
+    same = (a[0] == b[0]) & ((a[1] == b[1]) | ~a[0])
+    if same.all():
         return 1.0
-    x = [a[i : i + 8] for i in range(0, len(a), 8)]
-    y = [b[i : i + 8] for i in range(0, len(b), 8)]
-    best, same_all, some_all = 0.0, 0, 0
-    for lo, hi in zip(_EDGES[:-1], _EDGES[1:], strict=True):
-        some = same = 0
-        for k in range(lo, hi):
-            if x[k] != "--------" or y[k] != "--------":
-                some += 1
-                same += x[k] == y[k]
-        same_all, some_all = same_all + same, some_all + some
-        if some >= LEAST:
-            best = max(best, same / some)
-    return best if best else same_all / max(1, some_all)
+    some = a[0] | b[0]
+    n = np.add.reduceat(some.astype(np.int64), _EDGES[:-1])
+    equal = np.add.reduceat((same & some).astype(np.int64), _EDGES[:-1])
+    best = max((e / m for e, m in zip(equal.tolist(), n.tolist(), strict=True) if m >= LEAST), default=0.0)
+    return best if best else int(equal.sum()) / max(1, int(n.sum()))
 
 
 def edit(text: str, following: str) -> str:
@@ -139,8 +234,12 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     before = F.create_map(*[F.lit(x) for i, r in enumerate(found) for x in (r["first"], found[i - 1]["part"])])
     firsts = [r["first"] for r in found]
     rows = docs.select("doc_id", "text", key.alias("key"), F.lit(True).alias("own")).withColumn("part", part)
+    spark = docs.sparkSession
+    # a number for each part that hashing deals to a partition of its own
+    dealt = {r["p"]: r["id"] for r in spark.range(20 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    place = F.element_at(F.from_json(F.lit(json.dumps([dealt.get(p, p) for p in range(parts)])), "array<bigint>"), F.col("part") + 1)
     tails = docs.select("doc_id", "text", key.alias("key"), F.lit(False).alias("own")).where(F.col("key").isin(firsts)).withColumn("part", before[F.col("key")])
-    return rows.unionByName(tails).repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), "key", "text").select("doc_id", "text", "part", "own", "key")
+    return rows.unionByName(tails).withColumn("place", place).repartition(parts, "place").sortWithinPartitions("part", F.desc("own"), "key", "text").select("doc_id", "text", "part", "own", "key")
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -148,42 +247,38 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     common.tune(spark)
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    band = spark.sparkContext.broadcast(np.packbits(lexicon(docs)))
+    band = spark.sparkContext.broadcast(lexicon(docs).bits)
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        terms, inside = Terms(), np.unpackbits(band.value).astype(bool)
-        held, out = None, []
-
-        def pair(a, b, fb):
-            doc_id, text, fa = a
-            edited = edit(text, b)
-            fe = fingerprint(edited, terms, inside)
-            out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fa, fe, likeness(fa, fe), likeness(fa, fb)))
-
-        def flush():
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [id_arrow, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            batch = pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-            out.clear()
-            return batch
-
+        terms, inside = Terms(), Band(band.value)
+        held, part = None, None
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        id_arrow = None
-        part = None
         for b in batches:
-            id_arrow = b.schema.field(0).type
-            for doc_id, text, p, own in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if p != part:
-                    part, held = p, None
-                if held is None and not own:
+            pairs = []
+            rows = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[2] != part:
+                    part, held = row[2], None
+                if held is None and not row[3]:
                     continue  # further rows with the next part's first doc_id
-                f = fingerprint(text, terms, inside)
+                rows.append(row)
                 if held is not None:
-                    pair(held, text, f)
-                held = (doc_id, text, f) if own else None
-            yield flush()
+                    pairs.append((held, len(rows) - 1))
+                held = [row[0], row[1], len(rows) - 1, None] if row[3] else None
+            own = fingerprints_of([r[1] for r in rows], terms, inside)
+            edited = [edit(a[1], rows[k][1]) for a, k in pairs]
+            changed = fingerprints_of(edited, terms, inside)
+            out: list[list] = [[] for _ in names]
+            for (a, k), e, fe in zip(pairs, edited, changed, strict=True):
+                fa, fb = own[a[2]] if a[3] is None else a[3], own[k]
+                for c, x in zip(out, (a[0], len(a[1]), hashlib.sha256(e.encode()).hexdigest(), hexadecimal(fa), hexadecimal(fe), likeness(fa, fe), likeness(fa, fb)), strict=True):
+                    c.append(x)
+            if held is not None and held[3] is None:
+                held[3] = own[held[2]]  # the next batch needs the fingerprint only
+            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
     schema = f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return neighbours(docs, parts).mapInArrow(run, schema)
