@@ -1,6 +1,7 @@
 """Configuration files, raw frames, hand labels, backgrounds."""
 
 import json
+import math
 import tomllib
 
 import numpy as np
@@ -122,9 +123,14 @@ def test_repair_stuck():
     img = np.full((200, 200), 150, dtype=np.uint8)
     img[(x - 100) ** 2 + (y - 100) ** 2 <= 81] = 40
     img[(x - 100) ** 2 + (y - 178) ** 2 <= 121] = 60
-    out = backgrounds.repair_stuck(img, (100, 100, 9))
-    assert out[178, 100] > 120 and out[100, 100] < 80
-    assert (backgrounds.repair_stuck(np.full((60, 60), 150, dtype=np.uint8)) == 150).all()
+    out, at, n = backgrounds.repair_stuck(img, (100, 100, 9))
+    assert out[178, 100] > 120 and out[100, 100] < 80 and math.hypot(at[0] - 100, at[1] - 178) <= 12 and n > 300
+    out, at, n = backgrounds.repair_stuck(np.full((60, 60), 150, dtype=np.uint8))
+    assert (out == 150).all() and at is None and n == 0
+    whole, _, n = backgrounds.repair_stuck(img, (100, 100, 9), largest=50)
+    assert 0 < n <= math.pi * 13.5**2
+    mask = (x - 60) ** 2 + (y - 60) ** 2 <= 25
+    assert backgrounds.repair_stuck(img, mask=mask)[1:] == ((60.0, 60.0), int(mask.sum()))
 
 
 def test_arenas():

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.functions import common
 from trailmark.operators import compare, geometry, kernels, linking, pixels, pose, qc, trajectory
@@ -244,9 +245,9 @@ def test_kernels():
     port = np.full((300, 300), 200.0)
     y, x = np.mgrid[:300, :300]
     port[(x - 155) ** 2 + (y - 148) ** 2 <= 64] = 40
-    got = kernels.find_port(port, 100)
+    got = kernels.find_port(port, (150, 150), 100)
     assert math.hypot(got[0] - 155, got[1] - 148) <= 2
-    assert kernels.find_port(np.full((300, 300), 200.0), 100) is None
+    assert got[2] == pytest.approx(8, abs=2) and kernels.find_port(np.full((300, 300), 200.0), (150, 150), 100) is None
     ramp = np.arange(10000).reshape(100, 100) % 251
     assert kernels.crop(ramp, 50, 50, 20)[1:] == (40, 40, False) and kernels.crop(ramp, 2, 2, 20)[1:] == (-8, -8, True)
 
@@ -284,7 +285,7 @@ def test_validation(spark):
 
 def test_spread_and_follow(spark):
     df = spark.createDataFrame([("a", 1, i) for i in range(101)], "roi string, track_id int, frame long")
-    assert [r.frame for r in qc.spread(df, 5, ["frame"]).orderBy("frame").collect()] == [0, 25, 50, 75, 100]
+    assert [r.frame for r in qc.spread(df, 5).orderBy("frame").collect()] == [0, 25, 50, 75, 100]
     track = spark.createDataFrame([(3, 1.0, 2.0), (5, 3.0, 4.0)], "frame long, x double, y double")
     frames = spark.createDataFrame([(i,) for i in (0, 3, 4, 9)], "frame long")
     assert rows(qc.follow(track, frames), "frame") == [(0, 1.0, 2.0), (3, 1.0, 2.0), (4, 1.0, 2.0), (9, 3.0, 4.0)]
@@ -300,20 +301,65 @@ def test_whole_tracks(spark, monkeypatch):
     from trailmark.plans import registry
 
     at = {(f"arena_0{i % 3}", i): {f: (float(i * 7 % 11 + f % 13), float(f * i % 5)) for f in range(i % 4, 75 + i, 1 + i % 3)} for i in range(1, 12)}
-    t = spark.createDataFrame([(r, i, f, f / 10, *p) for (r, i), own in at.items() for f, p in own.items()], "roi string, track_id long, frame long, t_s double, x double, y double")
+    t = spark.createDataFrame([("v", r, i, f, f / 10, *p) for (r, i), own in at.items() for f, p in own.items()], "video string, roi string, track_id long, frame long, t_s double, x double, y double")
     monkeypatch.setattr(registry.views, "tracks", lambda s, d: t)
     run = lambda name, *c: {tuple(r[k] for k in c[:-1]): r[c[-1]] for r in registry.queries()[name](spark, "").collect()}
-    follow = {(r, i, f): own[max((g for g in own if g <= f), default=min(own))][0] for (r, i), own in at.items() for f in range(max(own) + 1)}
-    assert run("follow_asof_all", "roi", "track_id", "frame", "cx") == follow
+    follow = {(r, i, f): own[max((g for g in own if g <= f and g % 4), default=min((g for g in own if g % 4), default=None))][0] for (r, i), own in at.items() for f in range(max(own) + 1)}
+    assert run("follow_asof", "roi", "track_id", "frame", "cx") == follow
     last = max(f for own in at.values() for f in own if f % 3 == 0)
-    got = run("resample_all", "roi", "track_id", "frame", "x")
+    got = run("resample", "roi", "track_id", "frame", "x")
     assert set(got) == {(r, i, f) for (r, i), own in at.items() if any(f % 3 == 0 for f in own) for f in range(last + 1)}
     assert all(got[r, i, f] == own[f][0] for (r, i), own in at.items() for f in own if f % 3 == 0)
     here = {(r, f) for (r, _), own in at.items() for f in own}
-    assert set(run("context_windows_all", "roi", "anchor", "frame", "frame")) == {(r, a, f) for r, a in here for f in range(a - 3, a + 4) if (r, f) in here}
+    assert set(run("context_windows", "roi", "anchor", "frame", "frame")) == {(r, a, f) for r, a in here for f in range(a - 3, a + 4) if (r, f) in here}
     nearest = {}
     for (_, i), own in at.items():
         for f, (x, y) in own.items():
             sides = {r: [q[f] for (s, _), q in at.items() if s == r and f in q] for r, g in here if g == f}
             nearest[f, i] = min((math.hypot(x - min(p[0] for p in q), y - min(p[1] for p in q)), r) for r, q in sides.items())[1]
-    assert run("match_nearest_all", "frame", "inst", "roi") == nearest
+    assert run("match_nearest", "frame", "inst", "roi") == nearest
+
+
+def test_two_videos(spark):
+    """Tables of two videos give what each gives alone."""
+    rows_of = lambda v, shift: [(v, "a", 1, f, f / 10.0, 100.0 + shift * f, 100.0, float((f * 50 * shift) % 180), 50.0, 1, 20.0) for f in range(30)] + [(v, "b", 2, f, f / 10.0, 300.0, 100.0 + f, 0.0, 5.0, 2, 5.0) for f in range(0, 20, shift)]
+    names = "video string, roi string, track_id long, frame long, t_s double, x double, y double, angle_deg double, area double, n_candidates int, contrast double"
+    both = spark.createDataFrame(rows_of("v1", 1) + rows_of("v2", 2), names)
+    rois = spark.createDataFrame([("a", 100.0, 100.0, 80.0), ("b", 300.0, 100.0, 80.0)], "roi string, cx double, cy double, r double")
+
+    def each(t):
+        k = trajectory.add_kinematics(t, rois)
+        cands = t.select(*[c for c in ("video", "roi", "frame") if c in t.columns], F.col("frame").alias("event_id"), "x", "y", "area")
+        return {
+            "kinematics": k.select(*common.keyed(k, "roi"), "track_id", "frame", "speed_mm_s"),
+            "summary": qc.summarize(qc.flags(k, 400, 400), rois),
+            "coverage": qc.coverage(t, 10),
+            "hist": qc.histogram(t, "x", 7),
+            "spread": qc.spread(t, 7).select(*common.keyed(t, "roi"), "track_id", "frame"),
+            "uniform": pose.uniform_sample(t, 6).select(*common.keyed(t, "roi"), "track_id", "frame"),
+            "unwrap": trajectory.unwrap_all(t).select(*common.keyed(t, "roi"), "track_id", "frame", "angle_unwrapped_deg"),
+            "link": linking.link(linking.dense(cands), linking.Settings(use_kalman=True, miss_tolerance=2)),
+            "stuck": qc.stuck(t, rois, 30),
+        }
+
+    whole = each(both)
+    for v in ("v1", "v2"):
+        alone = each(both.where(F.col("video") == v).drop("video"))
+        for name, df in alone.items():
+            cut = whole[name].where(F.col("video") == v).drop("video")
+            as_rows = lambda x: sorted((tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in x.select(*df.columns).collect()), key=str)
+            assert as_rows(cut) == as_rows(df), (v, name)
+
+
+def test_unknown_arena_is_an_error(spark):
+    t = spark.createDataFrame([("zz", 1, 0, 0.0, 1.0, 1.0)], "roi string, track_id long, frame long, t_s double, x double, y double")
+    rois = spark.createDataFrame([("a", 100.0, 100.0, 80.0)], "roi string, cx double, cy double, r double")
+    with pytest.raises(Exception, match="unknown arena zz"):
+        trajectory.add_center(t, rois).collect()
+
+
+def test_even_positions_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(qc, "STRETCH", 10)
+    df = spark.createDataFrame([("a", f) for f in range(101)] + [("b", f) for f in range(3)], "roi string, frame long")
+    got = qc.even_positions(df, ["roi"], ["frame"], 5)
+    assert rows(got, "roi", "frame") == [("a", 0), ("a", 25), ("a", 50), ("a", 75), ("a", 100), ("b", 0), ("b", 1), ("b", 2)]

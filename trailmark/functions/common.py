@@ -11,13 +11,20 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-#: Rows of a table that may be broadcast.
-SMALL_ROWS = 100_000
+#: Bytes, by the plan's statistics, of a table that may be broadcast.
+SMALL_BYTES = 10 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it is found to have few rows; else Spark joins by exchange."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """The table, marked for broadcast if its plan's statistics say that it is small; no job runs. Else Spark
+    chooses, at run time too."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= limit else df
+
+
+def keyed(df: DataFrame, *names: str) -> list[str]:
+    """The names, after that of the video where the table has several videos."""
+    return [*(["video"] if "video" in df.columns else []), *names]
 
 
 def has(df: DataFrame, *names: str) -> bool:

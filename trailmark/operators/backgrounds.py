@@ -7,24 +7,14 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .kernels import components, dilate, disk, ellipse_element, harmonic_fill
+from .kernels import components, disk, gaussian, harmonic_fill, otsu
 
 INFO = "roi int, pix int, value int, tier int, method string, n_ghost_initial int, n_ghost_final int, n_stationary_filled int"
 
 
-def blurred(img: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian means, zero beyond the edge."""
-    r = max(1, math.ceil(3 * sigma))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    rows = np.apply_along_axis(np.convolve, 1, np.pad(img.astype(np.float64), ((0, 0), (r, r))), k, "valid")
-    return np.apply_along_axis(np.convolve, 0, np.pad(rows, ((r, r), (0, 0))), k, "valid")
-
-
 def blur_inside(img: np.ndarray, mask: np.ndarray, sigma: float = 3.0) -> np.ndarray:
     """Blurred where the mask holds, unchanged elsewhere; every pixel counts for its neighbours."""
-    whole = blurred(img, sigma) / blurred(np.ones(img.shape), sigma)
-    return np.where(mask, np.rint(whole), img).astype(img.dtype)
+    return np.where(mask, np.rint(gaussian(img, sigma)), img).astype(img.dtype)
 
 
 def floor_of(bg: np.ndarray, arena: np.ndarray) -> float:
@@ -32,68 +22,64 @@ def floor_of(bg: np.ndarray, arena: np.ndarray) -> float:
     return float(np.median(own[own >= np.median(own)]))
 
 
-def local_floor(bg: np.ndarray, floor: np.ndarray, sigma: float) -> np.ndarray:
-    """Weighted mean of the floor pixels around each place; NaN where none is near."""
-    weight = blurred(floor, sigma)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(weight > 1e-6, blurred(np.where(floor, bg, 0), sigma) / weight, np.nan)
-
-
 def ghosts(bg: np.ndarray, top: np.ndarray, arena: np.ndarray, margin: float) -> np.ndarray:
     return (top - bg.astype(np.float64) > margin) & arena
 
 
-def deghost(bg: np.ndarray, top: np.ndarray, arena: np.ndarray, margin: float = 15) -> np.ndarray:
-    """Pixels far below their own near-maximum get the level of the floor around them, or,
-    where that doesn't do, the near-maximum. Fixtures have no brighter samples and stay."""
+def deghost(bg: np.ndarray, top: np.ndarray, arena: np.ndarray, margin: float = 15, fill: str = "neighbour") -> np.ndarray:
+    """Pixels far below their own near-maximum get the level of the floor around them, weighted by nearness, or,
+    where no floor is in reach, the near-maximum. Fixtures have no brighter samples and stay."""
     hole = ghosts(bg, top, arena, margin)
     if not hole.any():
         return bg
-    side, own = bg.shape[0], arena & ~hole
-    median = np.median(bg[own]) if own.any() else np.median(bg)
-    sigma = min(max(1.5 * math.sqrt(hole.sum() / math.pi), 3.0), max(3.0, side / 4))
-    level = local_floor(bg, own & (bg >= median - margin), sigma)
     out = bg.copy()
-    out[hole] = np.clip(np.where(np.isnan(level), top, level)[hole], 0, 255).astype(bg.dtype)
-    rest = ghosts(out, top, arena, margin)
-    out[rest] = top[rest].astype(bg.dtype)
+    own = arena & ~hole
+    floor = own & (bg >= np.median(bg[own]) - margin) if own.any() else own
+    floor = floor if floor.any() else own
+    level, reached = top, hole
+    if fill == "neighbour" and floor.any():
+        sigma = float(np.clip(1.5 * math.sqrt(hole.sum() / math.pi), 3.0, bg.shape[0] / 4))
+        weight = gaussian(floor, sigma)
+        reached = hole & (weight > 1e-3)
+        level = np.where(reached, np.rint(gaussian(np.where(floor, bg, 0), sigma) / np.maximum(weight, 1e-6)), top)
+    out[hole] = np.clip(level[hole], 0, 255).astype(bg.dtype)
     return out
 
 
-def dark_parts(bg: np.ndarray, where: np.ndarray, margin: float) -> list[np.ndarray]:
-    """Masks of the connected parts darker than the floor, largest first."""
-    label = components(where & (bg < floor_of(bg, where) - margin))
-    keys, sizes = np.unique(label[label > 0], return_counts=True)
-    return [label == k for k in keys[np.argsort(-sizes, kind="stable")]]
-
-
 def fill_stationary(bg: np.ndarray, arena: np.ndarray, margin: float = 15, area: tuple[int, int] = (15, 4000), spare: float = 0.0) -> tuple[np.ndarray, int]:
-    """Compact dark parts of the arena filled from their rim, but for a central disk of a share of the radius."""
-    where = arena & ~disk(bg.shape[0], spare) if spare > 0 else arena
-    hole = np.zeros(bg.shape, dtype=bool)
-    for part in dark_parts(bg, where, margin):
-        if area[0] <= part.sum() <= area[1]:
-            hole |= part
-    return (harmonic_fill(bg, dilate(hole, ellipse_element(3))), int(hole.sum())) if hole.any() else (bg, 0)
-
-
-def repair_stuck(bg: np.ndarray, port: tuple[float, float, float] | None = None, margin: float = 15, radius: int = 13, largest: int = 4000) -> np.ndarray:
-    """The largest dark part apart from the port filled from its rim; a disk at the darkest place where
-    that part is too large to be an object."""
+    """Compact parts of the arena darker than the smoothed floor around them, filled from their rim, but for a
+    central disk of a share of the radius; and the number of filled pixels."""
+    side = bg.shape[0]
+    dark = (gaussian(bg, side / 8) - bg > margin) & arena
+    if spare > 0:
+        dark &= ~disk(side, spare)
+    label = components(dark)
+    size = np.bincount(label.reshape(-1))
+    hole = ((size >= area[0]) & (size <= area[1]))[label] & dark
+    return (harmonic_fill(bg, hole), int(hole.sum())) if hole.any() else (bg, 0)
+
+
+def repair_stuck(bg: np.ndarray, port: tuple[float, float, float] | None = None, margin: float = 15, radius: int = 13, largest: int = 4000, mask: np.ndarray | None = None) -> tuple[np.ndarray, tuple[float, float] | None, int]:
+    """(background, place of the object or None, filled pixels): the object's part filled from its rim. Without a mask
+    it is the dark part that holds the darkest pixel apart from the port, or a disk about that pixel where the part is
+    too large to be an object; there is none where that pixel isn't darker than the floor by the margin."""
     side = bg.shape[0]
     y, x = np.mgrid[:side, :side]
-    where = disk(side, 0.97)
-    if port:
-        where &= (x - port[0]) ** 2 + (y - port[1]) ** 2 > (1.5 * port[2] + 2) ** 2
-    parts = dark_parts(bg, where, margin)
-    if not parts:
-        return bg
-    hole = parts[0]
-    if hole.sum() > largest:
-        level = np.where(where, blurred(bg, radius / 3) / blurred(np.ones(bg.shape), radius / 3), np.inf)
-        cy, cx = np.unravel_index(np.argmin(level), level.shape)
-        hole = ((x - cx) ** 2 + (y - cy) ** 2 <= radius**2) & where
-    return harmonic_fill(bg, dilate(hole, ellipse_element(5)) & where)
+    wide = disk(side, 0.97)
+    clear = lambda room: np.ones_like(wide) if port is None else (x - port[0]) ** 2 + (y - port[1]) ** 2 > (max(port[2], 0) + room) ** 2
+    if mask is None:
+        where, floor = wide & clear(0.06 * side), floor_of(bg, wide)
+        i, j = np.unravel_index(np.argmin(np.where(where, bg.astype(np.int16), 999)), bg.shape)
+        if floor - float(bg[i, j]) <= margin:
+            return bg, None, 0
+        label = components((floor - bg.astype(np.float64) > margin) & where)
+        mask, at = label == label[i, j], (float(j), float(i))
+        if mask.sum() > largest:
+            mask = (x - j) ** 2 + (y - i) ** 2 <= radius**2
+    else:
+        at = (float(x[mask].mean()), float(y[mask].mean())) if mask.any() else None
+    hole = mask & wide & clear(3)
+    return (harmonic_fill(bg, hole), at, int(hole.sum())) if hole.any() else (bg, None, 0)
 
 
 def adaptive(stack: np.ndarray, arena: np.ndarray | None = None, places: dict[int, tuple[float, float]] | None = None, margin: float = 15, low: float = 90, high: float = 98, radius: float = 12, fill: bool = False, spare: float = 0.0) -> tuple[np.ndarray, dict]:
@@ -146,11 +132,7 @@ def enclosing_circle(x: np.ndarray, y: np.ndarray, rounds: int = 2000) -> tuple[
 def find_arenas(img: np.ndarray, expected: int | None = None, least: float = 0.01) -> list[tuple[float, float, float]]:
     """Circles around the bright parts of at least a share of the image, largest first; none
     if fewer than expected."""
-    counts = np.bincount(img.reshape(-1), minlength=256).astype(np.float64)
-    below, mass = np.cumsum(counts), np.cumsum(counts * np.arange(256))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        between = np.nan_to_num((mass[-1] * below - mass * below[-1]) ** 2 / (below * (below[-1] - below)))
-    label = components(img > int(np.argmax(between)))
+    label = components(img > otsu(img))
     keys, sizes = np.unique(label[label > 0], return_counts=True)
     order = [k for k in np.argsort(-sizes, kind="stable") if sizes[k] >= least * img.size]
     if expected and len(order) < expected:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import keyed
+
 KEY = ["roi", "track_id", "frame"]
 
 
 def compare(reference: DataFrame, test: DataFrame, position_px: float = 2.0, angle_deg: float = 10.0) -> DataFrame:
     """One row: counts of common and single rows, position and angle errors."""
-    a = reference.select(*KEY, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("angle_deg").alias("aa"), F.lit(True).alias("in_ref"))
-    b = test.select(*KEY, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("angle_deg").alias("ba"), F.lit(True).alias("in_test"))
-    j = a.join(b, KEY, "full_outer")
+    key = keyed(reference, *KEY)
+    a = reference.select(*key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("angle_deg").alias("aa"), F.lit(True).alias("in_ref"))
+    b = test.select(*key, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("angle_deg").alias("ba"), F.lit(True).alias("in_test"))
+    j = a.join(b, key, "full_outer")
     both = F.col("in_ref") & F.col("in_test")
     d = F.pmod(F.abs(F.col("aa") - F.col("ba")), F.lit(360.0))
     j = j.withColumns({"pos": F.when(both, F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))), "ang": F.when(both, F.least(d, 360 - d))})
@@ -33,11 +36,7 @@ def bench_stats(runs: DataFrame) -> DataFrame:
 def best_batch(runs: DataFrame, video_crops: int) -> DataFrame:
     """Crops per second of each batch size, the time of a whole video, the fastest of all."""
     rate = runs.groupBy("batch_size").agg((F.sum("crops") / F.sum("seconds")).alias("crops_per_s"))
-    return rate.withColumn("video_s", F.ceil(F.lit(video_crops) / F.col("batch_size")) * F.col("batch_size") / F.col("crops_per_s")).withColumn("best", F.col("crops_per_s") == F.max("crops_per_s").over(_all()))
-
-
-def _all():
-    return Window.partitionBy(F.lit(1))
+    return rate.withColumn("video_s", F.ceil(F.lit(video_crops) / F.col("batch_size")) * F.col("batch_size") / F.col("crops_per_s")).crossJoin(F.broadcast(rate.agg(F.max("crops_per_s").alias("_top")))).withColumn("best", F.col("crops_per_s") == F.col("_top")).drop("_top")
 
 
 def validation(videos: DataFrame, timing: DataFrame, strict: bool = False) -> DataFrame:
@@ -64,7 +63,7 @@ def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
 
 def jumps(tracks: DataFrame) -> DataFrame:
     """Distance of each row from the previous one of its track; null for the first."""
-    w = Window.partitionBy("roi", "track_id").orderBy("frame")
+    w = Window.partitionBy(*keyed(tracks, "roi", "track_id")).orderBy("frame")
     return tracks.withColumn("jump_px", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
 
 
@@ -79,3 +78,19 @@ def progress(updates: DataFrame, total: int, alpha: float = 0.05, warmup: int =
     runs = steps.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"), F.max("done").alias("done"))
     ready = F.size("s") >= warmup
     return runs.select("run", F.size("s").alias("n_steps"), "done", F.when(ready, fold).alias("s_per_frame")).withColumn("left_s", F.greatest(F.lit(0), F.lit(total) - F.col("done")) * F.col("s_per_frame"))
+
+
+def concat(parts: list[DataFrame]) -> DataFrame:
+    """Tables of several arenas as one; columns that one lacks are null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def key_sets(reference: DataFrame, test: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Counts of the keys that both tables hold, and of those that one holds alone."""
+    key = key or keyed(reference, *KEY)
+    a, b = reference.select(*key), test.select(*key)
+    parts = {"common": a.intersect(b), "only_reference": a.exceptAll(b), "only_test": b.exceptAll(a)}
+    return concat([v.agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, v in parts.items()])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import small
+from ..functions.common import keyed, small
 from .geometry import roi_origin
 
 KEY = ["roi", "track_id", "frame", "t_s"]
@@ -52,14 +52,14 @@ def infer(crops: DataFrame, engine: Callable, names: Sequence[str], size: int, r
     return found.join(origins, "roi", "left").withColumns({"x_roi": F.col("x_full") - F.col("_x0"), "y_roi": F.col("y_full") - F.col("_y0")}).drop("_x0", "_y0")
 
 
-def gate_contrast(cands: DataFrame, least: float = 0.0, darkness: float = 0.0, max_jump: float = 40.0, key: tuple[str, ...] = ("roi", "frame"), tiebreak: str = "event_id") -> DataFrame:
+def gate_contrast(cands: DataFrame, least: float = 0.0, darkness: float = 0.0, max_jump: float = 40.0, key: list[str] | None = None, tiebreak: str = "event_id") -> DataFrame:
     """Candidates (contrast, and the predicted place px, py) of enough contrast; with a weight for darkness, the best of
     each frame: distance in jumps less the weighted share of the frame's highest contrast."""
     known = F.col("contrast").isNotNull() & ~F.isnan("contrast")
     kept = cands.where(known & (F.col("contrast") >= least)) if least > 0 else cands
     if darkness <= 0:
         return kept
-    by = Window.partitionBy(*key)
+    by = Window.partitionBy(*(key or keyed(cands, "roi", "frame")))
     top = F.coalesce(F.max(F.when(known, F.col("contrast"))).over(by), F.lit(1.0))
     share = F.when(known, F.col("contrast") / F.when(top == 0, 1.0).otherwise(top)).otherwise(0.0)
     score = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) / max(1e-6, max_jump) - darkness * share

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import half_even, small, trunc_int
+from ..functions.common import half_even, keyed, small, trunc_int
 
 
 def scaled_to_full(v: Column, scale: float, origin: Column | float) -> Column:
@@ -23,8 +23,9 @@ def roi_origin(c: Column, r: Column) -> Column:
 
 def add_roi_local(tracks: DataFrame, rois: DataFrame) -> DataFrame:
     """x_roi, y_roi; rows of unknown arenas keep full coordinates."""
-    origins = rois.select("roi", roi_origin(F.col("cx"), F.col("r")).alias("_x0"), roi_origin(F.col("cy"), F.col("r")).alias("_y0"))
-    out = tracks.join(small(origins), "roi", "left")
+    place = keyed(rois, "roi")
+    origins = rois.select(*place, roi_origin(F.col("cx"), F.col("r")).alias("_x0"), roi_origin(F.col("cy"), F.col("r")).alias("_y0"))
+    out = tracks.join(small(origins), place, "left")
     return out.withColumns({"x_roi": F.col("x") - F.coalesce("_x0", F.lit(0)), "y_roi": F.col("y") - F.coalesce("_y0", F.lit(0))}).drop("_x0", "_y0")
 
 
@@ -32,6 +33,20 @@ def crop_origin(c: Column, size: int) -> Column:
     return half_even(c) - size // 2
 
 
+def clamped_origin(c: Column, size: int, extent: int) -> Column:
+    """Origin of a crop around a place, kept inside an image where the crop fits into it."""
+    return F.greatest(F.lit(0), F.least(half_even(c) - size // 2, F.lit(extent - size)))
+
+
+def display_to_crop(v: Column, zoom: Column | float) -> Column:
+    """A place on a magnified crop, in the crop's pixels."""
+    return v / zoom
+
+
+def crop_to_display(v: Column, zoom: Column | float) -> Column:
+    return v * zoom
+
+
 def crop_manifest(tracks: DataFrame, size: int = 96, every: int = 1, width: int | None = None, height: int | None = None) -> DataFrame:
     """Crop origins of every n-th frame, positions in the crop, whether a side lies outside."""
     x0, y0 = crop_origin(F.col("x"), size), crop_origin(F.col("y"), size)
@@ -82,11 +97,12 @@ def seed_keypoints(tracks: DataFrame, size: int = 96) -> DataFrame:
 
 def window_of_roi(tracks: DataFrame, rois: DataFrame, pad: float = 0.06, extra: float = 120.0, floor: float = 160.0) -> DataFrame:
     """View window of each arena: its box, or the squared extent of its points with a margin."""
-    span = tracks.groupBy("roi").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    place = keyed(tracks, "roi")
+    span = tracks.groupBy(*place).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     side = F.greatest(F.col("b") - F.col("a"), F.col("d") - F.col("c"))
     half = F.greatest(side * (1 + 2 * pad) + 2 * extra, F.lit(floor)) / 2
     mx, my = (F.col("a") + F.col("b")) / 2, (F.col("c") + F.col("d")) / 2
     known = F.col("r").isNotNull()
-    j = span.join(small(rois), "roi", "left")
+    j = span.join(small(rois), keyed(rois, "roi"), "left")
     pick = lambda a, b: F.when(known, a).otherwise(b)
-    return j.select("roi", pick(F.col("cx") - F.col("r"), mx - half).alias("x0"), pick(F.col("cy") - F.col("r"), my - half).alias("y0"), pick(F.col("cx") + F.col("r"), mx + half).alias("x1"), pick(F.col("cy") + F.col("r"), my + half).alias("y1"))
+    return j.select(*place, pick(F.col("cx") - F.col("r"), mx - half).alias("x0"), pick(F.col("cy") - F.col("r"), my - half).alias("y0"), pick(F.col("cx") + F.col("r"), mx + half).alias("x1"), pick(F.col("cy") + F.col("r"), my + half).alias("y1"))

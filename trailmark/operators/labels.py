@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import keyed
 from . import pose
 from .geometry import crop_origin, seed_keypoints
 
@@ -25,13 +26,14 @@ _FILE = "video_path string, crop_size int, frames array<struct<roi string, frame
 def seeded(tracks: DataFrame, size: int = 96) -> DataFrame:
     """Labels with first guesses from the ellipse, none confirmed yet."""
     point = F.struct(F.col("x_crop").alias("x"), F.col("y_crop").alias("y"), F.lit(True).alias("visible"), F.lit(0.0).alias("score"))
-    rows = seed_keypoints(tracks, size).groupBy(*KEY, "t_s", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("keypoint", point))).alias("points"))
+    rows = seed_keypoints(tracks, size).groupBy(*keyed(tracks, *KEY), "t_s", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("keypoint", point))).alias("points"))
     return rows.withColumns({"labeled": F.lit(False), "bad": F.lit(False)})
 
 
 def build(tracks: DataFrame, n: int, size: int = 96) -> DataFrame:
     """Labels for n diverse rows."""
-    return seeded(tracks.join(pose.diversity_sample(tracks, n).select(*KEY), KEY, "left_semi"), size)
+    key = keyed(tracks, *KEY)
+    return seeded(tracks.join(pose.diversity_sample(tracks, n).select(*key), key, "left_semi"), size)
 
 
 def swap(labels: DataFrame, where: Column, pairs: tuple[tuple[str, str], ...] = PAIRS) -> DataFrame:
@@ -51,8 +53,9 @@ def nearest_node(labels: DataFrame, x: Column, y: Column, reach: float = 12.0) -
 def manifest(labels: DataFrame, size: int = 96, only_labeled: bool = True) -> DataFrame:
     """A row for each label and keypoint, in the coordinates of frame and crop."""
     rows = labels.where("labeled and not bad") if only_labeled else labels
-    rows = rows.select(*KEY, "t_s", "x", "y", F.explode("points").alias("keypoint", "p"))
-    return rows.select(*KEY, "t_s", "keypoint", (F.col("p.x") + crop_origin(F.col("x"), size)).alias("x_full"), (F.col("p.y") + crop_origin(F.col("y"), size)).alias("y_full"), F.col("p.x").alias("x_crop"), F.col("p.y").alias("y_crop"), "p.visible", "p.score")
+    key = keyed(rows, *KEY)
+    rows = rows.select(*key, "t_s", "x", "y", F.explode("points").alias("keypoint", "p"))
+    return rows.select(*key, "t_s", "keypoint", (F.col("p.x") + crop_origin(F.col("x"), size)).alias("x_full"), (F.col("p.y") + crop_origin(F.col("y"), size)).alias("y_full"), F.col("p.x").alias("x_crop"), F.col("p.y").alias("y_crop"), "p.visible", "p.score")
 
 
 def save(labels: DataFrame, path: str | Path, skeleton: dict, video: str = "", size: int = 96) -> None:

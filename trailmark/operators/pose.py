@@ -7,17 +7,20 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import keyed
 from ..sources.views import NODES
 
 
-def wide(pose: DataFrame, nodes: list[str] = NODES, key: tuple[str, ...] = ("roi", "frame")) -> DataFrame:
+def wide(pose: DataFrame, nodes: list[str] = NODES, key: list[str] | None = None) -> DataFrame:
     """A row per instance: <node>_x, _y, _score; instances without any value are dropped."""
+    key = key or keyed(pose, "roi", *(["track_id"] if "track_id" in pose.columns else []), "frame")
     own = pose.where("x is not null or y is not null or score is not null")
     return own.groupBy(*key).pivot("keypoint", nodes).agg(F.first("x", True).alias("x"), F.first("y", True).alias("y"), F.first("score", True).alias("score"))
 
 
-def flags(w: DataFrame, nodes: list[str] = NODES, min_score: float = 0.2, extend: float = 0.15, flip_deg: float = 120.0, key: tuple[str, ...] = ("roi",)) -> DataFrame:
-    """Low confidence, missing points, swapped wings, head and tail exchanged."""
+def flags(w: DataFrame, nodes: list[str] = NODES, min_score: float = 0.2, extend: float = 0.15, flip_deg: float = 120.0, key: list[str] | None = None) -> DataFrame:
+    """Low confidence, missing points, swapped wings, head and tail exchanged, by the track where there are any."""
+    key = key or keyed(w, "roi", *(["track_id"] if "track_id" in w.columns else []))
     no = F.lit(False)
     low = F.least(*[F.col(f"{n}_score") for n in nodes]) < min_score
     missing = no
@@ -50,7 +53,7 @@ def flag_rates(flagged: DataFrame) -> DataFrame:
 
 
 def confidence(pose: DataFrame) -> DataFrame:
-    return pose.groupBy("frame", "keypoint").agg(F.avg("score").alias("score_mean"))
+    return pose.groupBy(*keyed(pose, "frame"), "keypoint").agg(F.avg("score").alias("score_mean"))
 
 
 def heatmap_argmax(maps: DataFrame, side: int, crop: int) -> DataFrame:
@@ -71,63 +74,85 @@ def heatmap_centroid(maps: DataFrame, side: int, crop: int) -> DataFrame:
 
 def context_windows(labels: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Rows within k frames of each labelled frame: the range becomes an equality by listing it."""
-    around = labels.select("roi", F.col("frame").alias("anchor"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - k), F.col("frame") + k)).alias("frame"))
-    return around.join(rows.select("roi", "frame").distinct(), ["roi", "frame"])
+    place = keyed(labels, "roi")
+    around = labels.select(*place, F.col("frame").alias("anchor"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - k), F.col("frame") + k)).alias("frame"))
+    return around.join(rows.select(*place, "frame").distinct(), [*place, "frame"])
 
 
 def match_nearest(instances: DataFrame, anchors: DataFrame) -> DataFrame:
     """The nearest anchor (ties by roi) of each frame's only instance; anchors without a position never match."""
-    pairs = instances.join(anchors.where("ax is not null and ay is not null"), "frame").withColumn("dist", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")))
-    w = Window.partitionBy("frame", "inst").orderBy("dist", "roi")
-    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("frame", "inst", "roi", "dist")
+    at = keyed(instances, "frame")
+    pairs = instances.join(anchors.where("ax is not null and ay is not null"), at).withColumn("dist", F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")))
+    best = pairs.groupBy(*at, "inst").agg(F.min(F.struct("dist", "roi")).alias("b"))
+    return best.select(*at, "inst", F.col("b.roi").alias("roi"), F.col("b.dist").alias("dist"))
 
 
 def match_greedy(instances: DataFrame, anchors: DataFrame) -> DataFrame:
     """One-to-one: instances in order of `inst` take the nearest anchor still free, frame by frame."""
-    sides = instances.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("inst", "x", "y"))).alias("p")).join(anchors.where("ax is not null and ay is not null").groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("roi", "ax", "ay"))).alias("q")), "frame")
+    at = keyed(instances, "frame")
+    sides = instances.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("inst", "x", "y"))).alias("p")).join(anchors.where("ax is not null and ay is not null").groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("roi", "ax", "ay"))).alias("q")), at)
+    sides = sides.select(F.struct(*at).alias("at"), "p", "q")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             out = []
-            for frame, p, q in zip(b["frame"], b["p"], b["q"], strict=True):
+            for at, p, q in zip(b["at"], b["p"], b["q"], strict=True):
                 free = list(q)
                 for one in p:
                     if free and one["x"] is not None and one["y"] is not None:
                         d = [math.hypot(one["x"] - a["ax"], one["y"] - a["ay"]) for a in free]
                         i = d.index(min(d))
-                        out.append((frame, one["inst"], free.pop(i)["roi"], d[i]))
-            yield pd.DataFrame(out, columns=["frame", "inst", "roi", "dist"])
+                        out.append((at, one["inst"], free.pop(i)["roi"], d[i]))
+            yield pd.DataFrame(out, columns=["at", "inst", "roi", "dist"])
 
-    return sides.mapInPandas(run, "frame bigint, inst bigint, roi string, dist double")
+    return sides.mapInPandas(run, f"at {dict(sides.dtypes)['at']}, inst bigint, roi string, dist double").select("at.*", "inst", "roi", "dist")
 
 
 def diversity_sample(tracks: DataFrame, n: int, key: tuple[str, ...] = ("track_id", "frame")) -> DataFrame:
     """n rows, as many of each arena, round robin over six angle and three area classes, in an order
     by hash."""
-    terciles = tracks.groupBy("roi").agg(F.percentile("area", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    out = tracks.join(terciles, "roi")
+    place = keyed(tracks, "roi")
+    terciles = tracks.groupBy(*place).agg(F.percentile("area", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # a row for each arena
+    out = tracks.join(F.broadcast(terciles), place)
+    per = -(-n // max(1, tracks.select(*place).distinct().count()))
     angle = F.floor(F.pmod(F.col("angle_deg"), F.lit(180.0)) / 30).cast("int")
     area = F.when(F.col("area") <= F.col("q")[0], 0).when(F.col("area") <= F.col("q")[1], 1).otherwise(2)
-    digest = F.md5(F.concat_ws("|", "roi", *[F.col(k).cast("string") for k in key]))
+    digest = F.md5(F.concat_ws("|", *place, *[F.col(k).cast("string") for k in key]))
     out = out.withColumns({"_s": angle * 3 + area, "_h": digest})
-    out = out.withColumn("_r", F.row_number().over(Window.partitionBy("roi", "_s").orderBy("_h")))
-    out = out.withColumn("_m", F.row_number().over(Window.partitionBy("roi").orderBy("_r", "_s")))
-    rois = tracks.select("roi").distinct().count()
-    per = -(-n // max(1, rois))
-    return out.where(F.col("_m") <= per).orderBy("_m", "roi").limit(n).select(*tracks.columns)
+    # a stratum gives as many as an arena at most: Spark keeps no more of each before it exchanges rows
+    out = out.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "_s").orderBy("_h"))).where(F.col("_r") <= per)
+    out = out.withColumn("_m", F.row_number().over(Window.partitionBy(*place).orderBy("_r", "_s")))
+    return out.where(F.col("_m") <= per).orderBy("_m", *place).limit(n).select(*tracks.columns)
+
+
+def random_sample(tracks: DataFrame, n: int, seed: int, key: tuple[str, ...] = ("roi", "track_id", "frame")) -> DataFrame:
+    """n rows in an order by hash of key and seed."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keyed(tracks, *key)], F.lit(str(seed))))
+    return tracks.orderBy(digest).limit(n)
+
+
+def instances(predictions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Predictions (video where there are several, frame, inst, keypoint, x, y, score) in the long table of poses: each
+    instance takes the arena and track of the nearest row of tracks still free in its frame. An instance's place is the mean
+    of its keypoints; tracks without a position take none."""
+    at = keyed(tracks, "frame")
+    held = tracks.dropna(subset=["x", "y"]).select(*at, F.concat_ws("|", "roi", F.col("track_id").cast("string")).alias("roi"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct("roi", "track_id").alias("who"))
+    places = predictions.groupBy(*at, "inst").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    own = match_greedy(places, held.drop("who")).join(held.select(*at, "roi", "who"), [*at, "roi"]).select(*at, "inst", "who.roi", "who.track_id")
+    return predictions.join(own, [*at, "inst"])
 
 
 def uniform_sample(tracks: DataFrame, k: int) -> DataFrame:
     from .qc import even_positions
 
-    return even_positions(tracks, ["roi"], ["frame", "track_id"], k, nearest=True)
+    return even_positions(tracks, keyed(tracks, "roi"), ["frame", "track_id"], k, nearest=True)
 
 
 def top_candidates(cands: DataFrame, n: int = 5, area_min: float = 10, area_max: float = 1500) -> DataFrame:
     """The n largest of each arena and frame within the area range, by event on ties."""
-    w = Window.partitionBy("roi", "frame").orderBy(F.desc("area"), "event_id")
+    w = Window.partitionBy(*keyed(cands, "roi", "frame")).orderBy(F.desc("area"), "event_id")
     return cands.where(F.col("area").between(area_min, area_max)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, n))
 
 

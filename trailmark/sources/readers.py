@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import keyed
+
 #: Suffixes of video files.
 VIDEO_SUFFIXES = ("avi", "mp4", "mov", "mkv", "m4v")
 #: Columns of the recorder's timing tables.
@@ -20,8 +22,9 @@ def timing(df: DataFrame, key: list[str] | None = None) -> DataFrame:
             df = df.withColumnRenamed(old, new)
     if "frame" not in df.columns:
         raise ValueError("a timing table needs a frame column")
-    w = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(1))).orderBy("frame")
-    keep = [*(key or []), "frame"]
+    key = key or keyed(df)
+    w = Window.partitionBy(*key).orderBy("frame")  # without videos, the table is that of one
+    keep = [*key, "frame"]
     if "timestamp_s" in df.columns:
         t = F.col("timestamp_s").cast("double")
         return df.select(*keep, t.alias("t_s"), F.coalesce(t - F.lag(t).over(w), F.lit(0.0)).alias("dt_s"))

@@ -1,4 +1,4 @@
-"""Linking of a stream of frames: the batch step with its state kept per arena.
+"""Linking of a stream of frames: the batch step with its state kept per arena of a video.
 
 Rows of a micro-batch are sorted by frame; frames not after the last one seen are dropped, and
 frames skipped in between count as frames without candidates.
@@ -10,20 +10,23 @@ import json
 
 from pyspark.sql import DataFrame
 
-from ..operators.linking import LINKED, Linker, Settings
+from ..functions.common import keyed
+from ..operators.linking import LINKED, Linker, Settings, linked
 
 #: One JSON text: the state has parts that may be missing.
 STATE = "state string"
 
 
 def link_stream(frames: DataFrame, settings: Settings) -> DataFrame:
-    """frames: a streaming DataFrame (roi, frame, cs)."""
+    """frames: a streaming DataFrame ((video,) roi, frame, cs)."""
+    place = keyed(frames, "roi")
+    schema = ", ".join(f"{c} string" for c in place) + ", " + LINKED
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key, batches, state):
         import pandas as pd
 
-        roi = key[0]
-        linker, seen = Linker(settings, settings.centers.get(roi, (0.0, 0.0))), -1
+        linker, seen = Linker(settings, settings.centers.get(key[-1], (0.0, 0.0))), -1
         if state.exists:
             *held, seen = json.loads(state.get[0])
             linker.restore(*held)
@@ -33,10 +36,10 @@ def link_stream(frames: DataFrame, settings: Settings) -> DataFrame:
             if frame <= seen:
                 continue
             for f in range(seen + 1, frame + 1):
-                r = linker.step([(c["x"], c["y"], c["area"]) for c in cs] if f == frame else [])
-                out.append((roi, f, r["x"], r["y"], r["gate"], r["missed"]))
+                own = cs if f == frame else []
+                out.append((*key, *linked(f, own, linker.step([(c["x"], c["y"], c["area"]) for c in own]))))
             seen = int(frame)
         state.update((json.dumps([*linker.state(), seen]),))
-        yield pd.DataFrame(out, columns=["roi", "frame", "x", "y", "gate", "missed"])
+        yield pd.DataFrame(out, columns=names)
 
-    return frames.groupBy("roi").applyInPandasWithState(run, LINKED, STATE, "append", "NoTimeout")
+    return frames.groupBy(*place).applyInPandasWithState(run, schema, STATE, "append", "NoTimeout")
