@@ -10,9 +10,10 @@ bucket that holds both, so that links are counted without listing them. The numb
 target recall.
 
 Null or empty text, or one without words: no shingles; copies of the same text are still one class.
-Fewer than five words: one shingle of all words. Null doc_id: kept, class_id null if the whole
-class has none. Repeated rows: copies of each other. Empty table: empty result. Extra columns are ignored (in
-`representatives` passed through).
+Fewer than five words: one shingle of all words. Null doc_id: a document like others, class_id null if
+the whole class has none. Repeated rows: copies of each other. Rows of one doc_id with different texts are
+documents of their own. Empty table: empty result. Extra columns are ignored (in `representatives` passed
+through).
 """
 
 from __future__ import annotations
@@ -44,14 +45,11 @@ def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, dep
     return math.ceil(math.log(1 - target) / math.log(1 - found))
 
 
-def shingles(terms: Terms, text: str) -> np.ndarray:
-    """Sorted distinct hashes of five words in a row."""
-    raw = text.split()
-    h = np.fromiter(map(terms.__getitem__, raw), dtype=np.uint64, count=len(raw))
-    h = h[h != 0]
-    n = max(1, len(h) - WORDS + 1)
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of five words in a row, of the words' hashes."""
     if not len(h):
         return h
+    n = max(1, len(h) - WORDS + 1)
     with np.errstate(over="ignore"):
         s = np.zeros(n, dtype=np.uint64)
         for j in range(min(WORDS, len(h))):
@@ -63,42 +61,53 @@ def set_key(s: np.ndarray, text: str) -> bytes:
     return hashlib.blake2b(s.tobytes() if len(s) else b"\x00" + text.encode(), digest_size=12).digest()
 
 
-def children(s: np.ndarray, path: int, threshold: float) -> np.ndarray:
-    """Paths of the tokens chosen at a node: multiply-shift hashing by the path, of mixed tokens."""
+def children(s: np.ndarray, paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the node, path of the child) of the tokens chosen at each node: multiply-shift hashing by
+    the node's path, of mixed tokens."""
+    bound = np.uint64(min(min(1.0, 1 / (threshold * len(s))) * 2.0**64, 2.0**64 - 2049))
+    node, child = [], []
+    width = max(1, (1 << 18) // max(1, len(paths)))
     with np.errstate(over="ignore"):
-        drawn = s * np.uint64(path | 1)
-    bound = min(1.0, 1 / (threshold * len(s)))
-    return common.mix64(s[drawn <= np.uint64(min(bound * 2.0**64, 2.0**64 - 2049))] ^ np.uint64(path))
+        for k in range(0, len(s), width):
+            part = s[k : k + width]
+            i, j = np.nonzero(part[None, :] * (paths | np.uint64(1))[:, None] <= bound)
+            node.append(i), child.append(common.mix64(part[j] ^ paths[i]))
+    return np.concatenate(node), np.concatenate(child)
 
 
-def roots(runs: int) -> list[int]:
-    return common.mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+def roots(runs: int) -> np.ndarray:
+    return common.mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def paths_of(s: np.ndarray, runs: int, threshold: float, depth: int = DEPTH) -> np.ndarray:
+    """Sorted paths of a set at a depth, in all runs."""
+    level = roots(runs)
+    for _ in range(depth):
+        level = np.unique(children(s, level, threshold)[1])
+    return level
 
 
 def _set_rows(docs: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """doc_id, key, n and the paths of depth DEPTH of each document."""
+    """doc_id, k2, key, n and the paths of depth DEPTH of each document."""
 
     def run(batches):
-        terms, starts, seen = Terms(), roots(runs), {}
+        terms, seen = Terms(), {}
         for b in batches:
             keys, sizes, paths = [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(terms, t)
+            for t, h in zip(b.column(1).to_pylist(), terms.texts(b.column(1)), strict=True):
+                s = shingles(h)
                 key = set_key(s, t)
                 own = seen.get(key)
                 if own is None:
-                    own = []
-                    if len(s):
-                        level = starts
-                        for _ in range(DEPTH):
-                            level = [p for q in level for p in children(s, q, threshold).tolist()]
-                        own = np.array(sorted(set(level)), dtype=np.uint64).view(np.int64).tolist()
+                    own = paths_of(s, runs, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64)
                     if len(seen) < 20_000:
                         seen[key] = own
                 keys.append(key), sizes.append(len(s)), paths.append(own)
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "n", "paths"])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in paths])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(paths) if paths else [], pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "k2", "key", "n", "paths"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, key binary, n int, paths array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, k2 bigint, key binary, n int, paths array<bigint>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -108,13 +117,12 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         terms = Terms()
         for b in batches:
             keys, sets = [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(terms, t)
+            for t, h in zip(b.column(0).to_pylist(), terms.texts(b.column(0)), strict=True):
+                s = shingles(h)
                 keys.append(set_key(s, t)), sets.append(s.tobytes())
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
-    few = needed.select("k1").distinct()
-    few = F.broadcast(few) if few.count() <= common.BROADCAST_ROWS else few
+    few = common.small(needed.select("k1").distinct())
     rows = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)))).join(few, "k1", "left_semi").select("text")
     return rows.mapInArrow(run, "key binary, set binary").join(needed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
@@ -124,19 +132,18 @@ def _deeper(threshold: float):
 
     def run(batches):
         for b in batches:
-            key, depth, parent, path = [], [], [], []
+            key, depth, parent, path = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for k, raw, tops in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 s = np.frombuffer(raw, np.uint64)
-                level = {int(np.int64(p).view(np.uint64)) for p in tops}
+                level = np.unique(np.array(tops, dtype=np.int64).view(np.uint64))
                 for d in range(DEPTH + 1, DEEPEST + 1):
-                    after = set()
-                    for q in level:
-                        for p in children(s, q, threshold).tolist():
-                            if p not in after:
-                                after.add(p)
-                                key.append(k), depth.append(d), parent.append(q), path.append(p)
-                    level = after
-            as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+                    node, child = children(s, level, threshold)
+                    child, first = np.unique(child, return_index=True)
+                    key += [k] * len(child)
+                    depth += [d] * len(child)
+                    parent.append(level[node[first]]), path.append(child)
+                    level = child
+            as_long = lambda x: pa.array(np.concatenate(x).view(np.int64))
             yield pa.record_batch([pa.array(key, pa.binary()), pa.array(depth, pa.int32()), as_long(parent), as_long(path)], ["key", "depth", "parent", "path"])
 
     return run
@@ -277,14 +284,20 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the near-duplicates' component), n_links (other
     documents at least `threshold` similar, copies included), n_copies (documents of equal set)."""
+    return _classes(docs, threshold, target).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """join() with k2 (the text's hash) and label (the component, also where class_id is null)."""
     spark = docs.sparkSession
     common.tune(spark)
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k2"))
     runs = runs_needed(threshold, target)
     rows = common.materialize(_set_rows(docs, runs, threshold), "paths")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     reps = common.materialize(reps.select("key", "rep", F.coalesce(F.col("rep").cast("long"), F.lit(-(2**62))).alias("k1"), "copies", "paths"), "representatives")
-    wide, rows = rows, common.materialize(rows.select("doc_id", "key"), "keys")
+    wide, rows = rows, common.materialize(rows.select("doc_id", "k2", "key"), "keys")
     common.discard(wide)
     steps = reps.select("key", F.explode("paths").alias("path"))
     # aggregates are written before they are joined back: Spark splits hot keys between plain exchanges only
@@ -323,15 +336,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_R
     of_key = reps.select("key", "rep", "copies").join(total, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     of_key = common.materialize(of_key, "labelled")
     least = common.materialize(of_key.groupBy("label").agg(F.min("rep").alias("class_id")), "least")
-    of_key = common.materialize(of_key.join(least, "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
-    return rows.select("doc_id", "key").join(of_key, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    of_key = common.materialize(of_key.join(least, "label").select("key", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
+    return rows.join(of_key, "key").select("doc_id", "k2", "label", "class_id", "n_links", "n_copies")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without those whose class has a document of smaller doc_id."""
-    gone = common.materialize(join(docs).where("doc_id != class_id").select("doc_id").distinct(), "near-duplicates")
-    gone = F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs of each class: that of smallest doc_id (null: last), then of smallest hash of the text.
+    Of rows that agree in both, one stays."""
+    last = F.lit(2**63 - 1)
+    rows = _classes(docs).select(F.coalesce(F.col("doc_id").cast("long"), last).alias("k1"), "k2", "label")
+    rows = common.materialize(rows.groupBy("label", "k1", "k2").agg(F.count("*").alias("n")), "near-duplicates")
+    first = common.materialize(rows.groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("first")), "firsts")
+    rows = common.materialize(rows.join(first, "label").select("k1", "k2", "n", (F.struct("k1", "k2") == F.col("first")).alias("stays")), "chosen")
+    gone, twice = rows.where("not stays").select("k1", "k2"), rows.where("stays and n > 1").select("k1", "k2")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+    kept = keyed.join(common.small(gone), ["k1", "k2"], "left_anti")
+    if not twice.isEmpty():
+        twice = common.small(twice)
+        repeated = keyed.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        kept = kept.join(twice, ["k1", "k2"], "left_anti").unionByName(repeated)
+    return kept.select("row.*")
 
 
 def op7_cpjoin(spark, sf_dir: str) -> DataFrame:
