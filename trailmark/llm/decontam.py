@@ -6,8 +6,11 @@ to every task; the training positions that pass it are joined with the seeds on
 diagonal is verified on the words around it: the best aligned stretch must be long enough and agree
 in most of its words.
 
-Words are those between white space, case folded, without outer punctuation. Null or empty texts and
-items, and items of fewer than five words: no hits. Null ids: no hits. Repeated rows: one result. Empty
+Words are those between white space, case folded, without outer punctuation. An overlap has half of the
+item's words at least, and 8 at least, but needn't have more than 50 (or all words of a shorter item). Null or
+empty texts and items, and items of fewer than five words: no hits. Null item_id: no hits. Null doc_id: no
+row in `overlaps`; `clean` judges the row by its text. Items that share an item_id, and documents that
+share a doc_id, are each compared with their own text. Repeated rows: one result. Empty
 tables: empty result. Extra columns are ignored (in `clean` passed through).
 """
 
@@ -32,12 +35,6 @@ _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 _ODD = common.mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def words(terms: Terms, text: str) -> np.ndarray:
-    raw = text.split()
-    got = np.fromiter(map(terms.__getitem__, raw), dtype=np.uint64, count=len(raw))
-    return got[got != 0]
-
-
 def seeds(h: np.ndarray, mask: int) -> np.ndarray:
     """Hash of the counted positions of each window."""
     off = _OFFSETS[mask]
@@ -98,25 +95,25 @@ def verify(x: np.ndarray, y: np.ndarray, diagonal: int) -> tuple[int, int, int]
     return (lo + start, n, equal) if n >= need and equal >= MIN_MATCH * n - 1e-9 else None
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, n_words, n_equal: the best verified overlap of each pair."""
+def _verified(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """k1, k2 (common.doc_key), item_id, start, n_words, n_equal: the best verified overlap of each document
+    with each item that has a hit. Items are told apart by id and text."""
     spark = docs.sparkSession
     common.tune(spark)
-    id_type, item_type = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    own = items.where("item_id is not null and text is not null").select("item_id", "text")
+    item_type = dict(items.dtypes)["item_id"]
+    own = items.where("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("it"), "text").distinct()
 
     def plant(batches):
         terms = Terms()
         for b in batches:
-            key, item, at = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = words(terms, t)
+            key, item, it, at = [], [], [], []
+            for i, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), terms.texts(b.column(2)), strict=True):
                 for m in range(len(MASKS)):
                     s = seeds(h, m)
-                    key.append(s.view(np.int64)), item.extend([i] * len(s)), at.append(np.arange(len(s)))
-            yield pa.record_batch([pa.array(np.concatenate(key) if key else [], pa.int64()), pa.array(item, b.schema.field(0).type), pa.array(np.concatenate(at) if at else [], pa.int32())], ["key", "item_id", "q"])
+                    key.append(s.view(np.int64)), item.extend([i] * len(s)), it.extend([t] * len(s)), at.append(np.arange(len(s)))
+            yield pa.record_batch([pa.array(np.concatenate(key) if key else [], pa.int64()), pa.array(item, b.schema.field(0).type), pa.array(it, pa.int64()), pa.array(np.concatenate(at) if at else [], pa.int32())], ["key", "item_id", "it", "q"])
 
-    planted = common.materialize(own.mapInArrow(plant, f"key bigint, item_id {item_type}, q int").distinct(), "seeds")
+    planted = common.materialize(own.mapInArrow(plant, f"key bigint, item_id {item_type}, it bigint, q int").distinct(), "seeds")
 
     def filters(batches):  # a task's filter; a fixed size each
         bits = np.zeros(BITS // 8, dtype=np.uint8)
@@ -133,9 +130,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         """A row for each region: the words within REACH of hits, and the hits."""
         terms, bits = Terms(), held.value
         for b in batches:
-            ids, hs = b.column(0), []
-            for t in b.column(1).to_pylist():
-                hs.append(words(terms, t))
+            hs = terms.texts(b.column(2))
             ends = np.cumsum([len(h) for h in hs])
             whole = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
             at, key = [], []
@@ -160,41 +155,49 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 out[0].append(d), out[1].append(lo - base), out[2].append(whole[lo:hi].tobytes())
                 out[3].append(key[first:k].view(np.int64).tolist()), out[4].append((at[first:k] - lo).tolist())
                 first = k
-            yield pa.record_batch([ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32()))], ["doc_id", "base", "words", "keys", "ats"])
+            own = pa.array(out[0], pa.int64())
+            yield pa.record_batch([b.column(0).take(own), b.column(1).take(own), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int32()))], ["k1", "k2", "base", "words", "keys", "ats"])
 
-    regions = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, f"doc_id {id_type}, base int, words binary, keys array<bigint>, ats array<int>")
+    regions = common.doc_key(docs.where("text is not null").select("doc_id", "text")).select("k1", "k2", "text")
+    regions = regions.mapInArrow(scan, "k1 bigint, k2 bigint, base int, words binary, keys array<bigint>, ats array<int>")
     regions = common.materialize(regions, "regions")
-    hits = regions.select("doc_id", "base", F.explode(F.arrays_zip("keys", "ats")).alias("hit")).select("doc_id", "base", F.col("hit.keys").alias("key"), F.col("hit.ats").alias("at"))
-    pairs = hits.join(planted, "key").groupBy("doc_id", "base", "item_id").agg(F.collect_set(F.col("at") - F.col("q")).alias("diagonals"))
+    hits = regions.select("k1", "k2", "base", F.explode(F.arrays_zip("keys", "ats")).alias("hit")).select("k1", "k2", "base", F.col("hit.keys").alias("key"), F.col("hit.ats").alias("at"))
+    pairs = hits.join(planted, "key").groupBy("k1", "k2", "base", "item_id", "it").agg(F.collect_set(F.col("at") - F.col("q")).alias("diagonals"))
 
     def known(batches):
         terms = Terms()
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([words(terms, t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["item_id", "item"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([h.tobytes() for h in terms.texts(b.column(2))], pa.binary())], ["item_id", "it", "item"])
 
-    item_words = own.dropDuplicates(["item_id"]).mapInArrow(known, f"item_id {item_type}, item binary")
-    checked = pairs.join(regions.select("doc_id", "base", "words").dropDuplicates(["doc_id", "base"]), ["doc_id", "base"]).join(item_words, "item_id").select("doc_id", "item_id", "base", "words", "item", "diagonals")
+    item_words = own.mapInArrow(known, f"item_id {item_type}, it bigint, item binary")
+    found = regions.select("k1", "k2", "base", "words").dropDuplicates(["k1", "k2", "base"])
+    checked = pairs.join(found, ["k1", "k2", "base"]).join(item_words, ["item_id", "it"]).select("k1", "k2", "item_id", "base", "words", "item", "diagonals")
 
     def check(batches):
         for b in batches:
             at, out = [], []
-            for k, (base, x, y, ds) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)):
+            for k, (base, x, y, ds) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3, 7)), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 best = max((v for d in ds if (v := verify(x, y, d))), key=lambda v: (v[2], -v[0]), default=None)
                 if best:
                     at.append(k), out.append((base + best[0], best[1], best[2]))
             at = pa.array(at, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), *(pa.array([o[i] for o in out], pa.int32()) for i in range(3))], ["doc_id", "item_id", "start", "n_words", "n_equal"])
+            yield pa.record_batch([*(b.column(i).take(at) for i in range(3)), *(pa.array([o[i] for o in out], pa.int32()) for i in range(3))], ["k1", "k2", "item_id", "start", "n_words", "n_equal"])
 
-    got = checked.mapInArrow(check, f"doc_id {id_type}, item_id {item_type}, start int, n_words int, n_equal int")
+    return checked.mapInArrow(check, f"k1 bigint, k2 bigint, item_id {item_type}, start int, n_words int, n_equal int")
+
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, n_words, n_equal: the best verified overlap of each pair of ids."""
+    got = _verified(docs.where("doc_id is not null"), items).withColumn("doc_id", F.col("k1").cast(dict(docs.dtypes)["doc_id"]))
     return got.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("s"), "n_words")).alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n_words").alias("n_words"), F.col("b.n_equal").alias("n_equal"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that overlap an item."""
-    bad = common.materialize(overlaps(docs, items).select("doc_id").distinct(), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= common.BROADCAST_ROWS else bad
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that overlap an item; rows without doc_id are judged by their texts."""
+    bad = common.materialize(_verified(docs, items).select("k1", "k2").distinct(), "contaminated")
+    rows = common.doc_key(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "k1", "k2")
+    return rows.join(common.small(bad), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op3_decontam(spark, sf_dir: str) -> DataFrame:
