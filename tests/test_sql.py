@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from trailmark.plans import registry
@@ -22,7 +23,7 @@ def con():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
     return v if isinstance(v, str) else round(float(v), 5)
 

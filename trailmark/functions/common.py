@@ -92,3 +92,11 @@ def clock(seconds: Column) -> Column:
     s = F.rint(seconds).cast("long")
     h, m, r = (s / 3600).cast("long"), (s % 3600 / 60).cast("long"), s % 60
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
+
+
+def palette_index(df: DataFrame, name: str, colours: int) -> DataFrame:
+    """A colour's number for each distinct name, in order of names; there are few."""
+    names = df.select(name).distinct()
+    rank = F.size(F.filter("_all", lambda x: x < F.col(name)))
+    every = names.agg(F.collect_set(name).alias("_all"))
+    return names.crossJoin(F.broadcast(every)).select(name, (rank % colours).alias("colour"))

@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .kernels import components, disk, gaussian, harmonic_fill, otsu
+from . import pixels
+from .kernels import components, disk, gaussian, gmm_background, harmonic_fill, otsu
 
 INFO = "roi int, pix int, value int, tier int, method string, n_ghost_initial int, n_ghost_final int, n_stationary_filled int"
 
@@ -138,3 +140,31 @@ def find_arenas(img: np.ndarray, expected: int | None = None, least: float = 0.0
     if expected and len(order) < expected:
         return []
     return [enclosing_circle(*np.nonzero(label == keys[k])[::-1]) for k in order[: expected or len(order)]]
+
+
+def build(stack: DataFrame, side: int, method: str = "gmm", expected: int | None = None, sigma: float = 3.0) -> DataFrame:
+    """roi, pix, value of each arena's background: "mean", "p<number>" (a percentile), "gmm" or "adaptive". With
+    "gmm", bright round parts are found in it and blurred inside, where `expected` is given."""
+    if method == "mean":
+        return pixels.mean(stack)
+    if method.startswith("p"):
+        return pixels.byte_percentile(stack, float(method[1:]) / 100)
+    if method == "adaptive":
+        return model(stack, side).select("roi", "pix", "value")
+    plate = gmm_background(stack).withColumn("value", F.col("value").cast("int"))
+    if expected is None or sigma <= 0:
+        return plate
+    images = plate.groupBy("roi").agg(F.sort_array(F.collect_list(F.struct("pix", "value"))).alias("p")).select("roi", F.col("p.value").alias("v"))
+
+    def smooth(batches):
+        import pandas as pd
+
+        y, x = np.mgrid[:side, :side]
+        for b in batches:
+            for roi, v in zip(b["roi"], b["v"], strict=True):
+                img, mask = np.asarray(v).reshape(side, side).astype(np.uint8), np.zeros((side, side), dtype=bool)
+                for cx, cy, r in find_arenas(img, expected):
+                    mask |= (x - cx) ** 2 + (y - cy) ** 2 <= r * r
+                yield pd.DataFrame({"roi": roi, "pix": np.arange(side * side), "value": blur_inside(img, mask, sigma).reshape(-1).astype(int)})
+
+    return images.mapInPandas(smooth, "roi int, pix int, value int")

@@ -39,20 +39,30 @@ def best_batch(runs: DataFrame, video_crops: int) -> DataFrame:
     return rate.withColumn("video_s", F.ceil(F.lit(video_crops) / F.col("batch_size")) * F.col("batch_size") / F.col("crops_per_s")).crossJoin(F.broadcast(rate.agg(F.max("crops_per_s").alias("_top")))).withColumn("best", F.col("crops_per_s") == F.col("_top")).drop("_top")
 
 
-def validation(videos: DataFrame, timing: DataFrame, strict: bool = False) -> DataFrame:
-    """Checks per video: frames, size, timing present, monotonic, as many rows as frames."""
-    t = timing.groupBy("video").agg(F.count("*").alias("n_rows"), F.count_if(F.col("dt_s") < 0).alias("n_neg_dt"))
+def validation(videos: DataFrame, timing: DataFrame) -> DataFrame:
+    """Checks of each video: whether it exists, opens, has frames and a size, its first and last frame decode (where the
+    table has these columns), its timing table is there, has rows and runs forward, with as many rows as frames. A
+    check that can't be made, as what it needs failed before, is left out."""
+    t = timing.groupBy("video").agg(F.count("dt_s").alias("n_rows"), F.count_if(F.col("dt_s") < 0).alias("n_neg_dt"))
     j = videos.join(t, "video", "left")
-    status = lambda ok, bad="fail": F.when(ok, "pass").otherwise(bad)
+    status = lambda ok, bad="fail": F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise(bad)
+    has = lambda c: F.col(c) if c in videos.columns else F.lit(True)
+    here, n = has("exists") & has("opens"), F.coalesce("frame_count", F.lit(0))
+    rows = F.coalesce("n_rows", F.lit(0))
     checks = {
-        "frames": status(F.coalesce(F.col("frame_count"), F.lit(0)) > 0),
-        "size": status((F.coalesce(F.col("width"), F.lit(0)) > 0) & (F.coalesce(F.col("height"), F.lit(0)) > 0)),
+        "exists": status(has("exists")) if "exists" in videos.columns else None,
+        "opens": F.when(has("exists"), status(has("opens"))) if "opens" in videos.columns else None,
+        "frames": F.when(here, status(n > 0)),
+        "size": F.when(here, status((F.col("width") > 0) & (F.col("height") > 0), "warn")),
+        "first_frame": F.when(here, status(has("first_ok"))) if "first_ok" in videos.columns else None,
+        "last_frame": F.when(here & has("first_ok") & (n > 1), status(has("last_ok"), "warn")) if "last_ok" in videos.columns else None,
         "timing_exists": status(F.col("n_rows").isNotNull()),
-        "timing_monotonic": F.when(F.col("n_rows").isNull(), "warn").otherwise(status(F.col("n_neg_dt") == 0, "warn")),
-        "count_match": F.when(F.col("n_rows").isNull(), "warn").otherwise(status(F.col("n_rows") == F.col("frame_count"), "warn")),
+        "timing_rows": F.when(F.col("n_rows").isNotNull(), status(rows > 0)),
+        "timing_monotonic": F.when(rows > 0, status(F.col("n_neg_dt") == 0, "warn")),
+        "count_match": F.when(here & (n > 0) & (rows > 0), status(rows == n, "warn")),
     }
-    rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items()])
-    return j.select("video", F.coalesce("n_neg_dt", F.lit(0)).alias("n_neg_dt"), F.explode(rows).alias("c")).select("video", "n_neg_dt", "c.check", "c.status")
+    made = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items() if v is not None])
+    return j.select("video", F.coalesce("n_neg_dt", F.lit(0)).alias("n_neg_dt"), F.explode(F.filter(made, lambda c: c["status"].isNotNull())).alias("c")).select("video", "n_neg_dt", "c.check", "c.status")
 
 
 def roll_up(checks: DataFrame, strict: bool = False) -> DataFrame:
@@ -94,3 +104,39 @@ def key_sets(reference: DataFrame, test: DataFrame, key: list[str] | None = None
     a, b = reference.select(*key), test.select(*key)
     parts = {"common": a.intersect(b), "only_reference": a.exceptAll(b), "only_test": b.exceptAll(a)}
     return concat([v.agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, v in parts.items()])
+
+
+def stage_stats(work: DataFrame, frames: int) -> DataFrame:
+    """Stages of work (stage, worker, seconds): mean and greatest time of a worker, and frames a second as if all
+    workers ran side by side, so that the slowest sets the pace."""
+    own = work.groupBy("stage", "worker").agg(F.sum("seconds").alias("s"))
+    return own.groupBy("stage").agg(F.avg("s").alias("mean_s"), F.max("s").alias("wall_s"), F.count("*").alias("workers")).withColumn("frames_per_s", F.when(F.col("wall_s") > 0, frames / F.col("wall_s")).otherwise(0.0))
+
+
+def unknown_names(asked: DataFrame, have: DataFrame) -> DataFrame:
+    """Names that are asked for but aren't there."""
+    return asked.select("roi").distinct().join(have.select("roi"), "roi", "left_anti")
+
+
+def named(df: DataFrame, names: str) -> DataFrame:
+    """Rows of the arenas in a comma-separated list; of all where it is blank."""
+    own = [n.strip() for n in names.split(",") if n.strip()]
+    return df.where(F.col("roi").isin(*own)) if own else df
+
+
+def placed(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with a place; groups without any keep theirs."""
+    here = F.col("x").isNotNull() & F.col("y").isNotNull()
+    none = df.groupBy(*by).agg(F.bool_or(here).alias("_any")).where("not _any").select(*by)
+    return df.where(here).unionByName(df.join(none, by, "left_semi"))
+
+
+def batches(df: DataFrame, size: int) -> DataFrame:
+    """Rows of a video numbered in batches of `size`, in order of frame, roi and track; the last may be smaller. Frames
+    are counted first, so that no task reads a whole video in order."""
+    video, at = keyed(df), keyed(df, "frame")
+    counts = df.groupBy(*at).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*video).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("roi", "track_id")) - 1
+    out = df.join(counts.withColumn("_base", before).drop("_n"), at).withColumn("_at", F.col("_base") + place)
+    return out.withColumns({"batch": F.floor(F.col("_at") / size), "slot": F.col("_at") % size}).drop("_base", "_at")

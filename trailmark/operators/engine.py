@@ -13,7 +13,7 @@ from ..functions.common import keyed, small
 from .geometry import roi_origin
 
 KEY = ["roi", "track_id", "frame", "t_s"]
-_FOUND = "roi string, track_id bigint, frame bigint, t_s double, crop_x0_full int, crop_y0_full int, out_of_bounds boolean, keypoint string, x_crop double, y_crop double, score double"
+_FOUND = "{0}roi string, track_id bigint, frame bigint, t_s double, crop_x0_full int, crop_y0_full int, out_of_bounds boolean, keypoint string, x_crop double, y_crop double, score double"
 
 
 def mock(offsets: Sequence[tuple[float, float]]) -> Callable:
@@ -32,7 +32,7 @@ def infer(crops: DataFrame, engine: Callable, names: Sequence[str], size: int, r
     of frame, arena and crop. Arrow batches are the engine's batches. Arena coordinates are null for unknown arenas."""
     import pandas as pd
 
-    own, k = [*KEY, "crop_x0_full", "crop_y0_full", "out_of_bounds"], len(names)
+    own, k = [*keyed(crops, *KEY), "crop_x0_full", "crop_y0_full", "out_of_bounds"], len(names)
 
     def run(batches):
         for b in batches:
@@ -44,7 +44,7 @@ def infer(crops: DataFrame, engine: Callable, names: Sequence[str], size: int, r
             at = np.asarray(places).reshape(-1, 2)
             yield pd.concat([out, pd.DataFrame({"keypoint": list(names) * len(b), "x_crop": at[:, 0], "y_crop": at[:, 1], "score": np.asarray(scores).reshape(-1)})], axis=1)
 
-    found = crops.select(*own, "pixels").mapInPandas(run, _FOUND)
+    found = crops.select(*own, "pixels").mapInPandas(run, _FOUND.format("video string, " if "video" in own else ""))
     found = found.withColumns({"x_full": F.col("x_crop") + F.col("crop_x0_full"), "y_full": F.col("y_crop") + F.col("crop_y0_full")}).drop("crop_x0_full", "crop_y0_full")
     if rois is None:
         return found.withColumns({"x_roi": F.lit(None).cast("double"), "y_roi": F.lit(None).cast("double")})
@@ -64,3 +64,13 @@ def gate_contrast(cands: DataFrame, least: float = 0.0, darkness: float = 0.0, m
     share = F.when(known, F.col("contrast") / F.when(top == 0, 1.0).otherwise(top)).otherwise(0.0)
     score = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) / max(1e-6, max_jump) - darkness * share
     return kept.withColumn("score", score).withColumn("_n", F.row_number().over(by.orderBy("score", tiebreak))).where("_n = 1").drop("_n")
+
+
+def run(crops: DataFrame, tracks: DataFrame, engine, names: Sequence[str], size: int, rois: DataFrame | None = None) -> DataFrame:
+    """By what the engine can do: one with `predict` (a function of the tracks that gives the keypoints of whole instances)
+    has them matched to tracks; any other reads crops."""
+    if hasattr(engine, "predict"):
+        from .pose import instances
+
+        return instances(engine.predict(tracks), tracks)
+    return infer(crops, engine, names, size, rois)

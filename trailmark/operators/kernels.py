@@ -213,7 +213,7 @@ def detect(stack: DataFrame, bg: DataFrame, side: int, threshold: float | str =
                 d = background_difference(v, plate, kind) * inside
                 bright = open_close(d > (otsu(d) if threshold == "otsu" else threshold), opening, closing)
                 for rank, e in enumerate(ellipses(bright, area_min, area_max, top, inside, rim_min)):
-                    out.append((roi, sample, rank, *np.round(e, 4), round(contrast_at(v, plate, e[0], e[1], kind), 4)))
+                    out.append((roi, sample, rank, *e, contrast_at(v, plate, e[0], e[1], kind)))
             yield pd.DataFrame(out, columns=["roi", *(c.split()[0] for c in BLOB.split(", "))])
 
     return images.mapInPandas(run, "roi int, " + BLOB)

@@ -81,3 +81,17 @@ def floor_level(bg: DataFrame) -> DataFrame:
 def spread(stack: DataFrame) -> DataFrame:
     """Distinct values and population deviation of each pixel."""
     return stack.groupBy("roi", "pix").agg(F.count_distinct("v").alias("n_unique"), F.stddev_pop("v").alias("std"))
+
+
+def contrast(places: DataFrame, stack: DataFrame, bg: DataFrame, side: int, kind: str = "dark", window: int = 2) -> DataFrame:
+    """places (roi, sample, x, y) with the mean difference to the background in a window around each, cut off at
+    the image's edge; null outside the image. The window's pixels are listed, so that the join is by equality."""
+    d = F.col("value") - F.col("v")
+    d = {"dark": d, "bright": -d, "absolute": F.abs(d)}[kind]
+    own = places.withColumns({"_i": F.rint("y").cast("int"), "_j": F.rint("x").cast("int")})
+    held = F.col("_i").between(0, side - 1) & F.col("_j").between(0, side - 1)
+    around = lambda c: F.sequence(F.greatest(F.lit(0), F.col(c) - window), F.least(F.lit(side - 1), F.col(c) + window))
+    key = ["roi", "sample", "x", "y"]
+    spots = own.where(held).select(*key, F.explode(around("_i")).alias("i"), around("_j").alias("js")).select(*key, "i", F.explode("js").alias("j")).select(*key, (F.col("i") * side + F.col("j")).alias("pix")).distinct()
+    means = spots.join(stack, ["roi", "sample", "pix"]).join(bg, ["roi", "pix"]).groupBy(*key).agg(F.avg(d).alias("contrast"))
+    return places.join(means, key, "left")

@@ -170,3 +170,21 @@ def flagged_frames(df: DataFrame, frames: DataFrame) -> DataFrame:
     """The frames (of a video) in which any row has a flag, of those of `frames`."""
     on = [c for c in keyed(df, "frame") if c in frames.columns]
     return frames.join(flagged(df).select(*on).distinct(), on, "left_semi")
+
+
+def draw_list(tracks: DataFrame, rois: DataFrame, ports: DataFrame, trail_frames: int = 10) -> DataFrame:
+    """What an overlay draws on each frame, as rows (video, roi, frame, kind, x, y, r, text): a point for each track with
+    its flags' label, where its trail begins, and the line's end at the arena's port; arenas and ports are circles
+    of every frame, with null frames."""
+    place = keyed(tracks, "roi")
+    near = trail(flag_label(tracks), trail_frames + 1)
+    near = near.join(small(ports.select(*keyed(ports, "roi"), "port_x", "port_y")), keyed(ports, "roi"), "left")
+    none = F.lit(None).cast("double")
+    part = lambda kind, x, y, text=None: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), none.alias("r"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+    parts = F.array(part("point", F.col("x"), F.col("y"), F.col("label")), part("trail", F.col("first_x"), F.col("first_y")), part("port_line", F.col("port_x"), F.col("port_y")))
+    w = by_frame(tracks).rangeBetween(-trail_frames, 0)
+    near = near.withColumn("first_y", F.first("y").over(w)).withColumn("d", F.explode(parts)).where("d.x is not null").select(*place, "frame", "d.*")
+    frames = F.lit(None).cast("bigint").alias("frame")
+    videos = tracks.select(*place).distinct()
+    circle = lambda df, kind, x, y, r, text: videos.join(F.broadcast(df), keyed(df, "roi")).select(*place, frames, F.lit(kind).alias("kind"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(r).alias("r"), text.alias("text"))
+    return near.unionByName(circle(rois, "arena", "cx", "cy", "r", F.col("roi"))).unionByName(circle(ports, "port", "port_x", "port_y", "port_r", F.lit(None).cast("string")))

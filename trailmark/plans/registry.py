@@ -9,6 +9,7 @@ from ..functions.common import clock, human_size, r6
 from ..operators import backgrounds, compare, engine, geometry, kernels, labels, linking, pixels, pose, qc, trajectory
 from ..sources import readers, views
 from ..sources.views import with_views
+from . import more
 
 K = ["video", "roi", "track_id", "frame"]
 
@@ -353,10 +354,6 @@ def gmm_background(s, d):
     return kernels.gmm_background(views.stack(s, d))
 
 
-def detect_blobs(s, d):
-    return kernels.detect(views.stack(s, d), _bg(s, d, 0.9), 8)
-
-
 def adaptive_background(s, d):
     return backgrounds.model(views.stack(s, d), 8, fill=True)
 
@@ -397,20 +394,16 @@ def size_texts(s, d):
     return o.select("o_orderkey", human_size(F.col("o_orderkey") * F.col("o_orderkey") * 1000 + 7).alias("size"), clock(F.col("o_orderkey") * 37).alias("clock"))
 
 
-def radial_port(s, d):
-    return kernels.ports_from_stack(_bg(s, d, 0.9), 8)
-
-
 _NAMES = [
     "dedupe_tracks", "kinematics", "angle_unwrap", "angle_unwrap_all", "roi_local", "port_distance", "port_offsets", "crop_manifest", "crop_geometry", "detect_rescale", "seed_keypoints", "roi_window", "timing_dt", "timing_timestamp", "resample", "interpolate", "stride_filter",
     "qc_flags", "qc_flag_label", "missing_report", "qc_summary", "run_summary", "coverage_raster", "hist_speed", "hist_area", "hist_contrast", "occupancy_2d", "candidate_counts", "flagged_spread", "follow_asof", "trail_window", "main_track", "compare_tracks", "key_sets", "bench_stats", "validate_rollup",
     "pose_wide", "pose_flags", "pose_flag_rates", "pose_confidence", "heatmap_argmax", "heatmap_centroid", "context_windows", "match_nearest", "uniform_sample", "diversity_sample", "random_sample", "topk_candidates", "reading_order",
-    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "contrast_gate", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background", "detect_blobs", "radial_port",
+    "pixel_mean", "pixel_percentile", "pixel_spread", "frame_diff", "ghost_mask", "deghost_nearmax", "fg_excluded_bg", "bg_diff", "otsu_threshold", "drift_median", "floor_level", "stuck_coverage", "link_tracks", "link_trace", "link_kalman", "flag_speed_rollup", "adaptive_background", "label_manifest", "contrast_gate", "best_batch", "detection_jumps", "progress_left", "size_texts", "gmm_background",
 ]
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES}
+    return {n: globals()[n] for n in _NAMES} | more.QUERIES
 
 
 def _r(c: str) -> str:
@@ -522,7 +515,7 @@ def oracle_sql() -> dict[str, str]:
         "compare_tracks": with_views("tracks", f", te AS (SELECT {k}, x + event_id % 5 * 0.7::double AS x, y, angle_deg FROM tracks WHERE frame % 17 <> 0 UNION ALL SELECT video, roi, track_id, frame + 100000, x, y, angle_deg FROM tracks WHERE frame % 19 = 0), j AS (SELECT a.roi AS ra, b.roi AS rb, CASE WHEN a.roi IS NOT NULL AND b.roi IS NOT NULL THEN sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) END AS pos, CASE WHEN a.roi IS NOT NULL AND b.roi IS NOT NULL THEN least(abs(a.angle_deg - b.angle_deg) % 360, 360 - abs(a.angle_deg - b.angle_deg) % 360) END AS ang FROM tracks a FULL JOIN te b ON a.video = b.video AND a.roi = b.roi AND a.track_id = b.track_id AND a.frame = b.frame) SELECT count(ra) AS n_reference, count(rb) AS n_test, count(pos) AS n_common, count(*) FILTER (WHERE rb IS NULL) AS n_only_reference, count(*) FILTER (WHERE ra IS NULL) AS n_only_test, {_r('avg(pos)')} AS pos_mean, {_r('max(pos)')} AS pos_max, {_r('stddev_pop(pos)')} AS pos_std, {_r('avg((pos <= 2)::int)')} AS pos_within, {_r('avg(ang)')} AS angle_mean, {_r('avg((ang <= 10)::int)')} AS angle_within FROM j"),
         "key_sets": with_views("tracks", f", t AS (SELECT {k} FROM tracks), u AS (SELECT {k} FROM tracks WHERE frame % 17 <> 0 UNION ALL SELECT video, roi, track_id, frame + 100000 FROM tracks WHERE frame % 19 = 0) SELECT 'common' AS part, count(*) AS n FROM (SELECT * FROM t INTERSECT SELECT * FROM u) UNION ALL SELECT 'only_reference', count(*) FROM (SELECT * FROM t EXCEPT ALL SELECT * FROM u) UNION ALL SELECT 'only_test', count(*) FROM (SELECT * FROM u EXCEPT ALL SELECT * FROM t)"),
         "bench_stats": f"SELECT mode, {_r('avg(f)')} AS fps_mean, {_r('coalesce(stddev_samp(f), 0.0::double)')} AS fps_std, {_r('1000 / avg(f)')} AS ms_per_frame, {_r('sum(s)')} AS total_s FROM (SELECT l_returnflag || l_linestatus AS mode, l_quantity * 100 / (l_extendedprice / 1000) AS f, l_extendedprice / 1000 AS s FROM lineitem) GROUP BY 1",
-        "validate_rollup": with_views("ev", ", t AS (SELECT event_id % 6 AS video, count(*) AS n, count(*) FILTER (WHERE value - 2 < 0) AS neg FROM ev WHERE event_id % 6 < 5 GROUP BY 1), v AS (SELECT i::bigint AS video, CASE WHEN i <> 4 THEN 100 + 60 * i END AS fc, CASE WHEN i = 3 THEN 0 ELSE 48 END AS h FROM range(6) q(i)), c AS (SELECT video, (coalesce(fc, 0) <= 0)::int + (h <= 0)::int + (n IS NULL)::int AS failed, (n IS NULL OR neg > 0)::int + (n IS NULL OR fc IS NULL OR n <> fc)::int AS warned, coalesce(neg, 0) AS n_neg_dt FROM v LEFT JOIN t USING (video)) SELECT video, failed = 0 AS ok, failed::bigint AS failed, warned::bigint AS warned, n_neg_dt FROM c"),
+        "validate_rollup": with_views("ev", ", t AS (SELECT event_id % 6 AS video, count(*) AS n, count(*) FILTER (WHERE value - 2 < 0) AS neg FROM ev WHERE event_id % 6 < 5 GROUP BY 1), v AS (SELECT i::bigint AS video, CASE WHEN i <> 4 THEN 100 + 60 * i END AS fc, CASE WHEN i = 3 THEN 0 ELSE 48 END AS h FROM range(6) q(i)), c AS (SELECT video, (coalesce(fc, 0) <= 0)::int + (n IS NULL)::int AS failed, (h <= 0)::int + coalesce((neg > 0)::int, 0) + coalesce((n <> fc)::int, 0) AS warned, coalesce(neg, 0) AS n_neg_dt FROM v LEFT JOIN t USING (video)) SELECT video, failed = 0 AS ok, failed::bigint AS failed, warned::bigint AS warned, n_neg_dt FROM c"),
         "pose_wide": with_views("pose", f", {_WIDE} SELECT video, roi, frame, " + ", ".join(f"{_r(f'{n}_{c}')} AS {n}_{c}" for n in views.NODES for c in ("x", "y", "score")) + " FROM wide"),
         "pose_flags": with_views("pose", f", {_POSE} SELECT * FROM pf"),
         "pose_flag_rates": with_views("pose", f", {_POSE} SELECT count(*) AS n_instances, " + ", ".join(f"round_even(avg(flag_{f}::int), 4) AS rate_{f}" for f in ("low_conf", "missing", "wing_swap", "headtail")) + " FROM pf"),
@@ -562,4 +555,4 @@ def oracle_sql() -> dict[str, str]:
         "progress_left": with_views("ev", f", u AS (SELECT user_id AS run, t_s, sum(k % 7) OVER (PARTITION BY user_id ORDER BY frame)::bigint AS done FROM ev), m AS (SELECT run, done, min(t_s) AS t FROM u GROUP BY 1, 2), p AS (SELECT run, done, (t - lag(t) OVER w) / (done - lag(done) OVER w) AS v FROM m WINDOW w AS (PARTITION BY run ORDER BY done)), i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY done) AS i FROM p WHERE v > 0), l AS (SELECT run, count(*)::int AS n_steps, max(done) AS done, list_reduce(list({{'a': CASE WHEN i < 10 THEN 0.15::double ELSE 0.05::double END, 'v': v}} ORDER BY i), lambda e, q: {{'a': q.a, 'v': e.v + q.a * (q.v - e.v)}}) AS e FROM i GROUP BY run) SELECT run, n_steps, done, {_r('CASE WHEN n_steps >= 10 THEN e.v END')} AS s_per_frame, {_r('greatest(0, 1000 - done) * CASE WHEN n_steps >= 10 THEN e.v END')} AS left_s FROM l"),
         "size_texts": "SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.1f TB', n / 1099511627776.0::double) WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0::double) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::double) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%d B', n) END AS size, CASE WHEN c >= 3600 THEN printf('%d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) ELSE printf('%d:%02d', c // 60, c % 60) END AS clock FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 1000 + 7 AS n, o_orderkey * 37 AS c FROM orders)",
     }
-    return sql
+    return sql | more.SQL
