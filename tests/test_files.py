@@ -2,16 +2,18 @@
 
 import json
 import math
+import time
 import tomllib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.functions import sql
 from trailmark.operators import backgrounds, compare, engine, labels, linking, qc
-from trailmark.sources import config, readers, reports
+from trailmark.sources import config, images, readers, reports
 from trailmark.sources.gray import GraySource
-from trailmark.streaming import sink
+from trailmark.streaming import progress, sink
 
 
 def test_config(tmp_path):
@@ -191,3 +193,73 @@ def test_reports(spark, tracks):
     assert tomllib.loads(reports.bench_toml({"commit": 'x"y'}, compare.bench_stats(runs))) == {"commit": 'x"y', "fast": {"fps_mean": 37.5, "fps_std": pytest.approx(17.67767), "ms_per_frame": pytest.approx(26.6667, abs=1e-3), "total_s": 6.0}}
     batch = spark.createDataFrame([("a", 10, 0.0, 4.0), ("b", None, 1.0, 6.0), ("c", None, 2.0, None)], "video string, rows bigint, start_s double, end_s double")
     assert reports.batch_summary(batch).first().asDict() == {"n_ok": 1, "n_total": 3, "total_rows": 10, "elapsed_s": 6.0, "left_s": 3.0}
+
+
+def test_circles():
+    y, x = np.mgrid[:200, :210]
+    img = np.full((200, 210), 30, dtype=np.uint8)
+    want = [(52, 50, 40), (155, 55, 44), (50, 150, 38), (158, 148, 42)]
+    for cx, cy, r in want:
+        img[(x - cx) ** 2 + (y - cy) ** 2 <= r * r] = 190
+    got = backgrounds.find_circles(img)
+    assert len(got) == 4 and [c[2] for c in got] == sorted((c[2] for c in got), reverse=True)
+    for cx, cy, r in want:
+        assert any(math.hypot(a - cx, b - cy) <= 3 and abs(c - r) <= 3 for a, b, c in got)
+    assert backgrounds.find_circles(np.full((80, 80), 9, dtype=np.uint8)) == []
+
+
+def test_png():
+    img = np.random.default_rng(1).integers(0, 256, (7, 11)).astype(np.uint8)
+    raw = images.png(img)
+    assert (images.gray(raw) == img).all() and raw.startswith(b"\x89PNG") and raw.endswith(b"IEND\xaeB`\x82")
+
+
+def test_progress_and_cancel(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    listener = progress.watch(spark, lambda event, payload: seen.append((event, payload)))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    q = sink.append(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    endless = stream.writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "state2")).queryName("endless").start()
+    assert progress.cancel(endless) and not endless.isActive and not progress.cancel(endless)
+    for _ in range(100):
+        if [e for e, _ in seen].count("done") >= 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    events = [e for e, _ in seen]
+    assert events[0] == "started" and "frames" in events and events.count("done") == 2
+    assert next(p for e, p in seen if e == "frames")["rows"] == 5
+
+
+def test_functions_of_sql(spark):
+    sql.register(spark)
+    img = np.full((9, 9), 200)
+    img[3:5, 3:6] = 20
+    spark.createDataFrame([(img.reshape(-1).tolist(), [200] * 81)], "image array<int>, bg array<int>").createOrReplaceTempView("frames_")
+    got = spark.sql("SELECT rank, x, y, area FROM frames_, LATERAL blobs(image, bg, 9, 50)").collect()
+    assert [tuple(r) for r in got] == [(0, 4.0, 3.5, 6.0)]
+    y, x = np.mgrid[:48, :48]
+    port = np.where((x - 25) ** 2 + (y - 23) ** 2 <= 9, 30, 200)
+    spark.createDataFrame([(port.reshape(-1).tolist(),), ([200] * 2304,)], "image array<int>").createOrReplaceTempView("plates_")
+    got = spark.sql("SELECT cx, cy FROM plates_, LATERAL find_port(image, 48)").collect()
+    assert len(got) == 1 and math.hypot(got[0].cx - 25, got[0].cy - 23) <= 1.5
+
+
+def test_engines(spark):
+    assert engine.build("mock", ["a"])(np.zeros((2, 8, 8)))[0].tolist() == [[[4.0, 4.0]], [[4.0, 4.0]]]
+    with pytest.raises(ImportError):
+        engine.build("another", ["a"])
+
+
+def test_built_backgrounds(spark):
+    y, x = np.mgrid[:40, :40]
+    plate = np.where((x - 20) ** 2 + (y - 20) ** 2 <= 225, 180, 30)
+    rows = [(0, k, i, int(v)) for k in range(6) for i, v in enumerate(plate.reshape(-1))]
+    stack = spark.createDataFrame(rows, "roi int, sample long, pix int, v int")
+    for method in ("mean", "p90", "gmm", "adaptive"):
+        got = [r.value for r in backgrounds.build(stack, 40, method).orderBy("pix").collect()]
+        assert got == plate.reshape(-1).tolist(), method
+    smooth = np.array([r.value for r in backgrounds.build(stack, 40, "gmm", expected=1).orderBy("pix").collect()]).reshape(40, 40)
+    assert smooth[20, 20] == 180 and (smooth[plate == 30] == 30).all() and smooth[20, 34] < 180

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pixels
-from .kernels import components, disk, gaussian, gmm_background, harmonic_fill, otsu
+from .kernels import components, disk, gaussian, gmm_background, gradients, harmonic_fill, otsu
 
 INFO = "roi int, pix int, value int, tier int, method string, n_ghost_initial int, n_ghost_final int, n_stationary_filled int"
 
@@ -168,3 +168,45 @@ def build(stack: DataFrame, side: int, method: str = "gmm", expected: int | None
                 yield pd.DataFrame({"roi": roi, "pix": np.arange(side * side), "value": blur_inside(img, mask, sigma).reshape(-1).astype(int)})
 
     return images.mapInPandas(smooth, "roi int, pix int, value int")
+
+
+def median_blur(img: np.ndarray, size: int = 9) -> np.ndarray:
+    """Medians of size x size windows, the outermost pixels repeated beyond the edge; some rows at a time."""
+    wide = np.pad(img, size // 2, mode="edge")
+    view = np.lib.stride_tricks.sliding_window_view(wide, (size, size))
+    return np.concatenate([np.median(view[i : i + 64], axis=(2, 3)) for i in range(0, len(img), 64)])
+
+
+def find_circles(img: np.ndarray, expected: int = 4, radii: tuple[float, float] = (0.18, 0.30), least: float = 0.35) -> list[tuple[float, float, float]]:
+    """The `expected` largest circles (cx, cy, r) of an image, radii as shares of its shorter side: strong edges vote for the
+    places they may be the rim of, along their gradient to both sides; a peak is a circle if enough of its rim is edge.
+    Peaks are a third of the shorter side apart at least."""
+    h, w = img.shape
+    side = min(h, w)
+    gx, gy = gradients(median_blur(img), 1.0)
+    size = np.hypot(gx, gy)
+    if not size.max() > 0:
+        return []
+    y, x = np.nonzero(size >= 0.25 * size.max())
+    ux, uy = gx[y, x] / size[y, x], gy[y, x] / size[y, x]
+    low, high = int(radii[0] * side), max(int(radii[0] * side) + 1, int(radii[1] * side))
+    votes = np.zeros(h * w)
+    for r in range(low, high + 1):
+        for sign in (-1, 1):
+            i, j = np.rint(y + sign * r * uy).astype(int), np.rint(x + sign * r * ux).astype(int)
+            ok = (i >= 0) & (i < h) & (j >= 0) & (j < w)
+            votes += np.bincount(i[ok] * w + j[ok], minlength=h * w)
+    votes, found = gaussian(votes.reshape(h, w), 1.5), []
+    yy, xx = np.mgrid[:h, :w]
+    while len(found) < 4 * expected:
+        cy, cx = np.unravel_index(np.argmax(votes), votes.shape)
+        if votes[cy, cx] <= 0:
+            break
+        votes[(yy - cy) ** 2 + (xx - cx) ** 2 < (side // 3) ** 2] = 0
+        away = np.hypot(y - cy, x - cx)
+        counts = np.bincount(np.rint(away[away <= high + 1]).astype(int), minlength=high + 2)[low : high + 1]
+        r = low + int(np.argmax(counts))
+        rim = np.abs(away - r) <= 1.5
+        if len(np.unique((np.arctan2(y[rim] - cy, x[rim] - cx) * 36 / math.pi).astype(int))) >= least * 72:
+            found.append((float(cx), float(cy), float(away[rim].mean())))
+    return sorted(found, key=lambda c: -c[2])[:expected]

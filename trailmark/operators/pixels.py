@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +97,27 @@ def contrast(places: DataFrame, stack: DataFrame, bg: DataFrame, side: int, kind
     spots = own.where(held).select(*key, F.explode(around("_i")).alias("i"), around("_j").alias("js")).select(*key, "i", F.explode("js").alias("j")).select(*key, (F.col("i") * side + F.col("j")).alias("pix")).distinct()
     means = spots.join(stack, ["roi", "sample", "pix"]).join(bg, ["roi", "pix"]).groupBy(*key).agg(F.avg(d).alias("contrast"))
     return places.join(means, key, "left")
+
+
+def replayed(stack: DataFrame, n: int, p: float) -> DataFrame:
+    """Differences of all samples to the background of each arena's first n ones: the background is a pass of its own,
+    after which all samples are read, those of the first pass too."""
+    first = stack.select("roi", "sample").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("roi").orderBy("sample"))).where(F.col("_n") <= n).drop("_n")
+    return difference(stack, byte_percentile(stack.join(first, ["roi", "sample"], "left_semi"), p))
+
+
+def one_component(stack: DataFrame, reg: float = 1e-3) -> DataFrame:
+    """roi, pix, n, mean, var, and the information criterion of a single normal component for each pixel."""
+    out = stack.groupBy("roi", "pix").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    v = F.col("var") + reg
+    return out.withColumn("bic", 2 * F.log("n") + F.col("n") * (F.log(2 * math.pi * v) + F.col("var") / v))
+
+
+def ghost_counts(stack: DataFrame, side: int, low: float = 0.90, high: float = 0.98, margin: float = 15, share: float = 0.92) -> DataFrame:
+    """roi, n_ghost: pixels of the arena's disk whose near-maximum is brighter than their low percentile, cut to a byte,
+    by more than the margin. Arenas without any need no more than that percentile as background."""
+    both = stack.groupBy("roi", "pix").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("q"))
+    y, x = F.floor(F.col("pix") / side) - side / 2, F.col("pix") % side - side / 2
+    inside = y * y + x * x <= (share * side / 2) ** 2
+    ghost = inside & (F.col("q")[1] - F.floor(F.col("q")[0] + F.lit(1e-9)) > margin)
+    return both.groupBy("roi").agg(F.count_if(ghost).alias("n_ghost"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from ..functions.common import hex_rgb, palette_index, r6, text_colour
-from ..operators import backgrounds, compare, engine, geometry, kernels, pixels, pose, qc
-from ..sources import readers, reports, videos, views
+from ..operators import backgrounds, compare, engine, geometry, kernels, labels, linking, pixels, pose, qc
+from ..sources import images, readers, reports, videos, views, work
 from ..sources.views import with_views
+from ..streaming import link, sink
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -179,8 +182,8 @@ def predicted_instances(s, d):
     """Instances predicted a little beside each track of frames with one track each find their own track."""
     t = views.tracks(s, d).withColumn("frame", F.col("track_id") * 100_000 + F.col("frame"))
     at = F.array(*[F.struct(F.lit(n).alias("keypoint"), F.lit(dx).alias("dx")) for n, dx in (("head", 1.5), ("abdomen", -0.5))])
-    points = t.select("video", "frame", (F.col("track_id") * 10).alias("inst"), F.explode(at).alias("p"), "x", "y").select("video", "frame", "inst", "p.keypoint", (F.col("x") + F.col("p.dx")).alias("x"), "y", F.lit(0.5).alias("score"))
-    out = pose.instances(points, t).where("keypoint = 'head'")
+    predict = lambda t: t.select("video", "frame", (F.col("track_id") * 10).alias("inst"), F.explode(at).alias("p"), "x", "y").select("video", "frame", "inst", "p.keypoint", (F.col("x") + F.col("p.dx")).alias("x"), "y", F.lit(0.5).alias("score"))
+    out = engine.run(None, t, SimpleNamespace(predict=predict), ["head", "abdomen"], 8).where("keypoint = 'head'")
     return out.select("video", "roi", "track_id", (F.col("frame") % 100_000).alias("frame"), "inst")
 
 
@@ -390,3 +393,180 @@ def deghost_neighbour(s, d):
         return pd.DataFrame({"roi": int(pdf["roi"].iloc[0]), "pix": range(64), "value": out.reshape(-1).astype(int)})
 
     return views.stack(s, d).groupBy("roi").applyInPandas(run, "roi int, pix int, value int")
+
+
+# written and read again
+
+@query(with_views("tracks", "SELECT 'parquet' AS fmt, video, roi, track_id, frame, x, y FROM tracks UNION ALL SELECT 'csv', video, roi, track_id, frame, x, y FROM tracks"))
+def stored_tracks(s, d):
+    """Tracks written and read in both formats."""
+    t, top = views.tracks(s, d).select(*K, "x", "y"), work.new_folder(s, "stored")
+    parts = []
+    for fmt in ("parquet", "csv"):
+        path = readers.write_table(t, readers.output_path(f"{top}/run.mp4", "tracks", fmt))
+        parts.append(readers.read_table(s, path).select(F.lit(fmt).alias("fmt"), "video", "roi", *[F.col(c).cast("bigint").alias(c) for c in ("track_id", "frame")], "x", "y"))
+    return compare.concat(parts)
+
+
+@query(with_views("tracks", "SELECT video, roi, track_id, frame, x FROM tracks WHERE frame % 2 = 0"))
+def appended_stream(s, d):
+    """A stream of tracks appended to a table, in two runs of which the second finds new rows only."""
+    top, t = work.new_folder(s, "appended"), views.tracks(s, d).where("frame % 2 = 0").select(*K, "x")
+    for part in (t.where("track_id % 2 = 0"), t.where("track_id % 2 = 1")):
+        part.write.mode("append").parquet(f"{top}/in")
+        sink.append(s.readStream.schema(t.schema).parquet(f"{top}/in"), f"{top}/out", f"{top}/state").awaitTermination()
+    return s.read.schema(t.schema).parquet(f"{top}/out")
+
+
+def _streamed(s, d, **kw):
+    """Linking as a stream of two batches."""
+    top, frames = work.new_folder(s, "linked"), linking.dense(views.candidates(s, d))
+    settings = linking.Settings(max_jump=40, miss_tolerance=3, centers={r[0]: (r[1], r[2]) for r in views.ROIS}, **kw)
+    half = F.col("frame") < 700
+    for part in (frames.where(half), frames.where(~half)):
+        part.write.mode("append").parquet(f"{top}/in")
+        stream = link.link_stream(s.readStream.schema(frames.schema).parquet(f"{top}/in"), settings)
+        sink.append(stream, f"{top}/out", f"{top}/state").awaitTermination()
+    return s.read.parquet(f"{top}/out")
+
+
+@query()
+def link_stream(s, d):
+    """Its SQL is that of link_tracks, added in registry."""
+    return _streamed(s, d).where("not missed").select("video", "roi", "frame", "x", "y")
+
+
+@query()
+def link_stream_kalman(s, d):
+    """Its SQL is that of link_kalman, added in registry."""
+    return _round(_streamed(s, d, use_kalman=True, smoothing=True), "x", "y", "pred_x", "pred_y").select("video", "roi", "frame", "x", "y", "gate", "missed", "pred_x", "pred_y")
+
+
+@query(with_views("stack", "SELECT roi, (row_number() OVER (PARTITION BY roi ORDER BY sample) - 1)::bigint AS frame, sum(v)::bigint AS total, max(v) AS top FROM stack GROUP BY roi, sample"))
+def gray_frames(s, d):
+    """Images written as raw gray files, an arena's in one, and read through the data source."""
+    from ..sources.gray import GraySource
+
+    top = work.new_folder(s, "gray")
+    images = views.stack(s, d).groupBy("roi", "sample").agg(F.sort_array(F.collect_list(F.struct("pix", "v"))).alias("p"))
+    raw = images.select("roi", "sample", F.transform("p", lambda q: q["v"]).alias("v"))
+
+    def write(pdf):
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        own = pdf.sort_values("sample")
+        system, path = fs.FileSystem.from_uri(top if "://" in top else "file://" + top)
+        system.create_dir(path)
+        name = f"{path}/arena-{int(own['roi'].iloc[0]):04d}.gray"
+        with system.open_output_stream(name) as f:
+            for v in own["v"]:
+                f.write(np.asarray(v, dtype=np.uint8).tobytes())
+        return pd.DataFrame({"name": [name], "n": [len(own)]})
+
+    raw.groupBy("roi").applyInPandas(write, "name string, n int").collect()  # a row for each arena
+    s.dataSource.register(GraySource)
+    frames = s.read.format("gray").option("width", 8).option("height", 8).load(top)
+    value = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.hex(F.substring("pixels", i, 1)), 16, 10).cast("int"))
+    out = frames.select(F.regexp_extract("path", r"arena-(\d+)\.gray", 1).cast("int").alias("roi"), "frame", value.alias("v"))
+    return out.select("roi", "frame", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"), F.array_max("v").alias("top"))
+
+
+@query(with_views("stack", ", pl AS (SELECT DISTINCT roi, sample, sample % 9 AS x, sample % 7 AS y FROM stack), md AS (SELECT roi, sample, trunc(median(v))::int AS m FROM stack GROUP BY 1, 2), c AS (SELECT pl.*, i, j FROM pl, range(4) a(i), range(4) b(j)) SELECT c.roi, c.sample, lpad(c.roi::varchar, 6, '0') || '_' || lpad(c.sample::varchar, 6, '0') || '.png' AS name, sum(coalesce(s.v, m))::bigint AS total FROM c JOIN md ON md.roi = c.roi AND md.sample = c.sample LEFT JOIN stack s ON s.roi = c.roi AND s.sample = c.sample AND y - 2 + i BETWEEN 0 AND 7 AND x - 2 + j BETWEEN 0 AND 7 AND s.pix = (y - 2 + i) * 8 + x - 2 + j GROUP BY 1, 2, 3"))
+def exported_crops(s, d):
+    """Crops written as PNG with their manifest, and decoded again."""
+    top = work.new_folder(s, "crops")
+    places = views.stack(s, d).select("roi", "sample").distinct().withColumns({"ox": F.col("sample") % 9, "oy": F.col("sample") % 7})
+    manifest = images.export_crops(kernels.crops(views.stack(s, d), places, 8, 4), 4, top)
+
+    def decode(batches):
+        for b in batches:
+            yield b[["name"]].assign(total=[int(images.gray(x).sum()) for x in b["png"]])
+
+    totals = s.read.parquet(f"{top}/crops").select("name", "png").mapInPandas(decode, "name string, total bigint")
+    return manifest.select("roi", "sample", "name").join(totals, "name")
+
+
+@query(with_views("tracks", "SELECT roi, video, track_id, frame, 'head' AS keypoint, true AS visible FROM tracks QUALIFY row_number() OVER (PARTITION BY video, roi ORDER BY frame, track_id) = 1"))
+def label_file(s, d):
+    """Hand labels of each arena's first row, saved as a document and loaded again."""
+    import json
+    import os
+    import tempfile
+
+    t = views.tracks(s, d)
+    first = t.groupBy("video", "roi").agg(F.min_by("track_id", F.struct("frame", "track_id")).alias("track_id"), F.min("frame").alias("frame"))
+    made = labels.seeded(t.join(first, K, "left_semi")).withColumn("labeled", F.lit(True))
+    out = []
+    for r in sorted(made.select("video").distinct().collect()):  # a document for each video
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, "labels.json")
+            labels.save(made.where(F.col("video") == r[0]), path, {"nodes": views.NODES}, r[0])
+            with open(path, encoding="utf-8") as f:
+                text = json.load(f)
+            rows = [(r[0], x["roi"], x["track_id"], x["frame"], k, bool(p[2])) for x in text["frames"] for k, p in x["points"].items()]
+            out.append(s.createDataFrame(rows, "video string, roi string, track_id bigint, frame bigint, keypoint string, visible boolean"))
+    return compare.concat(out).where("keypoint = 'head'")
+
+
+@query(f"WITH {_PATHS} SELECT path, regexp_replace(path, '[^/]*$', '') || regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') || '_pose.csv' AS own, '/out/' || regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') || '_tracks.parquet' AS other FROM p")
+def output_paths(s, d):
+    p = F.col("path")
+    return _paths(s, d).select("path", videos.output_path(p, "pose", "csv").alias("own"), videos.output_path(p, "tracks", top="/out").alias("other"))
+
+
+# parts, plates
+
+_PARTS = "q AS (SELECT p_brand AS img, p_partkey % 37 * 7.0::double AS cx, p_size * 4.0::double AS cy, 20 + p_partkey % 13 * 3.0::double AS r, p_partkey % 11 AS a, p_partkey % 7 AS b FROM part), pa AS (SELECT img, cx, cy, r, 3.141592653589793::double * r * r * (0.4 + a * 0.06)::double AS area, 6.283185307179586::double * r * (0.9 + b * 0.06)::double AS perimeter FROM q)"
+
+
+def _parts(s, d):
+    import math
+
+    k = F.col("p_partkey")
+    q = views.table(s, d, "part").select(F.col("p_brand").alias("img"), (k % 37 * 7.0).alias("cx"), (F.col("p_size") * 4.0).alias("cy"), (20 + k % 13 * 3.0).alias("r"), (k % 11).alias("a"), (k % 7).alias("b"))
+    r = F.col("r")
+    return q.select("img", "cx", "cy", "r", (F.lit(math.pi) * r * r * (F.lit(0.4) + F.col("a") * 0.06)).alias("area"), (F.lit(2 * math.pi) * r * (F.lit(0.9) + F.col("b") * 0.06)).alias("perimeter"))
+
+
+@query(f"WITH {_PARTS}, ok AS (SELECT *, round(4 * 3.141592653589793::double * area / (perimeter * perimeter) * (area / (3.141592653589793::double * r * r)), 9) AS score FROM pa WHERE r BETWEEN 22 AND 60 AND 4 * 3.141592653589793::double * area / (perimeter * perimeter) >= 0.65 AND area / (3.141592653589793::double * r * r) >= 0.55 AND area BETWEEN 3.141592653589793::double * 484 AND 3.141592653589793::double * 3600), l AS (SELECT img, list_reduce(list([{{'cx': cx, 'cy': cy, 'r': r, 's': score}}] ORDER BY score DESC, cx, cy, r), lambda a, x: CASE WHEN len(list_filter(a, lambda h: (h.cx - x[1].cx) * (h.cx - x[1].cx) + (h.cy - x[1].cy) * (h.cy - x[1].cy) < 6400)) > 0 THEN a ELSE list_concat(a, x) END) AS k FROM ok GROUP BY img) SELECT img, u.cx AS cx, u.cy AS cy, u.r AS r, {_r('u.s')} AS score FROM (SELECT img, unnest(k) AS u FROM l)")
+def round_parts(s, d):
+    return _round(pose.round_parts(_parts(s, d), ["img"], 80.0, (22.0, 60.0)), "score")
+
+
+@query(f"WITH {_PARTS} SELECT img, cx, cy, area::bigint AS area, row_number() OVER (PARTITION BY img ORDER BY area::bigint DESC, cx, cy)::int AS rank FROM pa WHERE cx > 30 QUALIFY rank <= 4 AND count(*) OVER (PARTITION BY img) >= 4")
+def largest_parts(s, d):
+    p = _parts(s, d).where("cx > 30").withColumn("area", F.rint("area").cast("bigint"))
+    return pose.largest(p, 4, ["img"], ["-area", "cx", "cy"]).select("img", "cx", "cy", "area", "rank")
+
+
+@query(with_views("stack", f", f AS (SELECT roi, sample FROM (SELECT DISTINCT roi, sample FROM stack) QUALIFY row_number() OVER (PARTITION BY roi ORDER BY sample) <= 20), b AS (SELECT roi, pix, floor(quantile_cont(v, 0.9::double) + 1e-9)::int AS value FROM stack JOIN f USING (roi, sample) GROUP BY 1, 2) SELECT roi, sample, sum(greatest(value - v, 0))::bigint AS total FROM stack JOIN b USING (roi, pix) GROUP BY 1, 2"))
+def replayed_background(s, d):
+    return pixels.replayed(views.stack(s, d), 20, 0.9).groupBy("roi", "sample").agg(F.sum("d").alias("total"))
+
+
+@query(with_views("stack", f", m AS (SELECT roi, pix, count(*) AS n, avg(v) AS mean, var_pop(v) AS var FROM stack GROUP BY 1, 2) SELECT roi, pix, n, {_r('mean')} AS mean, {_r('var')} AS var, {_r('2 * ln(n) + n * (ln(2 * pi() * (var + 1e-3)) + var / (var + 1e-3))')} AS bic FROM m"))
+def pixel_bic(s, d):
+    return _round(pixels.one_component(views.stack(s, d)), "mean", "var", "bic")
+
+
+_GHOSTS = "g AS (SELECT roi, pix, floor(quantile_cont(v, 0.9::double) + 1e-9) AS bg, quantile_cont(v, 0.98::double) AS top FROM stack GROUP BY 1, 2), gc AS (SELECT roi, count(*) FILTER (WHERE (pix % 8 - 4) * (pix % 8 - 4) + (pix // 8 - 4) * (pix // 8 - 4) <= (0.92 * 4) * (0.92 * 4) AND top - bg > 15) AS n_ghost FROM g GROUP BY 1)"
+
+
+@query(with_views("stack", f", {_GHOSTS} SELECT * FROM gc"))
+def ghost_counts(s, d):
+    return pixels.ghost_counts(views.stack(s, d), 8)
+
+
+@query(with_views("stack", f", {_GHOSTS} SELECT '{{' || string_agg('\"' || roi || '\":{{\"n_ghost\":' || n_ghost || ',\"clean\":' || (n_ghost = 0) || '}}', ',' ORDER BY roi::varchar) || '}}' AS value FROM gc"))
+def background_flags(s, d):
+    return images.flags_json(pixels.ghost_counts(views.stack(s, d), 8).withColumn("clean", F.col("n_ghost") == 0))
+
+
+@query("WITH o AS (SELECT 'inscribed' AS mask, 20 AS h, 32 AS w, 16.0::double AS cx, 10.0::double AS cy, 10.0::double AS r UNION ALL SELECT 'arena', 24, 24, 12, 12, 0.92 * 12 UNION ALL SELECT 'wide', 24, 24, 12, 12, 0.97 * 12 UNION ALL SELECT 'roi', 30, 40, 13.5, 17.25, 8.5 UNION ALL SELECT 'scaled', 30, 40, 6.75, 8.625, 4.25) SELECT mask, y::int AS y, count(*)::int AS n, min(x)::int AS first FROM o, range(40) a(x), range(40) b(y) WHERE x < w AND y < h AND (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r GROUP BY 1, 2")
+def arena_masks(s, d):
+    """Rows of the arena's masks: how many pixels, and the first."""
+    made = {"inscribed": kernels.inscribed(20, 32), "arena": kernels.disk(24, 0.92), "wide": kernels.disk(24, 0.97), "roi": kernels.roi_mask(30, 40, 13.5, 17.25, 8.5), "scaled": kernels.roi_mask(30, 40, 13.5, 17.25, 8.5, 2)}
+    rows = [(k, y, int(row.sum()), int(row.argmax())) for k, m in made.items() for y, row in enumerate(m) if row.any()]
+    return s.createDataFrame(rows, "mask string, y int, n int, first int")

@@ -555,4 +555,4 @@ def oracle_sql() -> dict[str, str]:
         "progress_left": with_views("ev", f", u AS (SELECT user_id AS run, t_s, sum(k % 7) OVER (PARTITION BY user_id ORDER BY frame)::bigint AS done FROM ev), m AS (SELECT run, done, min(t_s) AS t FROM u GROUP BY 1, 2), p AS (SELECT run, done, (t - lag(t) OVER w) / (done - lag(done) OVER w) AS v FROM m WINDOW w AS (PARTITION BY run ORDER BY done)), i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY done) AS i FROM p WHERE v > 0), l AS (SELECT run, count(*)::int AS n_steps, max(done) AS done, list_reduce(list({{'a': CASE WHEN i < 10 THEN 0.15::double ELSE 0.05::double END, 'v': v}} ORDER BY i), lambda e, q: {{'a': q.a, 'v': e.v + q.a * (q.v - e.v)}}) AS e FROM i GROUP BY run) SELECT run, n_steps, done, {_r('CASE WHEN n_steps >= 10 THEN e.v END')} AS s_per_frame, {_r('greatest(0, 1000 - done) * CASE WHEN n_steps >= 10 THEN e.v END')} AS left_s FROM l"),
         "size_texts": "SELECT o_orderkey, CASE WHEN n >= 1099511627776 THEN printf('%.1f TB', n / 1099511627776.0::double) WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0::double) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::double) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::double) ELSE printf('%d B', n) END AS size, CASE WHEN c >= 3600 THEN printf('%d:%02d:%02d', c // 3600, c % 3600 // 60, c % 60) ELSE printf('%d:%02d', c // 60, c % 60) END AS clock FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 1000 + 7 AS n, o_orderkey * 37 AS c FROM orders)",
     }
-    return sql | more.SQL
+    return sql | more.SQL | {"link_stream": sql["link_tracks"], "link_stream_kalman": sql["link_kalman"]}

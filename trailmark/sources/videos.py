@@ -83,3 +83,9 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows of each video in order."""
     w = Window.partitionBy(*keyed(df)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def output_path(path: Column, kind: str, fmt: str = "parquet", top: str = "") -> Column:
+    """<top or the video's folder>/<stem>_<kind>.<fmt>"""
+    base = F.lit(top.rstrip("/") + "/") if top else folder(path)
+    return F.concat(base, stem(path), F.lit(f"_{kind}.{fmt}"))
