@@ -1,11 +1,12 @@
 """Image kernels against plain loops over pixels."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 
-from trailmark.operators import backgrounds, kernels
+from trailmark.operators import backgrounds, engine, kernels
 from trailmark.plans import registry
 
 D = "/root/testdata/sf0.001"
@@ -272,3 +273,48 @@ def test_queries_over_whole_tables(spark, name):
             plain = np.percentile(images, 90, axis=0).astype(np.uint8)
             ghosts = (np.percentile(images, 98, axis=0) - plain > 15) & arena
             assert info["n_ghost_initial"] == ghosts.sum()
+
+
+def plain_circle(points):
+    """The least of all circles through two or three of the points that hold them all."""
+    if len(points) == 1:
+        return (*points[0], 0.0)
+    best = None
+    for n in (2, 3):
+        for p in itertools.combinations(points, n):
+            c = backgrounds._through(*p)
+            if (best is None or c[2] < best[2] - 1e-9) and all(math.hypot(x - c[0], y - c[1]) <= c[2] + 1e-7 for x, y in points):
+                best = c
+    return best
+
+
+def test_enclosing_circle():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 7, 12):
+        for spread in (3, 30):
+            for _ in range(10):
+                p = rng.integers(0, spread, (n, 2))
+                got = backgrounds.enclosing_circle(p[:, 0], p[:, 1])
+                assert got == pytest.approx(plain_circle(sorted(set(map(tuple, p.tolist())))), abs=1e-6)
+
+
+def test_arenas_over_whole_table(spark):
+    got = {}
+    for r in registry.queries()["find_arenas"](spark, D).collect():
+        got.setdefault(r.roi, []).append((r.cx, r.cy, r.r))
+    plates = {}
+    for r in registry._bg(spark, D, 0.9).collect():
+        plates.setdefault(r.roi, {})[r.pix] = r.value
+    for roi, p in plates.items():
+        img = np.array([p[k] for k in range(64)], dtype=np.uint8).reshape(8, 8)
+        values = sorted(img.reshape(-1).tolist())
+        between = lambda t: (lambda a, b: len(a) * len(b) * (np.mean(a) - np.mean(b)) ** 2 if a and b else 0.0)([v for v in values if v <= t], [v for v in values if v > t])
+        level = max(range(256), key=lambda t: (round(between(t), 4), -t))
+        want = sorted((plain_circle([(x, y) for y, x in part]) for part in plain_parts(img > level)), key=str)
+        assert len(want) == len(got[roi]) and np.allclose(sorted(want), sorted(got[roi]), atol=1e-5)
+
+
+def test_segmenter():
+    assert engine.segmenter() is kernels.find_port and engine.segmenter("x", len) is len
+    with pytest.warns(UserWarning):
+        assert engine.segmenter("other") is kernels.find_port

@@ -122,13 +122,52 @@ def model(stack: DataFrame, side: int, **settings) -> DataFrame:
     return stack.groupBy("roi").applyInPandas(run, INFO)
 
 
-def enclosing_circle(x: np.ndarray, y: np.ndarray, rounds: int = 2000) -> tuple[float, float, float]:
-    """Nearly the least circle around points: its centre moves towards the farthest one by ever smaller steps."""
-    cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
-    for k in range(1, rounds):
-        i = np.argmax((x - cx) ** 2 + (y - cy) ** 2)
-        cx, cy = cx + (x[i] - cx) / (k + 1) / 4, cy + (y[i] - cy) / (k + 1) / 4
-    return float(cx), float(cy), float(np.sqrt(((x - cx) ** 2 + (y - cy) ** 2).max()))
+def _hull(points: np.ndarray) -> list[tuple[float, float]]:
+    """Corners of the convex hull, from the points sorted by x and y."""
+    own = sorted(set(map(tuple, points.tolist())))
+
+    def half(ps):
+        out: list[tuple[float, float]] = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out
+
+    return own if len(own) < 3 else half(own)[:-1] + half(own[::-1])[:-1]
+
+
+def _through(*p: tuple[float, float]) -> tuple[float, float, float]:
+    """The least circle with one, two or three points on its rim; of three in a line, that of the outermost."""
+    if len(p) == 1:
+        return (*p[0], 0.0)
+    if len(p) == 3:
+        (ax, ay), (bx, by), (cx, cy) = p
+        d = 2 * ((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+        if d:
+            b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
+            ux, uy = ((cy - ay) * b2 - (by - ay) * c2) / d, ((bx - ax) * c2 - (cx - ax) * b2) / d
+            return ax + ux, ay + uy, math.hypot(ux, uy)
+        p = min(p), max(p)
+    (ax, ay), (bx, by) = p
+    return (ax + bx) / 2, (ay + by) / 2, math.hypot(ax - bx, ay - by) / 2
+
+
+def enclosing_circle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """The least circle around points: a point outside the circle so far lies on the rim of the next one."""
+    points = _hull(np.stack([x, y], axis=1).astype(np.float64))
+    out = lambda c, p: math.hypot(p[0] - c[0], p[1] - c[1]) > c[2] + 1e-9
+    circle = _through(points[0])
+    for i, p in enumerate(points):
+        if out(circle, p):
+            circle = _through(p)
+            for j, q in enumerate(points[:i]):
+                if out(circle, q):
+                    circle = _through(p, q)
+                    for r in points[:j]:
+                        if out(circle, r):
+                            circle = _through(p, q, r)
+    return circle
 
 
 def find_arenas(img: np.ndarray, expected: int | None = None, least: float = 0.01) -> list[tuple[float, float, float]]:
@@ -210,3 +249,17 @@ def find_circles(img: np.ndarray, expected: int = 4, radii: tuple[float, float]
         if len(np.unique((np.arctan2(y[rim] - cy, x[rim] - cx) * 36 / math.pi).astype(int))) >= least * 72:
             found.append((float(cx), float(cy), float(away[rim].mean())))
     return sorted(found, key=lambda c: -c[2])[:expected]
+
+
+def arenas(bg: DataFrame, side: int, expected: int | None = None, least: float = 0.01) -> DataFrame:
+    """roi, rank, cx, cy, r: the arenas found in each background."""
+    images = bg.groupBy("roi").agg(F.sort_array(F.collect_list(F.struct("pix", "value"))).alias("p")).select("roi", F.col("p.value").alias("v"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [(roi, k, *c) for roi, v in zip(b["roi"], b["v"], strict=True) for k, c in enumerate(find_arenas(np.asarray(v).reshape(side, side).astype(np.uint8), expected, least))]
+            yield pd.DataFrame(out, columns=["roi", "rank", "cx", "cy", "r"])
+
+    return images.mapInPandas(run, "roi int, rank int, cx double, cy double, r double")

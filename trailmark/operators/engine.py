@@ -3,6 +3,7 @@ places (n, k, 2) in the crop and scores (n, k)."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -81,3 +82,15 @@ def build(backend: str, names: Sequence[str]) -> Callable:
     if backend in ("", "mock"):
         return mock([(0.0, 0.0)] * len(names))
     raise ImportError(f"no engine {backend!r} here: pass one, a function of images or an object with predict(tracks)")
+
+
+def segmenter(backend: str = "classical", engine: Callable | None = None) -> Callable:
+    """What finds a port in an image, given its middle and radius: the radial edge filter, or an engine of one's own.
+    Where none is given for another backend, a warning is issued and the filter serves."""
+    from .kernels import find_port
+
+    if engine is not None:
+        return engine
+    if backend not in ("", "classical"):
+        warnings.warn(f"no port engine {backend!r} here; the classical one serves", stacklevel=2)
+    return find_port

@@ -395,3 +395,24 @@ def crops(stack: DataFrame, places: DataFrame, side: int, size: int, pad: str =
             yield pd.DataFrame({"roi": b["roi"], "sample": b["sample"], "x0": [g[1] for g in got], "y0": [g[2] for g in got], "out_of_bounds": [g[3] for g in got], "v": [g[0].reshape(-1).astype(int).tolist() for g in got]})
 
     return rows.mapInPandas(run, "roi int, sample bigint, x0 int, y0 int, out_of_bounds boolean, v array<int>")
+
+
+def fan_out(stack: DataFrame, boxes: DataFrame, side: int, scale: int = 1, stride: int = 1) -> DataFrame:
+    """name, roi, sample, v: of every stride-th image the crop of each box (name, x0, y0, size; a few), scaled down by
+    means of scale x scale pixels, rounded. Each image is read once, whatever the number of boxes."""
+    images = stack.where(F.col("sample") % stride == 0).groupBy("roi", "sample").agg(F.sort_array(F.collect_list(F.struct("pix", "v"))).alias("p")).select("roi", "sample", F.col("p.v").alias("v"))
+    own = [tuple(r) for r in boxes.select("name", "x0", "y0", "size").collect()]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for roi, sample, v in zip(b["roi"], b["sample"], b["v"], strict=True):
+                img = np.asarray(v).reshape(side, side)
+                for name, x0, y0, size in own:
+                    part = shrunk(img[y0 : y0 + size, x0 : x0 + size], scale)
+                    out.append((name, roi, sample, np.rint(part).astype(int).reshape(-1).tolist()))
+            yield pd.DataFrame(out, columns=["name", "roi", "sample", "v"])
+
+    return images.mapInPandas(run, "name string, roi int, sample bigint, v array<int>")

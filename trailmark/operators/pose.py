@@ -180,13 +180,13 @@ def largest(parts: DataFrame, n: int, key: list[str], order: list[str]) -> DataF
 
 
 def round_parts(parts: DataFrame, key: list[str], apart: float, radii: tuple[float, float], round_min: float = 0.65, fill_min: float = 0.55) -> DataFrame:
-    """key, cx, cy, r, score of the parts (area, perimeter, cx, cy, r) that look like disks, best first, each at least
+    """key, cx, cy, r, score (to nine places) of the parts (area, perimeter, cx, cy, r) that look like disks, best first, each at least
     `apart` from the better ones. An image's parts are few, and folded in order."""
     circle = 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))
     fill = F.col("area") / (math.pi * F.col("r") * F.col("r"))
     own = parts.where((F.col("perimeter") > 0) & F.col("r").between(*radii)).withColumns({"_c": circle, "_f": fill}).where((F.col("_c") >= round_min) & (F.col("_f") >= fill_min))
     own = own.where(F.col("area").between(math.pi * radii[0] ** 2, math.pi * radii[1] ** 2))
-    best = own.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("_c") * F.col("_f")).alias("s"), "cx", "cy", "r"))).alias("p"))
+    best = own.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.round(F.col("_c") * F.col("_f"), 9)).alias("s"), "cx", "cy", "r"))).alias("p"))
     empty = F.expr("cast(array() as array<struct<s:double,cx:double,cy:double,r:double>>)")
     near = lambda a, b: (a["cx"] - b["cx"]) * (a["cx"] - b["cx"]) + (a["cy"] - b["cy"]) * (a["cy"] - b["cy"]) < apart * apart
     kept = F.aggregate("p", empty, lambda held, c: F.when(F.exists(held, lambda h: near(h, c)), held).otherwise(F.concat(held, F.array(c))))

@@ -127,7 +127,7 @@ def timing_head(s, d):
 
 # rows
 
-@query("SELECT p_partkey, p_size - 90 AS angle_deg, p_size * 2.0::double AS major, p_retailprice * 4 AS area, 0 AS contour_n, (p_size * 2.5 + 40)::double AS x_full, ((p_size * 2.5 + 40) - 40) / 2.5::double AS x_scaled, (p_size * 3.0)::double AS x_display, p_size::double AS x_crop FROM part")
+@query("SELECT p_partkey, (p_size - 90)::double AS angle_deg, p_size * 2.0::double AS major, p_retailprice * 4 AS area, 0 AS contour_n, (p_size * 2.5 + 40)::double AS x_full, ((p_size * 2.5 + 40) - 40) / 2.5::double AS x_scaled, (p_size * 3.0)::double AS x_display, p_size::double AS x_crop FROM part")
 def row_forms(s, d):
     p = views.table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("area"))
     out = geometry.rescale_observation(p.withColumns({"major": F.col("size"), "minor": F.col("size")}), 2.0).withColumn("x_full", geometry.scaled_to_full(F.col("size"), 2.5, 40.0))
@@ -570,3 +570,23 @@ def arena_masks(s, d):
     made = {"inscribed": kernels.inscribed(20, 32), "arena": kernels.disk(24, 0.92), "wide": kernels.disk(24, 0.97), "roi": kernels.roi_mask(30, 40, 13.5, 17.25, 8.5), "scaled": kernels.roi_mask(30, 40, 13.5, 17.25, 8.5, 2)}
     rows = [(k, y, int(row.sum()), int(row.argmax())) for k, m in made.items() for y, row in enumerate(m) if row.any()]
     return s.createDataFrame(rows, "mask string, y int, n int, first int")
+
+
+@query(with_views("stack", ", bx AS (SELECT * FROM (VALUES ('a', 0, 0, 4), ('b', 3, 2, 5), ('c', 4, 4, 4)) t(name, x0, y0, size)), px AS (SELECT name, roi, sample, (pix // 8 - y0) // 2 AS i, (pix % 8 - x0) // 2 AS j, v FROM stack, bx WHERE sample % 3 = 0 AND pix % 8 BETWEEN x0 AND x0 + size - 1 AND pix // 8 BETWEEN y0 AND y0 + size - 1), m AS (SELECT name, roi, sample, i, j, round_even(avg(v), 0)::int AS v FROM px GROUP BY ALL) SELECT name, roi, sample, string_agg(v::varchar, ',' ORDER BY i, j) AS v FROM m GROUP BY 1, 2, 3"))
+def fan_out(s, d):
+    boxes = s.createDataFrame([("a", 0, 0, 4), ("b", 3, 2, 5), ("c", 4, 4, 4)], "name string, x0 int, y0 int, size int")
+    return kernels.fan_out(views.stack(s, d), boxes, 8, 2, 3).withColumn("v", F.array_join("v", ","))
+
+
+@query("SELECT s_name AS path, s_suppkey AS size, s_nationkey AS mtime FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 5 = 0")
+def stale_files(s, d):
+    f = views.table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("path"), F.col("s_suppkey").alias("size"), F.col("s_nationkey").alias("mtime"))
+    k = F.col("s_suppkey")
+    staged = f.where(k % 3 != 0).withColumns({"size": F.when(k % 7 == 0, F.col("size") + 1).otherwise(F.col("size")), "mtime": F.when(k % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime"))})
+    return videos.stale(f, staged).select("path", "size", "mtime")
+
+
+@query()
+def find_arenas(s, d):
+    """Brute force in the tests."""
+    return _round(backgrounds.arenas(_bg(s, d, 0.9), 8), "cx", "cy", "r")

@@ -89,3 +89,8 @@ def output_path(path: Column, kind: str, fmt: str = "parquet", top: str = "") ->
     """<top or the video's folder>/<stem>_<kind>.<fmt>"""
     base = F.lit(top.rstrip("/") + "/") if top else folder(path)
     return F.concat(base, stem(path), F.lit(f"_{kind}.{fmt}"))
+
+
+def stale(files: DataFrame, staged: DataFrame) -> DataFrame:
+    """Files (path, size, mtime) whose staged copy is missing, or of another size or time."""
+    return files.join(staged.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
