@@ -48,9 +48,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, http: bool =
     ids = base.where(small).select("page_id", "digest", "n")
     first = ids.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
     first = common.materialize(first, "first")
-    if first.count() <= common.BROADCAST_ROWS:
-        first = F.broadcast(first)
-    out = base.join(first, ["digest", "n"], "left")
+    out = base.join(common.small(first), ["digest", "n"], "left")
     again = small & F.col("refers_to").isNotNull() & (F.col("refers_to") != F.col("page_id"))
     has_id = F.col("page_id").isNotNull()
     http_bytes = len(HTTP) if http else 0
@@ -232,8 +230,7 @@ def _assembled(spark, path: str, out: DataFrame, real: DataFrame, parts: DataFra
     pieces = _pieces(spark, path).mapInArrow(locate, "file string, block bigint, value binary, rel bigint")
     tail = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = pieces.groupBy("file", "block").agg(F.sum(F.octet_length("value") + len(MAGIC)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(tail), F.lit(0)).alias("base"))
-    few = F.broadcast(wanted) if wanted.count() <= common.BROADCAST_ROWS else wanted
-    pieces = pieces.join(base, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - len(MAGIC)).join(few, ["file", "at"]).select("file", "owner", "at", "value")
+    pieces = pieces.join(base, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - len(MAGIC)).join(common.small(wanted), ["file", "at"]).select("file", "owner", "at", "value")
 
     def join(pdf):
         pdf = pdf.sort_values("at", kind="stable")
