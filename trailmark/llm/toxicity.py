@@ -30,10 +30,16 @@ from . import common
 SAMPLE = 40_000
 #: Features of the model at most.
 FEATURES = 50_000
+#: A word's beginning may weigh so much less than the word.
+TELLING = 0.25
+#: Features that a task holds at most before it passes them on.
+COUNTED = 500_000
 CACHE = 400_000
 #: Letters that leetspeak characters stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l"}
 SYMBOLS = 60
+#: Marks that may stand before and after a word.
+OPENING, CLOSING = "\"'([{<«„“‘¿", ".,;:!?\"')]}>»“”’"
 #: Longer words are decoded in windows of SPAN characters that overlap by half.
 SPAN = 64
 #: Windows of letters set apart: a longer word is found by its beginning.
@@ -161,16 +167,12 @@ class Restorer:
         return out
 
     def read(self, w: str) -> list[str]:
-        a, b = 0, len(w)
-        while a < b and w[a] in "\"'([{<«„“‘¿":
-            a += 1
-        while b > a and w[b - 1] in ".,;:!?\"')]}>»“”’":
-            b -= 1
-        core = w[a:b]
+        w = w.lstrip(OPENING)
+        core = w.rstrip(CLOSING)
         if core.isalpha():
             return self.lettered(core)
         out = self.marked(core)
-        return out + self.decode_long(w[a:]) if b < len(w) and out else out
+        return out + self.decode_long(w) if len(core) < len(w) and out else out
 
     def marked(self, core: str) -> list[str]:
         letters = "".join(c for c in core if c.isalpha())
@@ -204,27 +206,73 @@ def spaced(words: list[str]) -> Iterator[str]:
                         yield run[i : i + n]
 
 
+def beginning(word: str) -> str:
+    """The first three letters without repeats: those of every reading of a word of letters."""
+    return "".join(c for c, _ in itertools.groupby(word))[:3]
+
+
 class Weights(dict):
     """The weight of a raw word; remembers."""
 
     def __init__(self, restorer: Restorer, model: dict[str, float]):
         super().__init__()
         self.restorer, self.model = restorer, model
+        #: What a word of letters must begin with for any feature of the model; whole words under three letters
+        #: are features of such words only.
+        starts = [(f, beginning(f[1:])) for f in model]
+        self.begin = {x for f, x in starts if len(x) > 2 or f[0] == "^"}
+        self.brief = {x for _, x in starts if len(x) < 3}
 
     def __missing__(self, raw: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        get = self.model.get
-        w = self[raw] = max((get(f, 0.0) for word in self.restorer.words(raw) for f in features(word)), default=0.0)
+        w = self[raw] = self.weigh(raw)
         return w
 
-    def summary(self, text: str) -> float:
-        """The strongest weight; the second and the number of strong ones count a tenth, so that one
-        strong word is enough."""
-        words = text.split()
-        strong = {x: w for x in itertools.chain(set(words), spaced(words)) if (w := self[x]) > 0.5}
-        got = sorted(strong.values(), reverse=True)
-        return sum(got[:1]) + 0.1 * sum(got[1:2]) + 0.1 * math.log1p(sum(w > 2 for w in got))
+    def weigh(self, raw: str) -> float:
+        core = raw.lower().lstrip(OPENING).rstrip(CLOSING)
+        get = self.model.get
+        doubled = DOUBLED.search(core)
+        if core.isalpha() and not (doubled and REPEATED.search(core)):
+            start = beginning(core) if doubled else core[:3]
+            if not (start in self.begin or start[:2] in self.begin or start[:1] in self.begin or (len(start) < 3 and start in self.brief)):
+                return 0.0
+            if not doubled:
+                return max(get(f, 0.0) for f in features(core))
+        return max((get(f, 0.0) for word in self.restorer.words(raw) for f in features(word)), default=0.0)
+
+    def summaries(self, texts: pa.Array) -> list[float]:
+        """For each text its strongest weight; the second and the number of strong ones count a tenth, so that
+        one strong word is enough."""
+        words = common.Words(texts)
+        weight = np.fromiter(map(self.__getitem__, words.distinct), dtype=np.float64, count=len(words.distinct))
+        found: dict[int, dict[str, float]] = {}
+        hits = np.flatnonzero(weight[words.at] > 0.5)
+        for doc, k in zip(np.searchsorted(words.ends, hits, side="right").tolist(), words.at[hits].tolist(), strict=True):
+            found.setdefault(doc, {})[words.distinct[k]] = weight[k]
+        for doc, own in apart(words):
+            for x in spaced(own):
+                if (w := self[x]) > 0.5:
+                    found.setdefault(doc, {})[x] = w
+        out = [0.0] * len(words.ends)
+        for doc, strong in found.items():
+            got = sorted(strong.values(), reverse=True)
+            out[doc] = sum(got[:1]) + 0.1 * sum(got[1:2]) + 0.1 * math.log1p(sum(w > 2 for w in got))
+        return out
+
+
+def apart(words: common.Words) -> Iterator[tuple[int, list[str]]]:
+    """(text, single characters) of each run of three or more single characters in a text."""
+    single = np.fromiter(map(len, words.distinct), dtype=np.int64, count=len(words.distinct))[words.at] == 1
+    edge = np.zeros(len(single) + 1, dtype=bool)  # where a text begins
+    edge[np.minimum(words.ends, len(single))] = True
+    edge[0] = True
+    start = np.flatnonzero(single & (edge[:-1] | ~np.concatenate([[False], single[:-1]])))
+    after = single & (edge[1:] | ~np.concatenate([single[1:], [False]]))
+    end = np.flatnonzero(after) + 1
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        if b - a > 2:
+            yield int(np.searchsorted(words.ends, a, side="right")), [words.distinct[k] for k in words.at[a:b].tolist()]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
@@ -260,36 +308,67 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = common.materialize(labelled(docs, labels, "toxic", sample), "toxic-sample").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0)
 
     def count(batches):
+        """Documents of each kind that have a feature. Sums are passed on, and a text's features counted, before
+        there are too many of them: a text of very many letters set apart counts some of its features more than once."""
         restorer, cache, total = Restorer(held.value), {}, {}
+
+        def of(raw):
+            fs = cache.get(raw)
+            if fs is None:
+                if len(cache) > 100_000:
+                    cache.clear()
+                fs = cache[raw] = tuple({f for w in restorer.words(raw) for f in features(w)})
+            return fs
+
+        def add(found, y):
+            for f in found:
+                c = total.get(f)
+                if c is None:
+                    c = total[f] = [0, 0]
+                c[y] += 1
+            found.clear()
+
+        def out():
+            batch = pa.record_batch([pa.array(list(total), pa.string()), pa.array([c[1] for c in total.values()], pa.int64()), pa.array([c[0] for c in total.values()], pa.int64())], ["f", "t", "c"])
+            total.clear()
+            return batch
+
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.split()
-                found = set()
-                for raw in itertools.chain(set(words), spaced(words)):
-                    fs = cache.get(raw)
-                    if fs is None:
-                        if len(cache) > 100_000:
-                            cache.clear()
-                        fs = cache[raw] = tuple({f for w in restorer.words(raw) for f in features(w)})
-                    found.update(fs)
-                for f in found:
-                    c = total.get(f)
-                    if c is None:
-                        c = total[f] = [0, 0]
-                    c[y] += 1
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([c[1] for c in total.values()], pa.int64()), pa.array([c[0] for c in total.values()], pa.int64())], ["f", "t", "c"])
+            words = common.Words(b.column(0))
+            runs: dict[int, list[list[str]]] = {}
+            for doc, own in apart(words):
+                runs.setdefault(doc, []).append(own)
+            start, found = 0, set()
+            for doc, (end, y) in enumerate(zip(words.ends.tolist(), b.column(1).to_pylist(), strict=True)):
+                raws = (words.distinct[k] for k in np.unique(words.at[start:end]).tolist())
+                for raw in itertools.chain(raws, *map(spaced, runs.get(doc, ()))):
+                    found.update(of(raw))
+                    if len(found) > COUNTED:
+                        add(found, y)
+                        if len(total) > COUNTED:
+                            yield out()
+                add(found, y)
+                start = end
+            if len(total) > COUNTED:
+                yield out()
+        yield out()
 
     sizes = {r["y"]: r["n"] for r in rows.where("not half").groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     got = rows.where("not half").select("text", "y").mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3").withColumn("w", odds).where("w > 0.5").select("f", "w")
+    got = common.materialize(got, "toxic-odds")
+    # a beginning must tell as much as the words it was learnt from, else it stands for other words too
+    whole = got.where(F.col("f").startswith("=")).select(F.explode(F.array(*[F.concat(F.lit("^"), F.substring("f", 2, k)) for k in (4, 5, 6)])).alias("f"), F.col("w").alias("own"))
+    whole = whole.groupBy("f").agg(F.max("own").alias("own"))
+    got = got.join(whole, "f", "left").where(F.col("f").startswith("=") | F.col("own").isNull() | (F.col("w") >= F.col("own") - TELLING)).select("f", "w")
     model = {r["f"]: r["w"] for r in common.highest(got, "w", FEATURES, "toxic-features").collect()}
     model_held = spark.sparkContext.broadcast(model)
 
     def summarise(batches):
         weights = Weights(Restorer(held.value), model_held.value)
         for b in batches:
-            yield pa.record_batch([pa.array([weights.summary(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "y"])
+            yield pa.record_batch([pa.array(weights.summaries(b.column(0)), pa.float64()), b.column(1)], ["x", "y"])
 
     fit = rows.where("half").select("text", "y").mapInArrow(summarise, "x double, y int").toArrow()
     y = fit.column("y").to_numpy().astype(np.float64)
@@ -312,7 +391,7 @@ def _scored(docs: DataFrame, labels: DataFrame, sample: int, threshold: float) -
         costs, model, w = held.value
         weights = Weights(Restorer(costs), model)
         for b in batches:
-            x = np.array([weights.summary(t) for t in b.column(1).to_pylist()]).reshape(-1, 1)
+            x = np.array(weights.summaries(b.column(1))).reshape(-1, 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
