@@ -2,7 +2,9 @@
 
 Equal texts are atomic: a text's hash gives its slot on a ring of `ring` ordered atomic groups.
 The group sizes (a bounded table, `ring` numbers at most) reach the driver, which binary-searches
-the smallest capacity that a greedy left-to-right filling can meet, and cuts there.
+the smallest capacity that a greedy left-to-right filling can meet. Of the cuts that keep to it those are
+taken that are most even beside single large groups, so that no shard is left over. With more than `ring`
+texts the capacity is the least for the groups.
 
 Null text: size 1, as an empty one. Null doc_id: kept as null. Repeated rows: each gets a slot.
 Empty table: empty result. Extra columns are ignored.
@@ -36,11 +38,8 @@ def greedy(sizes: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return starts
 
 
-def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
-    """(smallest feasible capacity, first group of each shard that has any)."""
-    if not len(sizes):
-        return 0, []
-    sizes = np.asarray(sizes, dtype=np.int64)
+def least_capacity(sizes: np.ndarray, shards: int) -> int:
+    """The smallest capacity that greedy filling can meet."""
     low, high = max(int(sizes.max()), -(-int(sizes.sum()) // shards)), int(sizes.sum())
     while low < high:
         mid = (low + high) // 2
@@ -48,7 +47,57 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = mid + 1
         else:
             high = mid
-    return low, greedy(sizes, low, shards)
+    return low
+
+
+def even_cuts(sizes: np.ndarray, shards: int) -> list[int]:
+    """First group of each shard. A shard of one group may have any size, so that a large group doesn't leave the others
+    uneven: the others' largest is the least possible, and then the smallest shard the largest possible (both
+    by halving; which cuts can be reached follows from running counts)."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(sizes)
+
+    def reach(floor: int, cap: int) -> list[np.ndarray] | None:
+        """For each number of shards, which cuts they can end at."""
+        first, last = np.searchsorted(total, total - cap, side="left"), np.searchsorted(total, total - floor, side="right")
+        alone = np.concatenate([[False], sizes >= floor])
+        now = np.zeros(n + 1, dtype=bool)
+        now[0] = True
+        out = [now]
+        for _ in range(shards):
+            held = np.concatenate([[0], np.cumsum(out[-1])])
+            out.append((held[np.maximum(last, first)] > held[first]) | (alone & np.concatenate([[False], out[-1][:-1]])))
+        return out if out[-1][n] else None
+
+    low, high = 0, int(sizes.sum())
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if reach(0, mid) else (mid + 1, high)
+    cap, low, high, best = low, 0, int(sizes.sum()) // shards, reach(0, low)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if got := reach(mid, cap):
+            low, best = mid, got
+        else:
+            high = mid - 1
+    cuts, end = [], n
+    for k in range(shards, 0, -1):
+        a = np.searchsorted(total, total[end] - cap, side="left")
+        at = a + np.flatnonzero(best[k - 1][a : np.searchsorted(total, total[end] - low, side="right")])
+        if not len(at):
+            at = np.array([end - 1])
+        end = int(at[np.argmin(np.abs(total[end] - total[at] - (low + cap) / 2))])
+        cuts.append(end)
+    return cuts[::-1]
+
+
+def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
+    """(smallest feasible capacity, first group of each shard; equal ones where a shard is empty)."""
+    if not len(sizes):
+        return 0, []
+    sizes = np.asarray(sizes, dtype=np.int64)
+    capacity = least_capacity(sizes, shards)
+    return capacity, even_cuts(sizes, shards)
 
 
 def partition(docs: DataFrame, shards: int = 16, ring: int = RING) -> DataFrame:
@@ -69,7 +118,7 @@ def partition(docs: DataFrame, shards: int = 16, ring: int = RING) -> DataFrame:
     order = np.argsort(grp)
     grp, size = grp[order], size[order]
     _, starts = minimax_cuts(size, shards)
-    cuts = [int(grp[s]) for s in starts]
+    cuts = [int(grp[s]) if s < len(grp) else ring for s in starts]
     shard = F.lit(0)
     for k, c in enumerate(cuts[1:], 1):
         shard = F.when(F.col("grp") >= c, k).otherwise(shard)
