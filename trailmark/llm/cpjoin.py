@@ -37,9 +37,10 @@ _ODD = common.mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
 def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, depth: int = DEEPEST) -> int:
-    """A pair at the threshold of sets of equal size n shares 2t/(1+t) n tokens, each of which is
-    chosen with probability 1/(t n): Poisson-many common children, at each depth, down to the deepest."""
-    mean, found = 2 / (1 + threshold), 1.0
+    """Of a pair at the threshold t, the larger set of size n, at least t n tokens are shared (just so many where one
+    set holds the other), and each is chosen by both with probability 1/(t n): Poisson-many common children with
+    a mean of one at least, at each depth, down to the deepest."""
+    mean, found = 1.0, 1.0
     for _ in range(depth):
         found = 1 - math.exp(-mean * found)
     return math.ceil(math.log(1 - target) / math.log(1 - found))
