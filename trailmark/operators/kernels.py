@@ -8,6 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed values of the port's search: least response in gray levels, and, as shares of the arena's radius, how far from
+#: the middle it may be, and the least and greatest radius.
+PORT_RESPONSE, PORT_OFFSET, PORT_RADII = 4.0, 0.30, (0.04, 0.14)
+#: Fixed values of the search's two passes: deviations of the blur, and points of the rim.
+PORT_BLUR, PORT_POINTS = (1.2, 2.0), (36, 64)
+
 
 def em_two(x: np.ndarray, reg: float = 1e-3, iterations: int = 100) -> tuple[np.ndarray, ...]:
     """Two normal components for each column of x (samples x pixels): means, variances, weight of the
@@ -268,7 +274,7 @@ def shrunk(img: np.ndarray, n: int) -> np.ndarray:
     return sums / np.outer(np.minimum(n, h - np.arange(0, h, n)), np.minimum(n, w - np.arange(0, w, n)))
 
 
-def find_port(img: np.ndarray, center: tuple[float, float], r_arena: float, least: float = 4.0, off_centre: float = 0.30, radii: tuple[float, float] = (0.04, 0.14)) -> tuple[float, ...] | None:
+def find_port(img: np.ndarray, center: tuple[float, float], r_arena: float, least: float = PORT_RESPONSE, off_centre: float = PORT_OFFSET, radii: tuple[float, float] = PORT_RADII) -> tuple[float, ...] | None:
     """(cx, cy, r, conf, offset) of the best dark disk near the centre: by whole pixels of an image scaled down to
     about 240 pixels a radius, then around that place; none in an arena under 8 pixels, below the least response, or
     off the centre."""
@@ -279,16 +285,16 @@ def find_port(img: np.ndarray, center: tuple[float, float], r_arena: float, leas
     high = max(low + 1, radii[1] * r_arena)
     n = max(1, round(r_arena / 240))
     span = lambda c, d, q=1: np.arange(int((c - d) / q), int((c + d) / q) + 1, dtype=np.float64)
-    coarse = radial_edge(*gradients(shrunk(img, n), 1.2), span(cx, reach, n), span(cy, reach, n), np.arange(low / n, high / n + 1e-6), 36)
+    coarse = radial_edge(*gradients(shrunk(img, n), PORT_BLUR[0]), span(cx, reach, n), span(cy, reach, n), np.arange(low / n, high / n + 1e-6), PORT_POINTS[0])
     x, y, r, d = coarse[1] * n, coarse[2] * n, coarse[3] * n, n + 1
-    response, x, y, r = radial_edge(*gradients(img, 2.0), span(x, d), span(y, d), np.arange(max(low, r - d), min(high, r + d) + 1e-6), 64)
+    response, x, y, r = radial_edge(*gradients(img, PORT_BLUR[1]), span(x, d), span(y, d), np.arange(max(low, r - d), min(high, r + d) + 1e-6), PORT_POINTS[1])
     if response < least or math.hypot(x - cx, y - cy) > reach:
         return None
     return x, y, r, min(1.0, response / (4 * least)), math.hypot(x - cx, y - cy) / max(1.0, r_arena)
 
 
-def ports_from_stack(bg: DataFrame, side: int, least: float = 4.0) -> DataFrame:
-    """The port of each arena's background; arenas without a clear one have no row. The median radius of all is added."""
+def ports_from_stack(bg: DataFrame, side: int, least: float = PORT_RESPONSE) -> DataFrame:
+    """The port of each arena's background; arenas without a clear one have no row."""
     images = bg.groupBy("roi").agg(F.sort_array(F.collect_list(F.struct("pix", "value"))).alias("p")).select("roi", F.col("p.value").alias("v"))
 
     def run(batches):
