@@ -542,7 +542,7 @@ def oracle_sql() -> dict[str, str]:
         "floor_level": with_views("stack", f", {_BG.format(p=0.9)}, m AS (SELECT roi, median(value) AS m FROM bg GROUP BY 1) SELECT roi, median(value)::double AS floor FROM bg JOIN m USING (roi) WHERE value >= m GROUP BY 1"),
         "stuck_coverage": with_views("tracks rois", f", c AS (SELECT video, roi, count(*) / 3000.0::double AS c FROM tracks WHERE roi <> 'arena_02' GROUP BY 1, 2) SELECT video, roi, {_r('coalesce(c, 1.0::double)')} AS coverage, coalesce(c, 1.0::double) < 0.8 AS is_stuck FROM rois CROSS JOIN (SELECT DISTINCT video FROM tracks WHERE roi <> 'arena_02') LEFT JOIN c USING (video, roi)"),
         "link_tracks": with_views("candidates rois", f"{_link(False)} SELECT video, roi, frame, x, y FROM link WHERE frame >= 0 AND x IS NOT NULL", recursive=True),
-        "link_trace": with_views("candidates rois", f"{_link(False)} SELECT video, roi, frame, gate, x IS NULL AS missed, {_r('pred_x')} AS pred_x, {_r('pred_y')} AS pred_y, n_candidates, chosen FROM link WHERE frame >= 0", recursive=True),
+        "link_trace": with_views("candidates rois", f"{_link(False)} SELECT video, roi, frame, gate, x IS NULL AS missed, {_r('pred_x')} AS pred_x, {_r('pred_y')} AS pred_y, n_candidates::int AS n_candidates, chosen::int AS chosen FROM link WHERE frame >= 0", recursive=True),
         "link_kalman": with_views("candidates rois", f"{_link(True)} SELECT video, roi, frame, {_r('x')} AS x, {_r('y')} AS y, gate, x IS NULL AS missed, {_r('pred_x')} AS pred_x, {_r('pred_y')} AS pred_y FROM link WHERE frame >= 0", recursive=True),
         "flag_speed_rollup": with_views("tracks rois", f", {_KIN} SELECT video, roi, count(*) AS n, {_r('avg(speed_mm_s)')} AS mean FROM kin GROUP BY ROLLUP (video, roi)"),
     }
