@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of the largest table that is broadcast after a count, by the width of its rows.
 BROADCAST_BYTES = 16 << 20
 
+#: Bits of a Bloom filter for a key, the number of keys up to which it grows, and its blocks.
+BITS_A_KEY, KEYS_AT_MOST, BLOCKS = 16, 1 << 26, 512
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -158,3 +161,54 @@ def highest(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
             break
         cut = r["_class"]
     return df.where(F.col("_class") >= cut if cut is not None else F.lit(False)).drop("_class")
+
+
+class Bloom:
+    """A Bloom filter of 64-bit keys in blocks, a block for the keys of equal highest bits. Its size follows from the
+    number of keys, up to a bound; about one in 200 other keys passes, beyond the bound more."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def width(keys: int) -> int:
+        """Bits of a block, a power of two."""
+        return 1 << max(10, min(keys, KEYS_AT_MOST) * BITS_A_KEY // BLOCKS - 1).bit_length()
+
+    @staticmethod
+    def places(h: np.ndarray, width: int) -> list[np.ndarray]:
+        """A key's bits in its block."""
+        m = mix64(h)
+        return [((m >> np.uint64(21 * k)) & np.uint64(width - 1)).astype(np.int64) for k in range(3)]
+
+    def inside(self, h: np.ndarray) -> np.ndarray:
+        width = len(self.bits) * 8 // BLOCKS
+        base = (h >> np.uint64(55)).astype(np.int64) * width
+        out = np.ones(len(h), dtype=bool)
+        for p in self.places(h, width):
+            at = base + p
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Bloom:
+        """The filter of a table's only column, bigint; the table should have been written before."""
+        width, name = cls.width(keys.count()), keys.columns[0]
+
+        def fill(batches):
+            block: dict[int, np.ndarray] = {}
+            for b in batches:
+                h = b.column(0).to_numpy().view(np.uint64)
+                own = (h >> np.uint64(55)).astype(np.int64)
+                for k in np.unique(own).tolist():
+                    bits = block.setdefault(k, np.zeros(width // 8, dtype=np.uint8))
+                    for at in cls.places(h[own == k], width):
+                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.record_batch([pa.array(list(block), pa.int32()), pa.array([x.tobytes() for x in block.values()], pa.binary())], ["block", "bits"])
+
+        # a block is filled in one task: the driver gets each byte of the filter once
+        filled = keys.repartition(F.shiftrightunsigned(name, 55)).mapInArrow(fill, "block int, bits binary")
+        bits = np.zeros((BLOCKS, width // 8), dtype=np.uint8)
+        for r in filled.toLocalIterator():
+            bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+        return cls(bits.reshape(-1))

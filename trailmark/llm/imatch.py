@@ -4,7 +4,7 @@ Terms (white-space words, case folded, without outer punctuation) get their exac
 over all documents. Terms within the band of inverse document frequency are kept, sorted and distinct,
 and hashed once for each of 40 randomised lexicon subsets, from the whole lexicon to a 256th of it.
 Tasks know the band by a Bloom filter whose size follows from the counted number of its terms: about one in
-200 terms outside passes; with more than TERMS_AT_MOST terms in the band more do, as the filter
+200 terms outside passes; with more than common.KEYS_AT_MOST terms in the band more do, as the filter
 doesn't grow further.
 
 Null or empty text: its terms are none, the text itself is hashed instead; so too if a text has
@@ -28,16 +28,12 @@ from . import common
 
 #: The band of document frequency: in two documents and a millionth of all at least, and in one of twenty at most.
 MIN_DOCS, MIN_SHARE, MAX_SHARE = 2, 1e-6, 0.05
-#: Bits of the filter for a term, and the number of terms up to which it grows.
-BITS_A_TERM, TERMS_AT_MOST = 16, 1 << 26
-#: The filter's blocks, and the probes in a block.
-BLOCKS, PROBES = 512, 3
 #: (share of the lexicon in 1/256, subsets).
 LEVELS = ((256, 1), (64, 7), (16, 8), (4, 12), (1, 12))
 SUBSETS = sum(n for _, n in LEVELS)
 #: A level's matches count as a likeness from so many subsets with terms.
 LEAST = 4
-CACHE = 700_000
+CACHE = 500_000
 #: Distinct terms that a task counts before it passes them on.
 HELD = 1 << 21
 
@@ -71,33 +67,6 @@ class Terms(dict):
         return [h[h != 0] for h in words.texts(known)]
 
 
-class Band:
-    """Which terms are in the band: a Bloom filter in blocks, a block for the terms of equal highest bits."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    @staticmethod
-    def width(terms: int) -> int:
-        """Bits of a block, a power of two."""
-        return 1 << max(10, min(terms, TERMS_AT_MOST) * BITS_A_TERM // BLOCKS - 1).bit_length()
-
-    @staticmethod
-    def places(h: np.ndarray, width: int) -> list[np.ndarray]:
-        """A term's bits in its block."""
-        m = common.mix64(h)
-        return [((m >> np.uint64(21 * k)) & np.uint64(width - 1)).astype(np.int64) for k in range(PROBES)]
-
-    def inside(self, h: np.ndarray) -> np.ndarray:
-        width = len(self.bits) * 8 // BLOCKS
-        base = (h >> np.uint64(55)).astype(np.int64) * width
-        out = np.ones(len(h), dtype=bool)
-        for p in self.places(h, width):
-            at = base + p
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms and the sums of their counts."""
     if not parts:
@@ -135,32 +104,15 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> Band:
+def lexicon(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> common.Bloom:
     """The terms in the band, from the document frequencies of all documents."""
     common.tune(docs.sparkSession)
     df = common.materialize(frequencies(docs), "document-frequency")
     total = (df.where("term = 0").agg(F.sum("n")).first() or [0])[0] or 0
     kept = df.where((F.col("term") != 0) & (F.col("n") >= max(min_docs, min_share * total)) & (F.col("n") <= max(min_docs, max_share * total))).select("term")
-    width = Band.width(kept.count())
-
-    def fill(batches):
-        block: dict[int, np.ndarray] = {}
-        for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            own = (h >> np.uint64(55)).astype(np.int64)
-            for k in np.unique(own).tolist():
-                bits = block.setdefault(k, np.zeros(width // 8, dtype=np.uint8))
-                for at in Band.places(h[own == k], width):
-                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.record_batch([pa.array(list(block), pa.int32()), pa.array([x.tobytes() for x in block.values()], pa.binary())], ["block", "bits"])
-
-    # a block is filled in one task: the driver gets each byte of the filter once
-    filled = kept.repartition(F.shiftrightunsigned("term", 55)).mapInArrow(fill, "block int, bits binary")
-    bits = np.zeros((BLOCKS, width // 8), dtype=np.uint8)
-    for r in filled.toLocalIterator():
-        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    band = common.Bloom.of(kept)
     common.discard(df)
-    return Band(bits.reshape(-1))
+    return band
 
 
 def subsets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +127,7 @@ def subsets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some, (common.mix64(total) >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprints_of(texts: list[str], terms: Terms, band: Band) -> list[tuple[np.ndarray, np.ndarray]]:
+def fingerprints_of(texts: list[str], terms: Terms, band: common.Bloom) -> list[tuple[np.ndarray, np.ndarray]]:
     """subsets() of each text's terms."""
     words = common.Words(pa.array(texts, pa.string()))
     known = np.fromiter(map(terms.__getitem__, words.distinct), dtype=np.uint64, count=len(words.distinct))
@@ -226,8 +178,12 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     ids = docs.select(key.alias("key"))
     bounds = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    part = F.size(F.filter(edges, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    # among the bounds in two steps: some of them first, then those between two of these
+    listed = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")
+    below = lambda x: F.size(F.filter(x, lambda b: b <= F.col("key")))
+    step = max(1, round(len(bounds) ** 0.5))
+    start = F.greatest(F.lit(0), below(listed(bounds[::step])) - 1) * step
+    part = start + below(F.slice(listed(bounds), start + 1, step)) if bounds else F.lit(0)
     found = ids.withColumn("part", part).groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()
     if not found:
         return docs.select("doc_id", "text", F.lit(0).alias("part"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("key"))
@@ -252,7 +208,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        terms, inside = Terms(), Band(band.value)
+        terms, inside = Terms(), common.Bloom(band.value)
         held, part = None, None
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         for b in batches:

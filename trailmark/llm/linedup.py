@@ -16,6 +16,7 @@ kept text.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -78,26 +79,37 @@ TYPES = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
 SCHEMA = "h bigint, h2 bigint, k1 bigint, k2 bigint, at int, n int, lo int, hi int"
 
 
-def _batches(batches, found, bits: int):
-    """Arrow columns of the chunks that found(lines, row) gives: hash, document, lines, bytes from lo to hi."""
+def _batches(batches, bits: int, wanted: common.Bloom | None = None):
+    """Arrow columns of the texts' chunks: hash, document, lines, bytes from lo to hi, and the bytes themselves; of those
+    whose hash may be wanted only."""
     cols, size = [[] for _ in NAMES], 0
+
+    def out():
+        made = [pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]
+        for c in cols:
+            c.clear()
+        if wanted is None:
+            return pa.record_batch(made[:-1], NAMES[:-1])
+        keep = pa.array(wanted.inside(made[0].to_numpy().view(np.uint64)))
+        return pa.record_batch([c.filter(keep) for c in made], NAMES)
+
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            lines = row[2].split("\n")
-            raw, starts = row[2].encode(), [0]
+        for k1, k2, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lines = text.split("\n")
+            raw, starts = text.encode(), [0]
             for x in lines:
                 starts.append(starts[-1] + (len(x) if x.isascii() else len(x.encode())) + 1)
-            for a, z in found(lines, row):
+            for a, z in large_chunks(lines) + small_chunks(lines):
                 lo, hi = starts[a], starts[z] - 1
                 part = raw[lo:hi]
                 h = xxhash.xxh3_128_intdigest(part) & (1 << bits) - 1
-                for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), row[0], row[1], a, z - a, lo, hi, part), strict=True):
+                for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), k1, k2, a, z - a, lo, hi, part), strict=True):
                     c.append(v)
                 size += len(part) + 100
                 if size > BATCH:
-                    yield [pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]
-                    cols, size = [[] for _ in NAMES], 0
-    yield [pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]
+                    yield out()
+                    size = 0
+    yield out()
 
 
 def kept_ranges(cut: list[tuple[int, int, int, int]]) -> tuple[list[dict], int]:
@@ -118,23 +130,14 @@ def kept_ranges(cut: list[tuple[int, int, int, int]]) -> tuple[list[dict], int]:
 def repeats(keyed: DataFrame, bits: int = 128) -> DataFrame:
     """k1, k2, at, n, lo, hi: the chunks that repeat an earlier one."""
     source = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "text")
-
-    def hashed(batches):
-        for cols in _batches(batches, lambda lines, row: large_chunks(lines) + small_chunks(lines), bits):
-            yield pa.record_batch(cols[:-1], NAMES[:-1])
-
-    def wanted(batches):
-        for cols in _batches(batches, lambda lines, row: [(w["at"], w["at"] + w["n"]) for w in row[3]], bits):
-            yield pa.record_batch(cols, NAMES)
-
-    found = source.mapInArrow(hashed, SCHEMA)
+    found = source.mapInArrow(lambda batches: _batches(batches, bits), SCHEMA)
     again = common.materialize(found.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h", "h2"), "repeated")
-    found = common.materialize(found.join(common.small(again), ["h", "h2"]), "chunks")
-    # texts meet their few chunks, so that chunks that occur once are never sent
-    own = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("w"))
-    texts = source.join(own, ["k1", "k2"]).mapInArrow(wanted, SCHEMA + ", chunk binary")
+    held = keyed.sparkSession.sparkContext.broadcast(common.Bloom.of(again.select("h")).bits)
+    # texts are read again rather than sent; chunks that occur once never leave their task but for a few
+    found = source.mapInArrow(lambda batches: _batches(batches, bits, common.Bloom(held.value)), SCHEMA + ", chunk binary")
+    found = common.materialize(found.join(common.small(again), ["h", "h2"], "left_semi"), "chunks")
     # grouping by the bytes compares them; partial sums keep hot chunks to a row for each task
-    same = texts.groupBy("h", "h2", "chunk").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("c")).drop("chunk")
+    same = found.groupBy("h", "h2", "chunk").agg(F.min(F.struct("k1", "k2", "at")).alias("first"), F.count("*").alias("c")).drop("chunk")
     first = same.groupBy("h", "h2").agg(F.min("first").alias("first"), F.sum("c").alias("c"), F.count("*").alias("kinds")).where("c > 1")
     first = common.materialize(first, "first-chunks")
     one, clash = first.where("kinds = 1").select("h", "h2", "first"), first.where("kinds > 1").select("h", "h2")
@@ -142,7 +145,7 @@ def repeats(keyed: DataFrame, bits: int = 128) -> DataFrame:
     cut = found.join(common.small(one), ["h", "h2"]).where(F.struct("k1", "k2", "at") != F.col("first")).select(*spans)
     if not clash.isEmpty():  # bytes that differ under equal hashes
         least = F.min(F.struct("k1", "k2", "at")).over(Window.partitionBy("h", "h2", "chunk"))
-        cut = cut.union(texts.join(clash, ["h", "h2"]).withColumn("first", least).where(F.struct("k1", "k2", "at") != F.col("first")).select(*spans))
+        cut = cut.union(found.join(clash, ["h", "h2"]).withColumn("first", least).where(F.struct("k1", "k2", "at") != F.col("first")).select(*spans))
     return cut
 
 
