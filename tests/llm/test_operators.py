@@ -1,6 +1,8 @@
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import random
 import struct
 import zlib
@@ -43,13 +45,13 @@ def test_imatch(odd, odd_rows, empty):
 
 def test_imatch_likeness():
     rnd = random.Random(0)
-    terms, band = imatch.Terms(), np.ones(imatch.SLOTS, bool)
+    terms, band = imatch.Terms(), common.Bloom(np.full(common.BLOCKS * 2, 255, np.uint8))
     words = [f"w{i}" for i in range(5000)]
     near, far = [], []
     for _ in range(60):
         a = rnd.sample(words, 200)
         b = a[:150] + rnd.sample(words, 50)
-        fa, fb, fc = (imatch.fingerprint(" ".join(x), terms, band) for x in (a, b, rnd.sample(words, 200)))
+        fa, fb, fc = imatch.fingerprints_of([" ".join(x) for x in (a, b, rnd.sample(words, 200))], terms, band)
         near.append(imatch.likeness(fa, fb)), far.append(imatch.likeness(fa, fc))
     assert np.mean(near) > 0.35 and np.mean(far) < 0.15
 
@@ -57,8 +59,64 @@ def test_imatch_likeness():
 def test_imatch_band(spark):
     docs = spark.createDataFrame([(i, "the " + ("common " if i % 2 else "") + f"pair{i // 2} only{i}") for i in range(100)], "doc_id long, text string")
     band, terms = imatch.lexicon(docs), imatch.Terms()
-    inside = lambda w: band[terms[w] & (imatch.SLOTS - 1)]
-    assert inside("pair3") and not inside("the") and not inside("common") and not inside("only5")
+    inside = lambda *w: band.inside(np.array([terms[x] for x in w], dtype=np.uint64))
+    assert inside(*(f"pair{i}" for i in range(50))).all() and not inside("the", "common").any()
+    assert inside(*(f"only{i}" for i in range(100))).sum() <= 5
+
+
+def test_imatch_band_of_many_terms(spark):
+    """Terms of one document stay out of the band however many there are."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 2000), i -> concat('w', id, 'x', i)), 'pair' || (id div 2)) as text")
+    band, terms = imatch.lexicon(docs), imatch.Terms()
+    assert band.inside(np.array([terms[f"pair{i}"] for i in range(200)], dtype=np.uint64)).all()
+    rare = np.array([terms[f"w{i}x{j}"] for i in range(400) for j in range(1, 2001, 50)], dtype=np.uint64)
+    assert band.inside(rare).mean() < 0.02
+
+
+def test_imatch_independent(spark, odd_rows):
+    """Fingerprints and likenesses, recomputed term by term."""
+    docs = spark.createDataFrame([(r[0], r[1]) for r in odd_rows if len(r[1] or "") < 20_000], "doc_id long, text string")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    terms, band = imatch.Terms(), imatch.lexicon(docs)
+
+    def one(text):
+        own = sorted({terms[w] for w in text.split()} - {0}) or None
+        if own:
+            kept = [h for h in own if band.inside(np.array([h], dtype=np.uint64))[0]]
+            own = kept or own
+        else:
+            own = [imatch.xxhash.xxh3_64_intdigest(text)]
+        out = []
+        for k in range(imatch.SUBSETS):
+            total, some = int(imatch._ENDS[k]), False
+            for h in own:
+                drawn = int(common.mix64(np.array([h], dtype=np.uint64) ^ imatch._SEEDS[k // 8])[0]).to_bytes(8, "little")[k % 8]
+                if drawn < imatch._BOUND[k]:
+                    some = True
+                    total = (total + int(common.mix64(np.array([(h + 0x9E3779B97F4A7C15) % 2**64], dtype=np.uint64))[0])) % 2**64
+            out.append(f"{int(common.mix64(np.array([total], dtype=np.uint64))[0]) >> 32:08x}" if some else "--------")
+        return out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        shares, all_same, all_some = [], 0, 0
+        for lo, hi in itertools.pairwise(imatch._EDGES.tolist()):
+            pairs = [(x, y) for x, y in zip(a[lo:hi], b[lo:hi]) if (x, y) != ("--------", "--------")]
+            same = sum(x == y for x, y in pairs)
+            all_same, all_some = all_same + same, all_some + len(pairs)
+            if len(pairs) >= imatch.LEAST:
+                shares.append(same / len(pairs))
+        return max(shares, default=0) or all_same / max(1, all_some)
+
+    order = sorted(((r[0] is not None, r[0] or 0, r[1]) for r in rows))
+    want = collections.Counter()
+    for a, b in zip(order, order[1:] + order[:1]):
+        q = len(a[2]) // 4
+        fa, fe, fb = one(a[2]), one(a[2][: len(a[2]) - q] + b[2][:q]), one(b[2])
+        want[(a[1] if a[0] else None, "".join(fa), "".join(fe), round(like(fa, fe), 9), round(like(fa, fb), 9))] += 1
+    got = imatch.fingerprints(docs, parts=5).collect()
+    assert collections.Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
 
 
 # 2, 5
@@ -125,6 +183,76 @@ def test_deobfuscation_readings():
     assert "idiot" in toxicity.spaced("a i d i o t".split()) and list(toxicity.spaced("a b cd e".split())) == []
 
 
+def test_decoding_is_exhaustive():
+    """The cheapest reading of short words among all paths through the lattice."""
+    rnd = random.Random(8)
+    counts = np.zeros(toxicity.SYMBOLS**3, dtype=np.int64)
+    for w in WORDS * 3:
+        s = [0, 0, *map(toxicity.symbol, w), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    costs = toxicity.language_model(counts)
+    r, flat = toxicity.Restorer(costs), costs.reshape(-1).tolist()
+    for _ in range(200):
+        word = "".join(rnd.choice("kanrtovi013@$!..aa") for _ in range(rnd.randrange(1, 7)))
+        best = {}
+        for path in itertools.product(*r.lattice(word)):
+            a = b = 0
+            cost = 0.0
+            for ch, extra in path:
+                if ch:
+                    s = toxicity.symbol(ch)
+                    cost += extra + flat[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + s]
+                    a, b = b, s
+                else:
+                    cost += extra + 2.0
+            text = "".join(c for c, _ in path)
+            cost += flat[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS]
+            best[text] = min(best.get(text, math.inf), cost)
+        least = min(best.values())
+        got = r.decode(word, best=1)
+        assert (not got and best[""] == pytest.approx(least)) or best[got[0]] == pytest.approx(least), word
+
+
+def test_letters_set_apart():
+    """Runs of single characters inside texts, whatever stands at the texts' edges."""
+    texts = ["a b c word d e", " x y z", "q w", "", None, "p q r s\n", "t"]
+    got = [(d, "".join(x)) for d, x in toxicity.apart(common.Words(imatch.pa.array(texts, imatch.pa.string())))]
+    assert got == [(0, "abc"), (1, "xyz"), (5, "pqrs")]
+
+
+def test_quality_vectors(spark):
+    """Word vectors and pooling by plain sums over neighbours."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice([*WORDS[:12], "Kana,", "MIRI", "%%", "ka-na"]) for _ in range(rnd.randrange(0, 30))) for _ in range(40)] + [None, "", "\n"]
+    vectors, n = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    slots, total, count = quality.Slots(), np.zeros((quality.SLOTS, quality.DIM)), np.zeros(quality.SLOTS)
+    lists = [[x for w in (t or "").split() for x in slots[w] if x != quality.NONE] for t in texts]
+    for s in lists:
+        for i, x in enumerate(s):
+            count[x] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(s):
+                    for k in range(quality.NONZERO):
+                        total[x, quality._POS[s[j], k]] += quality._SIGN[s[j], k]
+            for k in range(quality.NONZERO):
+                total[x, quality._POS[x, k]] += 2 * quality.REACH * quality._SIGN[x, k]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    want = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+    want -= (want * count[:, None]).sum(axis=0) / count.sum()
+    assert (n == count).all() and np.allclose(vectors, want, atol=1e-6)
+    weight = np.random.default_rng(0).random(quality.SLOTS).astype(np.float32)
+    for s in lists:
+        own = np.array(s, dtype=np.uint16)
+        got = quality.pool(own, vectors, weight)
+        if s:
+            v = vectors[s].astype(float)
+            plain = [v.mean(axis=0), (v * weight[s][:, None]).mean(axis=0), np.sqrt((v * v).mean(axis=0)), [math.log1p(len(s)), len(set(s)) / len(s)]]
+            assert np.allclose(got, np.concatenate(plain), atol=1e-5)
+        else:
+            assert not got.any()
+
+
 # 3
 
 
@@ -150,18 +278,61 @@ def test_decontam(spark, odd, empty):
     pairs = {(r.doc_id, r.item_id) for r in got}
     assert pairs == want and len(got) == len(pairs)
     kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
-    assert kept == {i for i, _ in rows if i not in {d for d, _ in want}}
+    assert kept == {i for i, _ in rows if i is not None and i not in {d for d, _ in want}}  # None holds an item whole
     assert decontam.overlaps(empty, bench).count() == 0 and decontam.overlaps(odd, bench.where("false")).count() == 0
     assert decontam.clean(odd, bench).columns == odd.columns
 
 
+def test_decontam_clashing_ids(spark):
+    """Items that share an id, and documents that share one, are judged by their own texts."""
+    rnd = random.Random(3)
+    x, y, z = (prose(rnd, 30) for _ in range(3))
+    bench = spark.createDataFrame([(1, x), (1, y), (2, z), (2, z)], "item_id long, text string")
+    far = [prose(rnd, 60) for _ in range(3)]
+    rows = [(10, x), (11, y), (12, far[0]), (12, far[1] + " " + z), (None, "a b c " + y), (None, far[2]), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()) == [(10, 1), (11, 1), (12, 2)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(docs, bench).collect()) == sorted([(12, far[0]), (0, far[2]), (13, "")])
+
+
+def test_decontam_all_windows(spark):
+    """Against every placement of every item on every document: each word at each shift."""
+    rnd = random.Random(21)
+    items = [prose(rnd, rnd.randrange(5, 70)).split() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        body = prose(rnd, rnd.randrange(1, 90)).split()
+        it = list(rnd.choice(items))
+        a = rnd.randrange(len(it))
+        part = it[a : a + rnd.randrange(1, len(it) + 1)]
+        for p in rnd.sample(range(len(part)), len(part) // rnd.choice([6, 12, 100])):
+            part[p] = "other"
+        at = rnd.randrange(len(body) + 1)
+        body[at:at] = part
+        rows.append((i, " ".join(body)))
+    terms = imatch.Terms()
+    number = lambda ws: np.array([terms[w] for w in ws], dtype=np.uint64)
+    must, may = set(), set()
+    for i, text in rows:
+        x = number(text.split())
+        for k, it in enumerate(items):
+            y = number(it)
+            got = [v for d in range(-len(y), len(x)) if (v := decontam.verify(x, y, d))]
+            if got:
+                may.add((i, k))
+                if any(v[2] == v[1] for v in got):  # without replaced words every mask hits
+                    must.add((i, k))
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)], "item_id long, text string")).collect()}
+    assert must and must <= got <= may and len(got) >= 0.95 * len(may)
+
+
 # 4
 
 
 def test_warc(spark, tmp_path, empty):
     m = "WARC/1.1\r\n"
-    html = ["a", "a", None, "", m + "x", m + m, m + "Content-Length: 3\r\n\r\nabc\r\n\r\n" + m + "Content-Length: 2\r\n\r\nab\r\n\r\ntail", "é" * 500 + m + "q" * 900, m[:6], "x\r\n\r\n"]
-    rows = [(i + 10 * k, "u", h if k == 0 or h is None else h + str(k) * (k * 7), 1) for k in range(12) for i, h in enumerate(html)]
+    html = ["a", "a", None, "", m + "x", m + m, m + "Content-Length: 3\r\n\r\nabc\r\n\r\n" + m + "Content-Length: 2\r\n\r\nab\r\n\r\ntail", "é" * 500 + m + "q" * 900, m[:6], "x\r\n\r\n", ("z" * 700 + m) * 15 + "end"]
+    rows = [(i + 20 * k, "u", h if k == 0 or h is None else h + str(k) * (k * 7), 1) for k in range(12) for i, h in enumerate(html)]
     df = spark.createDataFrame(rows + [(None, None, "without id", 1), (rows[0][0], "u", "a", 1)], "page_id long, url string, html string, digest int").repartition(3)
     pages = {i: h or "" for i, _, h, _ in rows}
     first = {}
@@ -191,28 +362,42 @@ def test_warc(spark, tmp_path, empty):
 # 6
 
 
-def test_linedup(odd, odd_rows, empty):
+@pytest.mark.parametrize("bits", [128, 3])
+def test_linedup(odd, odd_rows, empty, bits):
+    """Each chunk but for its first occurrence, by its bytes; with three bits, hashes clash."""
     where = collections.defaultdict(set)
-    key = lambda r: r[0] if r[0] is not None else -(2**62)
+    place = {(r[0], r[1]): (r.k1, r.k2) for r in common.doc_key(odd.select("doc_id", "text")).collect()}
     for r in odd_rows:
-        for k, _, c in linedup.removable(r[1] or ""):
-            where[c].add((key(r), k))
+        lines = (r[1] or "").split("\n")
+        for a, z in linedup.chunks(r[1] or ""):
+            where["\n".join(lines[a:z])].add((*place[(r[0], r[1])], a))
     want = collections.Counter()
     for r in odd_rows:
-        text, gone = r[1], 0
+        text, gone = r[1], set()
         if text:
-            cut = {k for k, _, c in linedup.removable(text) if (key(r), k) != min(where[c])}
             lines = text.split("\n")
-            text = "\n".join(x for k, (a, b) in enumerate(linedup.chunks(text)) if k not in cut for x in lines[a:b])
-            gone = sum(b - a for k, (a, b) in enumerate(linedup.chunks(r[1])) if k in cut)
-        want[(r[0], text, gone)] += 1
-    out = linedup.dedup(odd)
+            for a, z in linedup.chunks(text):
+                if (*place[(r[0], r[1])], a) != min(where["\n".join(lines[a:z])]):
+                    gone |= set(range(a, z))
+            text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want[(r[0], text, len(gone))] += 1
+    out = linedup.dedup(odd, bits)
     got = out.collect()
     assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in got) == want and sum(r.n_removed for r in got) > 0
     assert all(r.n_chars == len(r.text or "") for r in got)
     assert linedup.dedup(empty).count() == 0 and set(odd.columns) <= set(out.columns)
 
 
+def test_linedup_chunks_move_with_lines():
+    """Chunks are of the lines' own making: what stands before a passage moves no boundary beyond its first line."""
+    rnd = random.Random(3)
+    shared = [prose(rnd, 6) for _ in range(200)]
+    before = [prose(rnd, 6) for _ in range(7)]
+    inside = {(a - 7, z - 7) for a, z in linedup.large_chunks(before + shared) if a > 7}
+    own = {(a, z) for a, z in linedup.large_chunks(shared) if a > 1}
+    assert len(own) > 20 and len(own ^ inside) <= 1
+
+
 def test_linedup_shift(spark):
     rnd = random.Random(1)
     shared = [prose(rnd, 8) for _ in range(60)]
@@ -253,7 +438,8 @@ def brute_links(rows, threshold=0.8):
     terms = imatch.Terms()
     sets = []
     for r in rows:
-        s = set(cpjoin.shingles(terms, r[1] or "").tolist())
+        h = np.array([x for w in (r[1] or "").split() if (x := terms[w])], dtype=np.uint64)
+        s = set(cpjoin.shingles(h).tolist())
         sets.append(s or {("text", r[1] or "")})
     n = len(rows)
     links, parent = [0] * n, list(range(n))
@@ -294,23 +480,30 @@ def test_cpjoin(spark, odd_rows, empty, bucket, monkeypatch):
     assert cpjoin.join(empty).count() == 0
 
 
-def test_cpjoin_recall():
+@pytest.mark.parametrize("depth", [cpjoin.DEPTH, cpjoin.DEEPEST])
+def test_cpjoin_recall(depth):
     assert cpjoin.runs_needed(target=0.99) < cpjoin.runs_needed(target=0.9999)
     rnd = np.random.default_rng(0)
     found = 0
     for _ in range(200):  # pairs just above the threshold
         a = rnd.integers(0, 2**63, 180).astype(np.uint64)
         b = np.concatenate([a[:160], rnd.integers(0, 2**63, 20).astype(np.uint64)])
-        paths = []
-        for s in (a, b):
-            level = cpjoin.roots(cpjoin.runs_needed())
-            for _ in range(cpjoin.DEPTH):
-                level = [p for q in level for p in cpjoin.children(s, q, 0.8).tolist()]
-            paths.append(set(level))
+        paths = [set(cpjoin.paths_of(np.sort(s), cpjoin.runs_needed(), 0.8, depth).tolist()) for s in (a, b)]
         found += bool(paths[0] & paths[1])
     assert found >= 197
 
 
+def test_representatives_of_clashing_rows(spark):
+    """Rows of one doc_id with different texts are told apart; of equal rows one stays."""
+    rnd = random.Random(4)
+    a, b, c = prose(rnd, 40), prose(rnd, 40), prose(rnd, 40)
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, c, 5), (None, c, 5), (6, None, 7), (7, "", 8), (8, b + " more", 9), (3, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in cpjoin.representatives(df).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (-1, c), (6, None)], key=str)
+    assert cpjoin.representatives(df).columns == df.columns and cpjoin.representatives(df.where("false")).count() == 0
+
+
 # 8
 
 
@@ -328,9 +521,11 @@ def brute_repeats(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 2])
-def test_suffix(spark, odd_rows, empty, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "heavy"), [(1500, 4096), (2, 4096), (3, 2)])
+def test_suffix(spark, odd_rows, empty, hot, heavy, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HEAVY", heavy)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0 if hot == 2 else common.BROADCAST_BYTES)
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abc \n é") for _ in range(900)) for _ in range(3)]
     texts = [r[1] or "" for r in odd_rows if len(r[1] or "") < 20_000]
@@ -343,6 +538,17 @@ def test_suffix(spark, odd_rows, empty, hot, monkeypatch):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_suffix_long_texts(spark):
+    """Texts of several pieces, with repeats across the pieces' edges."""
+    rnd = random.Random(5)
+    own = "".join(rnd.choice("abcdefgh ") for _ in range(2_300_000))
+    edge = suffix.PIECE - 350
+    texts = [own, "other|" + own[edge : edge + 900] + "|tail", own[2_000_000:2_000_399], own[5000:5400] + "|" + own[5001:5401]]
+    got = {r.doc_id: r for r in suffix.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans) for i in range(4)] == [(len(own), 1301, 2), (911, 900, 1), (399, 0, 0), (801, 800, 2)]
+    assert bytes(got[1].kept) == b"other||tail" and bytes(got[0].kept).decode() == own[:5000] + own[5401:edge] + own[edge + 900 :]
+
+
 def test_suffix_sort():
     rnd = random.Random(8)
     for _ in range(100):
@@ -413,7 +619,27 @@ def test_minimax_is_least():
                 return sum(sizes[at:])
             return min((max(sum(sizes[at:e]), least(e, left - 1)) for e in range(at, len(sizes) + 1)), default=0)
 
-        assert capacity == least(0, k) and len(cuts) <= k
+        assert capacity == least(0, k) and len(cuts) == k
+        ways = [list(zip((0, *c), (*c, len(sizes)))) for c in itertools.combinations_with_replacement(range(len(sizes) + 1), k - 1)]
+        size = lambda w: [sum(sizes[a:b]) for a, b in w]
+        others = lambda w: max((sum(sizes[a:b]) for a, b in w if b - a > 1), default=0)
+        ways = [w for w in ways if max(size(w)) <= capacity]
+        even = min(map(others, ways))
+        own = list(zip(cuts, [*cuts[1:], len(sizes)]))
+        assert cuts[0] == 0 and max(size(own)) == capacity and others(own) <= even
+        assert min(size(own)) == max(min(size(w)) for w in ways if others(w) <= even)
+
+
+def test_shards_near_equal(spark):
+    """Sizes are near equal; beside a text with a third of all bytes the others share the rest evenly."""
+    rows = [(i, "x" * (200 + i % 50)) for i in range(4000)]
+    for hot in (0, 2000):
+        df = spark.createDataFrame([(i, f"{i} {t}") for i, t in rows] + [(10_000 + i, "h" * 224) for i in range(hot)], "doc_id long, text string")
+        sizes = collections.Counter()
+        for r in sharding.partition(df).collect():
+            sizes[r.shard] += r["size"]
+        rest = sorted(sizes.values())[: 15 if hot else 16]
+        assert len(sizes) == 16 and min(rest) > (0.9 if hot else 0.95) * max(rest)
 
 
 def test_sharding(odd, odd_rows, empty):
@@ -450,16 +676,37 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "bpe"]
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
-    assert 700 not in out and 701 in out and 702 not in out and 703 not in out
+    assert 700 not in out and 701 in out and 702 not in out
     assert len(toxic & set(out)) <= 0.1 * len(toxic)
     clean = {i for i, _ in docs} - toxic
     assert len(clean & set(out)) >= 0.97 * len(clean)
     assert len(out[705].text) < 0.6 * len(rows[-3][1]) and out[704].text == lines
-    assert 706 in out  # of the two empty texts the first stays
+    # a copy loses its lines; of the texts without words the first stays
+    assert out[703].text == "" and 706 not in out and 707 not in out
     for r in list(out.values())[:50]:
         assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == sha((r.text or "").encode())
 
 
+def test_pipeline_odd_tables(spark, tmp_path, odd, odd_rows, empty):
+    """Null ids and texts, repeated rows, extra columns; an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 1, i % 5 // 4) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, odd_rows[3][1]), (1, odd_rows[5][1]), (None, "x"), (2, None)], "item_id long, text string")
+    for k, df in enumerate((odd, empty)):
+        d = str(tmp_path / str(k))
+        df.write.parquet(f"{d}/documents.parquet"), labels.write.parquet(f"{d}/labels.parquet"), bench.write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert set(odd.columns) <= set(out.columns) | {"decoded"}
+        rows = out.collect()
+        if k:
+            assert not rows
+        else:
+            ids = [r.doc_id for r in rows]
+            assert len(rows) > 20 and ids.count(46) == 1 and 3 not in ids and 5 not in ids
+            assert sum(not (r.text or "").strip("!? ") for r in rows) <= 4
+
+
 def test_materialize(spark):
     df = spark.createDataFrame([(1, 2.0)], "a long, b double")
     assert [tuple(r) for r in common.materialize(df, "x").collect()] == [(1, 2.0)]
