@@ -34,12 +34,12 @@ FEATURES = 50_000
 TELLING = 0.25
 #: Features that a task holds at most before it passes them on.
 COUNTED = 500_000
-CACHE = 400_000
+CACHE = 300_000
 #: Letters that leetspeak characters stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "£": "l"}
 SYMBOLS = 60
-#: Marks that may stand before and after a word.
-OPENING, CLOSING = "\"'([{<«„“‘¿", ".,;:!?\"')]}>»“”’"
+#: Marks that may stand before and after a word; those after it stand for no letter.
+OPENING, CLOSING = "\"'([{<«„“‘¿", ".,;:?\"')]}>»“”’!#%&*~^_=-"
 #: Longer words are decoded in windows of SPAN characters that overlap by half.
 SPAN = 64
 #: Windows of letters set apart: a longer word is found by its beginning.
@@ -207,8 +207,8 @@ def spaced(words: list[str]) -> Iterator[str]:
 
 
 def beginning(word: str) -> str:
-    """The first three letters without repeats: those of every reading of a word of letters."""
-    return "".join(c for c, _ in itertools.groupby(word))[:3]
+    """The first four letters without repeats: those of every reading of a word of letters."""
+    return "".join(c for c, _ in itertools.groupby(word[:12]))[:4]
 
 
 class Weights(dict):
@@ -217,11 +217,12 @@ class Weights(dict):
     def __init__(self, restorer: Restorer, model: dict[str, float]):
         super().__init__()
         self.restorer, self.model = restorer, model
-        #: What a word of letters must begin with for any feature of the model; whole words under three letters
-        #: are features of such words only.
-        starts = [(f, beginning(f[1:])) for f in model]
-        self.begin = {x for f, x in starts if len(x) > 2 or f[0] == "^"}
-        self.brief = {x for _, x in starts if len(x) < 3}
+        #: What a word of letters must begin with for any feature of the model; of features that have fewer letters,
+        #: words are met by words of just these, beginnings by any word that begins so.
+        starts = [(f[0], beginning(f[1:])) for f in model]
+        self.begin = {x for _, x in starts if len(x) == 4}
+        self.brief = {x for kind, x in starts if len(x) < 4 and kind == "="}
+        self.stubs = {x for kind, x in starts if len(x) < 4 and kind == "^"}
 
     def __missing__(self, raw: str) -> float:
         if len(self) >= CACHE:
@@ -234,8 +235,8 @@ class Weights(dict):
         get = self.model.get
         doubled = DOUBLED.search(core)
         if core.isalpha() and not (doubled and REPEATED.search(core)):
-            start = beginning(core) if doubled else core[:3]
-            if not (start in self.begin or start[:2] in self.begin or start[:1] in self.begin or (len(start) < 3 and start in self.brief)):
+            start = beginning(core) if doubled else core[:4]
+            if not (start in self.begin or (len(start) < 4 and start in self.brief) or (self.stubs and any(start[:k] in self.stubs for k in (1, 2, 3)))):
                 return 0.0
             if not doubled:
                 return max(get(f, 0.0) for f in features(core))
