@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
+
+Null text: kept, encoded as empty. Null doc_id: a document like others, told from them by its text. Documents whose lines
+all occur before keep an empty text; of those without words, as of repeated rows and near copies, one stays. Empty tables:
+an empty result. Extra columns are kept; those named n_tokens, ids, decoded, ids_sha256 or decoded_sha256 give way in the end. Labels and
+benchmark may be empty: then nothing is rejected for them.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that an earlier document holds."""
-    return linedup.dedup(docs).select(*docs.columns)
+    """All documents, without chunks of lines that occur earlier."""
+    return linedup.clean(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select(*docs.columns, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")]
+    return out.select(*kept, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

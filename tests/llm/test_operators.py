@@ -693,11 +693,13 @@ def test_pipeline_odd_tables(spark, tmp_path, odd, odd_rows, empty):
 
     labels = spark.createDataFrame([(i, 1, i % 5 // 4) for i in range(40)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, odd_rows[3][1]), (1, odd_rows[5][1]), (None, "x"), (2, None)], "item_id long, text string")
-    for k, df in enumerate((odd, empty)):
+    more = lambda df: df.selectExpr("*", "1 as n_lines", "'x' as n_removed", "2 as ids", "3 as n_tokens", "'y' as ids_sha256", "4 as _text", "5 as cut")
+    for k, df in enumerate((more(odd), more(empty))):
         d = str(tmp_path / str(k))
         df.write.parquet(f"{d}/documents.parquet"), labels.write.parquet(f"{d}/labels.parquet"), bench.write.parquet(f"{d}/benchmark.parquet")
         out = corpus_pipeline.run(spark, d)
-        assert set(odd.columns) <= set(out.columns) | {"decoded"}
+        assert set(df.columns) <= set(out.columns) | {"decoded"} and len(set(out.columns)) == len(out.columns)
+        assert out.where("n_lines <> 1 or n_removed <> 'x' or cut <> 5").count() == 0
         rows = out.collect()
         if k:
             assert not rows

@@ -149,9 +149,8 @@ def repeats(keyed: DataFrame, bits: int = 128) -> DataFrame:
     return cut
 
 
-def dedup(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """docs with the kept text, and n_lines, n_removed (lines) bigint. Chunks are grouped by a hash of so
-    many bits before their bytes are compared."""
+def _cut(docs: DataFrame, bits: int) -> tuple[DataFrame, dict]:
+    """Rows with n_lines and n_removed, and the columns of docs by name, with the kept text."""
     common.tune(docs.sparkSession)
 
     def merged(batches):
@@ -172,15 +171,23 @@ def dedup(docs: DataFrame, bits: int = 128) -> DataFrame:
     stays = F.filter("ranges", lambda r: r["a"] <= F.octet_length("row.text"))
     kept = F.array_join(F.transform(stays, lambda r: F.substring(raw, r["a"] + 1, r["n"]).cast("string")), "\n")
     text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("row.text"))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(text.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        elif c.lower() not in ("n_lines", "n_removed"):
-            cols.append(F.col(f"row.`{c}`").alias(c))
-    return joined.select(*cols, "n_lines", "n_removed")
+    cols = {c: F.col(f"row.`{c}`").alias(c) for c in docs.columns} | {"text": text.alias("text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return joined, cols
+
+
+def dedup(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """docs with the kept text, and n_lines, n_removed (lines) bigint; columns of docs named so give way. Chunks are
+    grouped by a hash of so many bits before their bytes are compared."""
+    joined, cols = _cut(docs, bits)
+    return joined.select(*[v for c, v in cols.items() if c.lower() not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """docs with the kept text, all their columns and no others."""
+    joined, cols = _cut(docs, 128)
+    return joined.select(*cols.values())
 
 
 def op6_linedup(spark, sf_dir: str) -> DataFrame:
