@@ -192,6 +192,19 @@ def test_link_stream_equals_batch(spark, tmp_path):
         q.stop()
 
 
+def test_link_stream_gaps(spark, tmp_path):
+    """A gap longer than allowed begins the arena anew, without rows for the frames in it."""
+    from trailmark.streaming.link import link_stream
+
+    schema = f"roi string, frame long, cs {linking.CANDIDATES}"
+    frames = [0, 1, 2, 500, 501, 504]
+    spark.createDataFrame([("a", f, [(-50.0, f, 100.0 + f, 80.0, 50.0)]) for f in frames], schema).write.parquet(str(tmp_path / "in"))
+    q = link_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), linking.Settings(), longest_gap=10).writeStream.format("memory").queryName("gaps").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = rows(spark.table("gaps").select("frame", "missed"), "frame")
+    assert got == [(0, False), (1, False), (2, False), (500, False), (501, False), (502, True), (503, True), (504, False)]
+
+
 def test_pose_flags(spark):
     base = {"head": (50, 30), "thorax": (50, 50), "abdomen": (50, 70), "wingL": (30, 60), "wingR": (70, 60)}
 
