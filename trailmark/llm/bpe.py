@@ -34,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Words in the compiled lexicon; others are merged.
 LEXICON_WORDS = 65_536
 #: Words and pieces that a worker remembers before it starts anew.
-CACHE, CACHE_PIECES = 800_000, 600_000
+CACHE, CACHE_PIECES = 500_000, 300_000
 NONE = 1 << 29
 MARKS = frozenset(".,;:!?")
 #: Pieces of letters, with one common mark at their end or none; letters of other scripts go the longer way.
