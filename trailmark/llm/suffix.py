@@ -7,7 +7,8 @@ anchors in LENGTH bytes. Anchors whose gram occurs once need nothing more. Where
 elected the same bytes around them, all their windows repeat. The suffixes at the remaining anchors are sorted,
 gram by gram: multikey quicksort to a shallow depth, then a blind trie for groups with
 longer common prefixes. Within each interval of common prefix length the texts before the
-anchors are sorted in the same way; the common extents to both sides give the windows that repeat.
+anchors are sorted in the same way; the common extents to both sides give the windows that repeat. Grams with very
+many surroundings are dealt by parts of their windows before they are sorted.
 
 Null text: as empty, nothing removed. Texts under LENGTH bytes: nothing removed. Rows that agree in
 doc_id and text count as copies of each other. Null doc_id: kept. Empty table: empty result. Extra columns are
@@ -20,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ LENGTH, GRAM = 400, 64
 PIECE = 1 << 20
 #: Depth of the multikey quicksort, in bytes; its keys have eight.
 SHALLOW = GRAM + 64
-#: Grams with more distinct surroundings are dealt by parts of the windows.
-HOT, PARTS = 1500, 8
+#: Grams with more distinct surroundings are dealt by parts of WIDTH windows, by the bytes that those have in common.
+HOT, WIDTH = 1500, 6
 #: Surroundings with more rows are salted, the most frequent ones up to a number that is broadcast.
 HEAVY, HEAVY_KINDS, SALTS = 4096, 50_000, 64
 
@@ -250,31 +252,39 @@ def _solve(batches):
     yield batch()
 
 
+def _parts(width: int):
+    """A row for each part of `width` windows of the anchors: hash of the bytes that the part's windows have in common,
+    and of all their bytes."""
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for k1, k2, text, anchors in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = text.encode()
+                for a in anchors:
+                    p, before, span = a["p"], a["before"], a["span"]
+                    for q in range((before - span) // width, before // width + 1):
+                        lo, hi = max(q * width, before - span), min((q + 1) * width - 1, before)
+                        core = raw[p - q * width : p + LENGTH - min((q + 1) * width - 1, LENGTH - GRAM)]
+                        row = xxhash.xxh3_64_intdigest(core, q), xxhash.xxh3_64_intdigest(raw[p - hi : p - lo + LENGTH], hi), k1, k2, p, hi, hi - lo, a["single"]
+                        for c, x in zip(out, row, strict=True):
+                            c.append(x)
+            hashes = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in out[:2]]
+            yield pa.record_batch([*hashes, *(pa.array(c, pa.int64()) for c in out[2:5]), *(pa.array(c, pa.int32()) for c in out[5:7]), pa.array(out[7], pa.bool_())], ["g", "c", "k1", "k2", "p", "before", "span", "single"])
+
+    return run
+
+
 def _texts(batches):
-    """The bytes around anchors; those of hot grams in parts of their windows, dealt by the bytes that
-    the windows of a part have in common."""
+    """The bytes around anchors."""
     for b in batches:
         out: list[list] = [[] for _ in range(8)]
-
-        def put(*row, out=out):
-            for c, x in zip(out, row, strict=True):
-                c.append(x)
-
         for k1, k2, text, anchors in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode()
             for a in anchors:
-                g, p, before, span, single, hot = a["g"], a["p"], a["before"], a["span"], a["single"], a["hot"]
-                if not hot:
-                    put(g, k1, k2, p, single, raw[p - before : p - before + span + LENGTH], before, span)
-                    continue
-                width = -(-(LENGTH - GRAM + 1) // PARTS)
-                for q in range(PARTS):
-                    lo, hi = max(q * width, before - span), min((q + 1) * width - 1, before)
-                    if lo > hi:
-                        continue
-                    core = raw[p - q * width : p + LENGTH - min((q + 1) * width - 1, LENGTH - GRAM)]
-                    part = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([q])).digest(), "little", signed=True)
-                    put(part, k1, k2, p, single, raw[p - hi : p - lo + LENGTH], hi, hi - lo)
+                p, before, span = a["p"], a["before"], a["span"]
+                for c, x in zip(out, (a["g"], k1, k2, p, a["single"], raw[p - before : p - before + span + LENGTH], before, span), strict=True):
+                    c.append(x)
         kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["g", "k1", "k2", "p", "single", "around", "before", "span"])
 
@@ -298,16 +308,33 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     whole = found.where("not mixed").select("k1", "k2", "p", "before", "span").union(among.join(twice, ["g", "c", "salt"], "left_semi").select("k1", "k2", "p", "before", "span"))
     first = kinds.join(hot, "g", "left").select("g", "c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.p").alias("p"), (F.col("n") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot"))
     sent = mixed.select("g", "c", "k1", "k2", "p", "before", "span").distinct().join(first, ["g", "c", "k1", "k2", "p"])
-    sent = sent.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "p", "before", "span", "single", "hot")).alias("anchors"), F.count("*").alias("n"))
-    sent = common.materialize(sent, "sent")
-    size = sent.agg(F.count("*"), F.sum("n")).first()
-    # rows that agree in k1 and k2 have the same text: one of them serves
-    small = size[0] <= common.BROADCAST_ROWS and (size[1] or 0) <= 5 * common.BROADCAST_ROWS
-    sent = sent.drop("n")
-    texts = keyed.select("k1", "k2", "text").join(F.broadcast(sent) if small else sent, ["k1", "k2"]).select("k1", "k2", "text", "anchors").mapInArrow(_texts, "g bigint, k1 bigint, k2 bigint, p bigint, single boolean, around binary, before int, span int")
-    solved = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_solve, "k1 bigint, k2 bigint, a bigint, b bigint")
+    def beside(anchors, name):
+        """Texts with the anchors that are wanted of them. All columns go along, so that the texts' exchange is the one
+        that `dedup` needs again; rows that agree in k1 and k2 have the same text, and what they say twice counts once."""
+        own = anchors.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "p", "before", "span", "single")).alias("anchors"))
+        return keyed.join(common.materialize(own, name), ["k1", "k2"]).select("k1", "k2", "text", "anchors", "doc_id")
+
     start = F.col("p") - F.col("before")
-    return whole.select("k1", "k2", start.alias("a"), (start + F.col("span")).alias("b")).union(solved)
+    spans = lambda df: df.select("k1", "k2", start.alias("a"), (start + F.col("span")).alias("b"))
+    sent, out, width = common.materialize(sent, "anchors-sent"), spans(whole), WIDTH
+    sorts = [sent.where("not hot")]
+    while not sent.where("hot").isEmpty():
+        # the same again, part by part: parts of the same bytes repeat, and of those that have more in common one of each
+        # kind is sorted; where these are very many, as at the edges of a passage, the parts are single windows
+        parts = common.materialize(beside(sent.where("hot"), "sent").mapInArrow(_parts(width), "g bigint, c bigint, k1 bigint, k2 bigint, p bigint, before int, span int, single boolean"), "parts")
+        kinds = common.materialize(parts.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p", "before", "span", "single")).alias("first")), "part-kinds")
+        out = out.union(spans(parts.where("single").join(kinds.where("n > 1").select("g", "c"), ["g", "c"], "left_semi")))
+        sizes = common.materialize(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-parts")
+        sent = kinds.join(sizes, "g").select("g", "first.k1", "first.k2", "first.p", "first.before", "first.span", (F.col("first.single") & (F.col("n") == 1)).alias("single"), (F.col("kinds") > HOT).alias("hot"))
+        sent, width = common.materialize(sent, "anchors-sent"), 1  # windows alone have all bytes in common
+        sorts.append(sent.where("not hot"))
+    columns = ["k1", "k2", "g", "p", "before", "span", "single"]
+    wanted = sorts[0].select(*columns)
+    for more in sorts[1:]:
+        wanted = wanted.unionByName(more.select(*columns))
+    texts = beside(wanted, "sent").mapInArrow(_texts, "g bigint, k1 bigint, k2 bigint, p bigint, single boolean, around binary, before int, span int")
+    solved = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_solve, "k1 bigint, k2 bigint, a bigint, b bigint")
+    return out.union(solved)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -350,4 +377,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op8_suffix(spark, sf_dir: str) -> DataFrame:
     """Contract query over all documents."""
     out = dedup(common.read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"))
