@@ -34,8 +34,9 @@ PIECE = 1 << 20
 SHALLOW = GRAM + 64
 #: Grams with more distinct surroundings are dealt by parts of WIDTH windows, by the bytes that those have in common.
 HOT, WIDTH = 1500, 6
-#: Surroundings with more rows are salted, the most frequent ones up to a number that is broadcast.
-HEAVY, HEAVY_KINDS, SALTS = 4096, 50_000, 64
+#: Surroundings with more rows are salted, by a salt for each quarter as many; the most frequent ones up to a number that is
+#: broadcast.
+HEAVY, HEAVY_KINDS = 4096, 50_000
 
 _TOP = PIECE + LENGTH + GRAM
 _B = 0x9E3779B97F4A7C15 | 1
@@ -301,10 +302,10 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     hot = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("g", F.lit(True).alias("hot"))
     common.discard(rows, grams)
     # surroundings with very many rows are dealt by salts; those are few, and their number is bounded
-    heavy = F.broadcast(common.highest(kinds.where(F.col("n") > HEAVY).select("g", "c", "n"), "n", HEAVY_KINDS, "heavy").select("g", "c", F.lit(SALTS).alias("salts")))
+    heavy = F.broadcast(common.highest(kinds.where(F.col("n") > HEAVY).select("g", "c", "n"), "n", HEAVY_KINDS, "heavy").select("g", "c", F.ceil(4 * F.col("n") / HEAVY).cast("int").alias("salts")))
     salted = lambda df, salt: df.join(heavy, ["g", "c"], "left").withColumn("salt", salt)
     twice = salted(kinds.where("n > 1").select("g", "c"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select("g", "c", "salt")
-    among = salted(mixed, F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("k1", "p"), F.lit(SALTS)).cast("int")).otherwise(0))
+    among = salted(mixed, F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("k1", "p"), F.col("salts")).cast("int")).otherwise(0))
     whole = found.where("not mixed").select("k1", "k2", "p", "before", "span").union(among.join(twice, ["g", "c", "salt"], "left_semi").select("k1", "k2", "p", "before", "span"))
     first = kinds.join(hot, "g", "left").select("g", "c", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.col("first.p").alias("p"), (F.col("n") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot"))
     sent = mixed.select("g", "c", "k1", "k2", "p", "before", "span").distinct().join(first, ["g", "c", "k1", "k2", "p"])
