@@ -199,7 +199,8 @@ def read_archives(spark, path: str) -> DataFrame:
     entry = reach.join(links.select("file", "at", "block"), ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
     real = links.join(entry, ["file", "block"], "left").groupBy("file", "block").applyInPandas(_walk, "file string, block bigint, at bigint, real boolean, owner bigint")
     real = common.materialize(real, "real")
-    out = cand.join(real.where("real").select("file", "at"), ["file", "at"])
+    # a row for each record: its file's name packs well, so that Spark would take the table for a small one
+    out = cand.join(real.where("real").select("file", "at").hint("merge"), ["file", "at"])
     whole = F.col("digest").isNotNull()
     done = out.where(whole).select("file", "at", "kind", "page_id", "refers_to", "x_length", "x_digest", "payload_bytes", "digest")
     parts = real.join(out.where(~whole).select("file", "at"), ["file", "at"], "left_semi").select("file", "at", F.col("at").alias("owner")).union(real.where("not real").select("file", "at", "owner"))
