@@ -480,6 +480,37 @@ def test_cpjoin(spark, odd_rows, empty, bucket, monkeypatch):
     assert cpjoin.join(empty).count() == 0
 
 
+def test_cpjoin_large_groups(spark, monkeypatch):
+    """Of sets in large groups a few rows each are made, whatever number of buckets they share; no link is lost, also
+    between groups that overlap."""
+    monkeypatch.setattr(cpjoin, "BUCKET", 8)
+    monkeypatch.setattr(cpjoin, "TILE", 16)
+    made, write = {}, common.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    rnd = random.Random(11)
+    base, long, other = prose(rnd, 150).split(), prose(rnd, 400).split(), prose(rnd, 150).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for p in rnd.sample(range(150), i % 4):
+            w[p] = f"new{i}"
+        rows.append(doc(i, " ".join(w)))
+    near = len({r[1] for r in rows})
+    monkeypatch.setattr(common, "materialize", counted)
+    got = cpjoin.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+    assert made.get("deeper", 0) <= 8 * near and made["units"] <= 3 * near * -(-near // 16)
+    rows += [doc(200 + i, " ".join(long[3 * i : 3 * i + 150])) for i in range(60)]  # each like its neighbours only
+    rows += [doc(300 + i, " ".join(other[:60] + [f"own{i}x{j}" for j in range(100)])) for i in range(40)]  # a passage in common
+    got = cpjoin.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+
+
 @pytest.mark.parametrize("depth", [cpjoin.DEPTH, cpjoin.DEEPEST])
 def test_cpjoin_recall(depth):
     assert cpjoin.runs_needed(target=0.99) < cpjoin.runs_needed(target=0.9999)

@@ -4,9 +4,11 @@ A document is the set of its five-word shingles; equal sets are one class of cop
 representative. In each of `runs` independent runs a set follows, from each node, the tokens whose
 hash under the node's path falls below 1 / (threshold * size), so that sets above the threshold share
 a child at every depth with a fixed probability. Buckets of depth 2 with at most `bucket` sets are
-compared whole; larger ones are split further down to depth 4, and what is still large then is
-compared in blocks. Buckets of the same members are compared once, and a pair counts only in the first
-bucket that holds both, so that links are counted without listing them. The number of runs follows from the
+compared whole; larger ones are split further down to depth 4, unless their sets are so alike that a split
+would leave most pairs together. What is large then is compared in blocks: each set has its home, the largest
+of its buckets, and sets of two homes, or of one, are compared once, whatever number of buckets they share.
+Buckets of the same members are compared once, and a pair counts only in the first
+unit that holds both, so that links are counted without listing them. The number of runs follows from the
 target recall.
 
 Null or empty text, or one without words: no shingles; copies of the same text are still one class.
@@ -33,6 +35,8 @@ WORDS, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
 DEPTH, DEEPEST, BUCKET = 2, 4, 256
 #: Sets in a block of what is compared in blocks.
 TILE = 1024
+#: About so many sets tell whether a large bucket is split: not if a pair shares ALIKE children or more on average.
+PROBES, ALIKE = 32, 0.5
 _ODD = common.mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -152,7 +156,7 @@ def _deeper(threshold: float):
 
 def similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < left <= j, or i < j if left is 0) with a Jaccard similarity of at least
-    threshold. Tokens of one set only count in the sizes; the others go in blocks of columns."""
+    threshold."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if m <= 6:
@@ -164,8 +168,19 @@ def similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.nda
                     if both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9:
                         a.append(i), b.append(j)
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    both = overlaps(sets, left)
+    rows, cols = sizes[: left or m, None], sizes[None, left:]
+    a, b = np.nonzero(both >= threshold * (rows + cols - both) - 1e-6)
+    b = b + left
+    return (a, b) if left else (a[a < b], b[a < b])
+
+
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Number of common tokens of the first `left` sets (0: all) with the others. Tokens of one set only don't
+    count; the others go in blocks of columns."""
+    m = len(sets)
     token = np.concatenate(sets)
-    member = np.repeat(np.arange(m), sizes)
+    member = np.repeat(np.arange(m), [len(s) for s in sets])
     values, column, count = np.unique(token, return_inverse=True, return_counts=True)
     shared = count > 1
     number = np.cumsum(shared) - 1
@@ -180,10 +195,33 @@ def similar(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.nda
         x = np.zeros((m, width), dtype=np.float32)
         x[member[lo:hi], column[lo:hi] - c] = 1
         both += (x[:left] if left else x) @ x[left:].T
-    rows, cols = sizes[: left or m, None], sizes[None, left:]
-    a, b = np.nonzero(both >= threshold * (rows + cols - both) - 1e-6)
-    b = b + left
-    return (a, b) if left else (a[a < b], b[a < b])
+    return both
+
+
+def _alike(threshold: float):
+    """Paths of the buckets of which two sets share ALIKE children or more on average; a bucket's rows are neighbours."""
+
+    def alike(sets):
+        if len(sets) < 2:
+            return False
+        sizes = np.array([len(s) for s in sets])
+        shared = overlaps(sets, 0) / (threshold * np.maximum(sizes[:, None], sizes[None, :]))
+        return shared[~np.eye(len(sets), dtype=bool)].mean() >= ALIKE
+
+    def run(batches):
+        current, sets = None, []
+        for b in batches:
+            found = []
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if path != current:
+                    if alike(sets):
+                        found.append(current)
+                    current, sets = path, []
+                sets.append(np.frombuffer(raw, np.uint64))
+            yield pa.record_batch([pa.array(found, pa.int64())], ["path"])
+        yield pa.record_batch([pa.array([current] if alike(sets) else [], pa.int64())], ["path"])
+
+    return run
 
 
 def _first_common(path: int, held: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,6 +297,29 @@ def _links(out: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["key", "links", "root"])
 
 
+def _blocks(big: DataFrame) -> DataFrame:
+    """path, t1, t2, second, key of the large buckets (path, key, c). A set's home is the largest of its buckets; the
+    sets of one home are a unit, and those of two homes that meet in a bucket are a unit of two sides. Units of one
+    home come before all others, as sets of one side are not compared in units of two."""
+    home = big.groupBy("key").agg(F.max(F.struct("c", "path"))["path"].alias("home"))
+    homes = common.materialize(big.select("path", "key").join(common.materialize(home, "home"), "key"), "homes")
+    there = common.materialize(homes.groupBy("path").agg(F.collect_set("home").alias("there")), "homes-there")
+    others = F.array_distinct(F.flatten(F.collect_list("there")))
+    sides = homes.join(there, "path").groupBy("key", "home").agg(others.alias("others"))
+    sides = sides.select("key", F.explode("others").alias("other"), "home")
+    sides = sides.select("key", F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), (F.col("home") > F.col("other")).alias("second"))
+    sides = common.materialize(sides, "sides")
+    tiles = lambda second: F.ceil(F.count(F.when(F.col("second") == F.lit(second), 1)) / TILE).cast("int")
+    sizes = common.materialize(sides.groupBy("a", "b").agg(tiles(False).alias("left"), tiles(True).alias("right")), "unit-sizes")
+    one = F.col("a") == F.col("b")
+    dealt = sides.join(sizes, ["a", "b"]).withColumn("tile", F.pmod(F.xxhash64("key", "a", "b"), F.when(F.col("second"), F.col("right")).otherwise(F.col("left"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(one | F.col("second"), F.col("left")).otherwise(F.col("right")) - 1)))
+    first = F.when(one, F.least("tile", "other")).otherwise(F.when(F.col("second"), F.col("other")).otherwise(F.col("tile")))
+    then = F.when(one, F.greatest("tile", "other")).otherwise(F.col("left") + F.when(F.col("second"), F.col("tile")).otherwise(F.col("other")))
+    unit = F.when(one, F.shiftright("a", 2) - F.lit(2**62)).otherwise(F.shiftright(F.xxhash64("a", "b"), 2))
+    return dealt.select(unit.alias("path"), first.alias("t1"), then.alias("t2"), F.when(one, F.col("tile") > F.col("other")).otherwise(F.col("second")).alias("second"), "key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """key, label (the smallest key of its component) from edges (key, root), by alternating
     large-star and small-star steps; each step's rows are at most the edges."""
@@ -306,26 +367,29 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARG
     held = common.materialize(steps.join(counts, "path"), "buckets")
     small = held.where(F.col("c") <= BUCKET).select("path", "key")
     large = held.where(F.col("c") > BUCKET)
-    blocks = None
+    big = None
     if not large.isEmpty():
-        tops = large.groupBy("key").agg(F.collect_list("path").alias("tops"))
-        sets = _sets(docs, tops.join(reps.select("key", "k1"), "key"))
+        sets = common.materialize(_sets(docs, large.select("key").distinct().join(reps.select("key", "k1"), "key")), "sets")
+        # a few sets only tell whether a bucket is split or compared as it is; all its sets go on either way
+        probes = large.where(F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / PROBES)) == 0).select("path", "key").join(sets, "key").select("path", "set")
+        alike = probes.repartition("path").sortWithinPartitions("path").mapInArrow(_alike(threshold), "path bigint")
+        alike = common.materialize(alike, "alike")
+        big = large.join(alike, "path", "left_semi").select("path", "key", "c")
+        split = large.join(alike, "path", "left_anti")
+        tops = split.groupBy("key").agg(F.collect_list("path").alias("tops"))
         deep = common.materialize(tops.join(sets, "key").select("key", "set", "tops").mapInArrow(_deeper(threshold), "key binary, depth int, parent bigint, path bigint"), "deeper")
         sizes = deep.groupBy("path").agg(F.count_distinct("key").alias("c")).where("c > 1")
         sizes = common.materialize(sizes, "sizes")
-        parents = sizes.where(F.col("c") > BUCKET).select(F.col("path").alias("parent")).union(large.select(F.col("path").alias("parent")).distinct())
+        parents = sizes.where(F.col("c") > BUCKET).select(F.col("path").alias("parent")).union(split.select(F.col("path").alias("parent")).distinct())
         leaves = deep.join(parents, "parent", "left_semi").join(sizes, "path").where((F.col("c") <= BUCKET) | (F.col("depth") == DEEPEST)).select("path", "key", "c").distinct()
         leaves = common.materialize(leaves, "leaves")
         small = small.union(leaves.where(F.col("c") <= BUCKET).select("path", "key"))
-        tiles = F.ceil(F.col("c") / TILE).cast("int")
-        tile = F.pmod(F.xxhash64("key", "path"), F.col("tiles")).cast("int")
-        dealt = leaves.where(F.col("c") > BUCKET).withColumn("tiles", tiles).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        blocks = dealt.select("path", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).alias("second"), "key")
+        big = common.materialize(big.union(leaves.where(F.col("c") > BUCKET)), "large")
     # buckets of the same members are one
     members = small.groupBy("path").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    once = members.groupBy("keys").agg(F.min("path").alias("path")).select("path", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(False).alias("second"), F.explode("keys").alias("key"))
-    units = common.materialize(once if blocks is None else once.unionByName(blocks), "units")
-    common.discard(held, *([deep, leaves] if blocks is not None else []))
+    once = members.groupBy("keys").agg(F.min("path").alias("path")).select((F.shiftright("path", 2) + F.lit(2**62)).alias("path"), F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(False).alias("second"), F.explode("keys").alias("key"))
+    units = common.materialize(once if big is None or big.isEmpty() else once.unionByName(_blocks(big)), "units")
+    common.discard(held, *([sets, deep, leaves, big] if big is not None else []))
     paths = units.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("held")).join(reps.select("key", "k1", "copies"), "key")
     paths = common.materialize(paths, "held")
     sets = _sets(docs, paths)
